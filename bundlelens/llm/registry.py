@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import bpe, chat
+from bundlelens.llm import bpe, chat, simhash, topk, warc
 
 
 def queries() -> dict:
-    return {"op4_bpe": bpe.op4_bpe, "op10_chat_format": chat.op10_chat_format}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_warc": warc.op5_warc,
+        "op6_topk": topk.op6_topk,
+        "op10_chat_format": chat.op10_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.OP5_SQL, "op6_topk": topk.OP6_SQL}

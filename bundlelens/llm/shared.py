@@ -7,6 +7,10 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest table of identifiers that is broadcast; a larger one is joined by shuffling.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +43,10 @@ def filesystem(uri: str):
     if not urlparse(uri).scheme:
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
+
+
+def drop_ids(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `df` whose doc_id is not in the one column of `gone`. Rows without an id stay."""
+    ids = stash(gone.toDF("_gone").where("_gone IS NOT NULL").distinct(), "gone")
+    ids = F.broadcast(ids) if ids.count() * 64 <= BROADCAST_BYTES else ids
+    return df.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
