@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import bpe, chat, simhash, topk, warc
+from bundlelens.llm import bpe, chat, licenses, lines, mixing, quality, simhash, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_licenses": licenses.op2_licenses,
+        "op3_mixing": mixing.op3_mixing,
         "op4_bpe": bpe.op4_bpe,
         "op5_warc": warc.op5_warc,
         "op6_topk": topk.op6_topk,
+        "op8_host_rules": quality.op8_host_rules,
+        "op9_line_dedup": lines.op9_line_dedup,
         "op10_chat_format": chat.op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.OP5_SQL, "op6_topk": topk.OP6_SQL}
+    return {"op3_mixing": mixing.OP3_SQL, "op5_warc": warc.OP5_SQL, "op6_topk": topk.OP6_SQL, "op8_host_rules": quality.OP8_SQL, "op9_line_dedup": lines.OP9_SQL}

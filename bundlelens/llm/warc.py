@@ -24,7 +24,7 @@ from bundlelens.llm.shared import filesystem, fresh_path, stash
 #: Largest table of repeated digests that is broadcast; a larger one is joined by shuffling.
 BROADCAST_BYTES = 32 << 20
 #: Ranges less than GAP bytes apart are fetched as one, up to RANGE bytes; a reading task gets TASK bytes of a file.
-GAP, RANGE, TASK = 64 << 10, 4 << 20, 32 << 20
+GAP, RANGE, TASK = 64 << 10, 4 << 20, 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 
@@ -169,7 +169,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             yield from fetched(rows, source)
 
     piece = F.floor(F.col("offset") / TASK)
-    dealt = index.select("file", "offset", "length").repartition("file", piece).sortWithinPartitions("file", "offset")
+    # as many tasks as the archives' bytes need: index rows are small, and would be dealt to few tasks by their own size
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK))
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", piece).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, schema)
 
 
