@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import bpe, chat, licenses, lines, mixing, quality, simhash, topk, warc
+from bundlelens.llm import bpe, chat, licenses, lines, lm, mixing, quality, simhash, topk, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_bpe": bpe.op4_bpe,
         "op5_warc": warc.op5_warc,
         "op6_topk": topk.op6_topk,
+        "op7_lm": lm.op7_lm,
         "op8_host_rules": quality.op8_host_rules,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_chat_format": chat.op10_chat_format,
