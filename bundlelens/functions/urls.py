@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bundlelens import rules
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it; expressions stay as small as they are written."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def part(url: Column, pattern: str) -> Column:
     return F.regexp_extract(url, pattern, 1)
 
@@ -41,19 +48,18 @@ def query(url: Column) -> Column:
 
 def fold_dots(p: Column) -> Column:
     """An absolute path without `.` and `..` segments."""
-    segments = F.split(p, "/", -1)
-    n = F.size(segments)
-    # segment i is kept on a stack unless it is a dot; two dots take the last one off, but never the root
-    stack = F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.array(F.lit("")),
-        lambda kept, i: F.when(F.lower(F.get(segments, i)).isin("..", "%2e%2e"), F.when(F.size(kept) > 1, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(kept))
-        .when(F.lower(F.get(segments, i)).isin(".", "%2e") | (i == 0), kept)
-        .otherwise(F.array_append(kept, F.get(segments, i))),
-    )
-    last = F.lower(F.get(segments, n - 1))
-    folded = F.concat(F.array_join(stack, "/"), F.when(last.isin(".", "..", "%2e", "%2e%2e"), "/").otherwise(""))
-    folded = F.when(folded == "", "/").otherwise(folded)
-    return F.when(p.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), folded).otherwise(p)
+
+    def step(kept: Column, segment: Column) -> Column:
+        # segments are stacked unless they are a dot; two dots take the last one off, but never the root
+        low = F.lower(segment)
+        return F.when(low.isin("..", "%2e%2e"), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(low.isin(".", "%2e"), kept).otherwise(F.array_append(kept, segment))
+
+    def folded(segments: Column) -> Column:
+        stack = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array(F.lit("")), step)
+        open_end = F.lower(F.element_at(segments, -1)).isin(".", "..", "%2e", "%2e%2e")
+        return let(F.concat(F.array_join(stack, "/"), F.when(open_end, "/").otherwise("")), lambda x: F.when(x == "", "/").otherwise(x))
+
+    return F.when(p.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), let(F.split(p, "/", -1), folded)).otherwise(p)
 
 
 def encode_others(text: Column) -> Column:
@@ -64,24 +70,31 @@ def encode_others(text: Column) -> Column:
 
 def resolve(href: Column, base: Column) -> Column:
     """`href` against `base` as an absolute http(s) URL without fragment; null for anything else."""
-    h = F.regexp_replace(F.trim(F.regexp_replace(href, r"[\t\n\r]", "")), r"#.*$", "")
-    own = F.regexp_extract(h, r"^[^?]*", 0)
-    # like browsers, take backslashes in the path for slashes
-    h = F.when(own.contains("\\"), F.concat(F.regexp_replace(own, r"\\", "/"), F.substring(h, F.length(own) + 1, F.length(h)))).otherwise(h)
-    directory = F.regexp_replace(path(base), r"[^/]*$", "")
-    absolute = (
-        F.when(h.rlike(r"(?i)^https?://"), h)
-        .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin(base), h))
-        .when(h.startswith("?"), F.concat(origin(base), path(base), h))
-        .when(h == "", F.concat(origin(base), path(base), query(base)))
-        .otherwise(F.concat(origin(base), directory, h))
-    )
-    port = F.when(scheme(absolute) == "http", r":80").otherwise(r":443")
-    where = F.when(F.endswith(authority(absolute), port), F.regexp_replace(authority(absolute), r":\d+$", "")).otherwise(F.regexp_replace(authority(absolute), r":$", ""))
-    found = F.concat(scheme(absolute), F.lit("://"), where, encode_others(fold_dots(path(absolute))), encode_others(query(absolute)))
-    return F.when(scheme(absolute).isin("http", "https") & (where != ""), found)
+
+    def slashes(h: Column) -> Column:
+        # like browsers, take backslashes in the path for slashes
+        own = F.regexp_extract(h, r"^[^?]*", 0)
+        return F.when(h.contains("\\"), F.concat(F.regexp_replace(own, r"\\", "/"), F.regexp_extract(h, r"\?.*$", 0))).otherwise(h)
+
+    def absolute(h: Column) -> Column:
+        return (
+            F.when(h.rlike(r"(?i)^https?://"), h)
+            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(origin(base), h))
+            .when(h.startswith("?"), F.concat(origin(base), path(base), h))
+            .when(h == "", F.concat(origin(base), path(base), query(base)))
+            .otherwise(F.concat(origin(base), F.regexp_replace(path(base), r"[^/]*$", ""), h))
+        )
+
+    def rebuilt(x: Column) -> Column:
+        port = F.when(scheme(x) == "http", r":80").otherwise(r":443")
+        where = let(authority(x), lambda a: F.when(F.endswith(a, port), F.regexp_replace(a, r":\d+$", "")).otherwise(F.regexp_replace(a, r":$", "")))
+        found = let(where, lambda w: F.when(w != "", F.concat(scheme(x), F.lit("://"), w, let(let(path(x), fold_dots), encode_others), let(query(x), encode_others))))
+        return F.when(scheme(x).isin("http", "https"), found)
+
+    bare = F.regexp_replace(F.trim(F.regexp_replace(href, r"[\t\n\r]", "")), r"#.*$", "")
+    return let(let(let(bare, slashes), absolute), rebuilt)
 
 
 def guess_type(url: Column) -> Column:

@@ -239,7 +239,7 @@ def loaders(code: str | None) -> list[tuple[str, int]]:
             found.append((_LOADER_CALLS[t.value], t.line))
         elif t.value in ("Worker", "SharedWorker", "Function", "URL") and before is not None and before.value == "new" and called and not empty:
             if t.value == "Function":
-                if not static:
+                if not all(constant(x) or x.value == "," for x in _inside(own, i + 2)):
                     found.append(("eval", t.line))
             elif t.value == "URL":
                 if not static and _argument(own, i + 2, 1)[:3] == ["import", ".", "meta"]:
@@ -249,18 +249,24 @@ def loaders(code: str | None) -> list[tuple[str, int]]:
     return found
 
 
+def _inside(own: list[Token], at: int) -> list[Token]:
+    """The tokens of a call's arguments; `at` is the first one after the parenthesis."""
+    depth = 0
+    for end in range(at, len(own)):
+        if own[end].kind == "punct":
+            depth += (own[end].value in ("(", "[", "{")) - (own[end].value in (")", "]", "}"))
+            if depth < 0:
+                return own[at:end]
+    return own[at:]
+
+
 def _argument(own: list[Token], at: int, number: int) -> list[str]:
-    """Token values of a call's argument; `at` is the first token after the parenthesis."""
+    """Token values of one of a call's arguments."""
     depth, index, found = 0, 0, []
-    for t in own[at:]:
+    for t in _inside(own, at):
         if t.kind == "punct":
-            if t.value in "([{":
-                depth += 1
-            elif t.value in ")]}":
-                depth -= 1
-                if depth < 0:
-                    break
-            elif t.value == "," and depth == 0:
+            depth += (t.value in ("(", "[", "{")) - (t.value in (")", "]", "}"))
+            if t.value == "," and depth == 0:
                 index += 1
                 continue
         if index == number:
