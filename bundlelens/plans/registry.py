@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bundlelens.plans import pages
+
+MODULES = (pages,)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,9 +29,18 @@ GROUP BY host
 """
 
 
+def _all() -> dict[str, tuple[Query, str | None]]:
+    found: dict[str, tuple[Query, str | None]] = {"host_link_counts": (host_link_counts, HOST_LINK_COUNTS)}
+    for module in MODULES:
+        if twice := found.keys() & module.QUERIES.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        found |= module.QUERIES
+    return found
+
+
 def queries() -> dict[str, Query]:
-    return {"host_link_counts": host_link_counts}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"host_link_counts": HOST_LINK_COUNTS}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
