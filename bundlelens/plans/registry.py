@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.plans import pages
+from bundlelens.plans import documents, pages, tables
 
-MODULES = (pages,)
+MODULES = (pages, documents, tables)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
