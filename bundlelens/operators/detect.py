@@ -26,19 +26,23 @@ def _all(value: Column, patterns: list[str]) -> Column:
     return found
 
 
+def _header_hit(signal: tuple) -> Column:
+    """A signal of a response header, by its value or, for `name-*`, by its being there."""
+    adapter, name, patterns, weight, label = signal
+    if name.endswith("*"):
+        held = F.exists(F.map_keys("headers"), lambda k: F.lower(k).startswith(name[:-1]))
+    else:
+        held = F.exists(F.map_entries("headers"), lambda e: (F.lower(e["key"]) == name) & _all(e["value"], patterns))
+    found = F.array(F.struct(F.lit(adapter).alias("adapter"), F.lit(weight).alias("weight"), F.lit(label).alias("label")))
+    return F.when(held, found).otherwise(F.array().cast("array<struct<adapter:string,weight:double,label:string>>"))
+
+
 def page_detections(pages: DataFrame) -> DataFrame:
     """(page_id, adapter, score, evidence): every adapter that a page (page_id, html, optionally headers map) has signs
     of; scores end at 1."""
     hits = _hits([s for s in rules.PAGE_SIGNALS if s[1] == "html"], F.col("html"))
     if "headers" in pages.columns:
-        for s in rules.PAGE_SIGNALS:
-            if s[1] == "html":
-                continue
-            if s[1].endswith("*"):
-                held = F.exists(F.map_keys("headers"), lambda k, b=s[1][:-1]: F.lower(k).startswith(b))
-            else:
-                held = F.exists(F.map_entries("headers"), lambda e, s=s: (F.lower(e["key"]) == s[1]) & _all(e["value"], s[2]))
-            hits = F.concat(hits, F.when(held, F.array(F.struct(F.lit(s[0]).alias("adapter"), F.lit(s[3]).alias("weight"), F.lit(s[4]).alias("label")))).otherwise(F.array().cast("array<struct<adapter:string,weight:double,label:string>>")))
+        hits = F.concat(hits, *[_header_hit(s) for s in rules.PAGE_SIGNALS if s[1] != "html"])
     rows = pages.select("page_id", F.posexplode(hits).alias("i", "h")).select("page_id", "i", "h.*")
     return rows.groupBy("page_id", "adapter").agg(
         F.least(F.lit(1.0), F.round(F.sum("weight"), 6)).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]).alias("evidence")

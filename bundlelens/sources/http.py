@@ -1,6 +1,6 @@
 """Captured HTTP traffic as tables: what would be requested, with which headers and cookies, and where it ends.
 
-The engine reads captured rows. Nothing here opens a connection; `fetch.py` has a data source that does.
+The engine reads captured rows. Nothing here opens a connection.
 """
 
 from __future__ import annotations
@@ -150,5 +150,5 @@ def har_entries(log: DataFrame) -> DataFrame:
     content = F.struct("size", F.col("mime_type").alias("mimeType"))
     response = F.struct("status", F.coalesce("error", "status_text").alias("statusText"), F.lit("HTTP/1.1").alias("httpVersion"), F.col("response_headers").alias("headers"), none.alias("cookies"), content.alias("content"), F.coalesce("redirect_to", F.lit("")).alias("redirectURL"), F.lit(-1).alias("headersSize"), F.col("size").alias("bodySize"))
     timings = F.struct(F.lit(0).alias("send"), F.col("time_ms").alias("wait"), F.lit(0).alias("receive"))
-    entry = F.struct("pageref", numbers.iso(F.col("started_at")).alias("startedDateTime"), F.col("time_ms").alias("time"), request.alias("request"), response.alias("response"), F.struct().alias("cache") if False else F.create_map().cast("map<string,string>").alias("cache"), timings.alias("timings"), F.col("type").alias("_resourceType"), F.col("initiator").alias("_initiator"))
+    entry = F.struct("pageref", numbers.iso(F.col("started_at")).alias("startedDateTime"), F.col("time_ms").alias("time"), request.alias("request"), response.alias("response"), F.create_map().cast("map<string,string>").alias("cache"), timings.alias("timings"), F.col("type").alias("_resourceType"), F.col("initiator").alias("_initiator"))
     return log.select(F.to_json(entry).alias("entry"))
