@@ -18,6 +18,8 @@ class Token(NamedTuple):
     value: str
     line: int
     raw: str
+    start: int = 0
+    newline: bool = False  # whether a line ends between the token before and this one
 
 
 # Keywords after which a slash begins a regular expression.
@@ -53,6 +55,7 @@ def tokens(code: str) -> Iterator[Token]:
     at, line, n = 0, 1, len(code)
     before: Token | None = None  # decides what a slash is
     braces: list[str] = []  # what each open brace is: of code, or of a template's expression
+    last_line = 1
 
     def template(begin: int) -> tuple[int, str, bool]:
         """(after the piece, its raw text, whether an expression follows)."""
@@ -115,8 +118,9 @@ def tokens(code: str) -> Iterator[Token]:
         if token is None:
             at += 1
             continue
-        yield token
+        yield token._replace(start=at, newline=line > last_line)
         line += token.raw.count("\n")
+        last_line = line
         at += len(token.raw)
         before = token
 
