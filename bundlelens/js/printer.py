@@ -88,8 +88,7 @@ def _head(n: Node | None) -> str:
 
 
 def _for(n: Node) -> str:
-    parts = f"{_head(n.init)}; {_head(n.test)}; {_head(n.update)}".strip()
-    return f"for ({parts}){_nested(n.body)}"
+    return f"for ({_head(n.init)}; {_head(n.test)}; {_head(n.update)}){_nested(n.body)}"
 
 
 def _for_each(n: Node) -> str:

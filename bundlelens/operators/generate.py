@@ -23,6 +23,8 @@ def generate(df: DataFrame, keep: list[str], args: list[str], fn: Callable[...,
     import pyarrow as pa
 
     out = T.StructType([*[df.schema[c] for c in keep], *T._parse_datatype_string(schema).fields])
+    if len(set(map(str.lower, out.names))) < len(out):
+        raise ValueError(f"columns of equal names: {out.names}")
     arrow = to_arrow_schema(out)
     n = len(keep)
 
