@@ -20,7 +20,7 @@ from math import comb
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm.shared import drop_ids, stash
+from bundlelens.llm.shared import BROADCAST_BYTES, drop_ids, stash
 
 RADIUS, SHINGLE, SEED, PIVOTS = 4, 4, 42, 16
 #: Candidates for each fingerprint that random fingerprints may give before keys are made longer.
@@ -239,12 +239,206 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
     return docs.join(named, docs.fp == named.node).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `df`, all columns, of one document of each component: that with the smallest doc_id.
+# Similar texts. Two texts whose sets of shingles have a Jaccard coefficient of 0.8 differ in about ten of 64 bits, which
+# no short list of equal blocks can promise, and further than pivots can tell from chance. So candidates agree on sampled
+# bits of a longer fingerprint, pivots and the distance of 64 bits discard, and what is left is verified by its shingles.
+
+#: 64-bit words of the longer fingerprint; the chance with which a pair just similar enough becomes a candidate.
+WIDE, RECALL = 8, 0.98
+#: Members of a candidate group that are all compared; in larger groups each is compared with the first and the last.
+ALL_PAIRS = 32
+#: Standard deviations of the distance at the similarity that are let through.
+SLACK = 3.3
+
+
+def shingle_set(text: str | None, shingle: int):
+    """The sorted distinct XXH64 of a text's shingles; of the whole sequence where it is shorter; empty without words."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    own = words(text)
+    if not own:
+        return np.zeros(0, dtype=np.uint64)
+    grams = zip(*(own[i:] for i in range(shingle)), strict=False) if len(own) >= shingle else [own]
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(x), SEED) for x in grams), dtype=np.uint64))
+
+
+def wide_bits(hashes):
+    """The bits of the longer fingerprint, as a vector: the majority over the hashes, each mixed WIDE ways."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = hashes[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+    octets = np.ascontiguousarray(x).view(np.uint8).reshape(len(hashes), WIDE * 8).astype(np.int64)
+    counts = np.bincount((octets + np.arange(WIDE * 8) * 256).reshape(-1), minlength=WIDE * 8 * 256).reshape(-1, 256)
+    return (2 * (counts @ _bits()) > len(hashes)).reshape(-1)
+
+
+def agreement(similarity: float) -> float:
+    """The share of equal bits of two sets of equal size with this Jaccard coefficient."""
+    from math import acos, pi
+
+    return 1 - acos(2 * similarity / (1 + similarity)) / pi
+
+
+def sampling(n: int, similarity: float) -> tuple[int, int]:
+    """(bits of a key, keys) for n texts: keys so long that few meet by chance, and enough of them for RECALL."""
+    from math import ceil, log, log2
+
+    bits = max(10, ceil(log2(max(n, 2))) + 2)
+    return bits, ceil(log(1 - RECALL) / log(1 - agreement(similarity) ** bits))
+
+
+def sketches(df: DataFrame, shingle: int, text_col: str, id_col: str) -> DataFrame:
+    """(doc_id, node, fp, wide): node names the set of shingles; fp are the first 64 bits."""
+    import pyarrow as pa
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            nodes, wide = [], []
+            for text in batch.column(1):
+                own = shingle_set(text.as_py(), shingle)
+                nodes.append(xxh64_intdigest(own.tobytes(), SEED))
+                wide.append(np.packbits(wide_bits(own), bitorder="little").tobytes() if len(own) else bytes(WIDE * 8))
+            fps = np.frombuffer(b"".join(w[:8] for w in wide), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(fps), pa.array(wide, pa.binary())], ["doc_id", "node", "fp", "wide"])
+
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, wide binary")
+
+
+def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): distinct pairs of nodes (node, fp, wide) that agree on a key and pass the pivots and the 64-bit distance."""
+    import pyarrow as pa
+
+    bits, keys = sampling(nodes.count(), similarity)
+    p = agreement(similarity)
+    radius = int(64 * (1 - p) + SLACK * (64 * p * (1 - p)) ** 0.5)
+
+    def keyed(batches: Iterable) -> Iterator:
+        import numpy as np
+
+        chosen = np.random.default_rng(SEED).permuted(np.tile(np.arange(WIDE * 64), (keys, 1)), axis=1)[:, :bits]
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            n = batch.num_rows
+            table = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(n, -1), axis=1, bitorder="little")
+            for k in range(keys):
+                key = table[:, chosen[k]].astype(np.int64) @ powers
+                yield pa.RecordBatch.from_arrays([pa.array(key << 12 | k), batch.column(0), batch.column(1)], ["key", "node", "fp"])
+
+    def paired(batches: Iterable) -> Iterator:
+        import numpy as np
+
+        reference, left = pivots(), None
+        for batch in batches:
+            key, node, fp = (batch.column(i).to_numpy() for i in range(3))
+            if left is not None:
+                key, node, fp = (np.concatenate(x) for x in zip(left, (key, node, fp), strict=True))
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on in the next batch
+            left = (key[cut:], node[cut:], fp[cut:])
+            yield from close(key[:cut], node[:cut], fp[:cut], reference)
+            if len(left[0]) > 4 * ALL_PAIRS * 1024:  # a very large group: its first and last row stand for it so far
+                yield from close(*left, reference)
+                left = tuple(x[[0, -1]] for x in left)
+        if left is not None:
+            yield from close(*left, reference)
+
+    def close(key, node, fp, reference) -> Iterator:
+        import numpy as np
+
+        if len(key) < 2:
+            return
+        begins = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+        sizes = np.diff(np.r_[begins, len(key)])
+        of = np.repeat(np.arange(len(begins)), sizes)
+        small = sizes[of] <= ALL_PAIRS
+        a, b = [], []
+        for step in range(1, min(ALL_PAIRS, int(sizes.max()))):
+            rows = np.nonzero(small[:-step] & (of[:-step] == of[step:]))[0]
+            a.append(rows)
+            b.append(rows + step)
+        rows = np.nonzero(~small)[0]
+        for end in (begins, begins + sizes - 1):
+            a.append(end[of[rows]])
+            b.append(rows)
+        a, b = np.concatenate(a), np.concatenate(b)
+        unsigned = fp.view(np.uint64)
+        for p_ in reference:
+            distance = np.bitwise_count(unsigned ^ p_).astype(np.int16)
+            near = np.abs(distance[a] - distance[b]) <= radius
+            a, b = a[near], b[near]
+        near = (np.bitwise_count(unsigned[a] ^ unsigned[b]) <= radius) & (node[a] != node[b])
+        if near.any():
+            x, y = node[a[near]], node[b[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    dealt = nodes.select("node", "fp", "wide").mapInArrow(keyed, "key long, node long, fp long").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(paired, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, named: DataFrame, df: DataFrame, similarity: float, shingle: int, text_col: str, id_col: str) -> DataFrame:
+    """The pairs whose texts' shingles are similar. named: (node, first) with the id of a text of each node."""
+    import pyarrow as pa
+
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = stash(named.where("first IS NOT NULL").join(needed, "node", "left_semi").select(F.col("first").alias("_id")), "simhash-asked")
+    asked = F.broadcast(asked) if asked.count() * 64 <= BROADCAST_BYTES else asked
+    texts = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("text")).join(asked, F.col("_doc") == F.col("_id"), "left_semi").select("text")
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
+            nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+
+    def compare(batches: Iterable) -> Iterator:
+        import numpy as np
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    sets = stash(texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]), "simhash-sets")
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def similar(df: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) for every row: texts whose sets of word shingles have a Jaccard coefficient of `similarity`
+    or more are linked; texts of equal sets are one.
+
+    A pair just similar enough is found with a chance of RECALL, more similar ones nearly always; no pair below is
+    linked. Texts without words are linked to each other. Nulls and repeats as in `near_duplicates`; a text none of whose
+    rows has an id is linked to its equals alone.
+    """
+    docs = stash(sketches(df, shingle, text_col, id_col), "simhash-sketches")
+    nodes = stash(docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("wide").alias("wide")), "simhash-nodes")
+    pairs = stash(candidates(nodes, similarity), "simhash-candidates")
+    roots = components(verified(pairs, nodes.select("node", "first"), df, similarity, shingle, text_col, id_col))
+    rooted = nodes.select("node", "first").join(roots.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("_node"), "component_id")
+    return docs.join(stash(named, "simhash-components"), F.col("node") == F.col("_node")).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of `df`, all columns, of one document of each component of `similar`: that with the smallest doc_id.
 
     Rows that share a doc_id are one document. No decision can name a row without an id: such rows stay.
     """
-    found = near_duplicates(df, radius, shingle)
+    found = similar(df, similarity, shingle)
     return drop_ids(df, found.where("doc_id <> component_id").select("doc_id"))
 
 

@@ -30,19 +30,11 @@ def documents():
     yield 901, "", "en", "a", 0
 
 
-def five_word_fingerprint(text):
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))] if words else []
-    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
-
-
 def brute(rows):
     rows = [r for r in rows if not test_quality.brute(r[1])[-1]]
     stay = test_lines.brute([(r[0], r[1], r[3]) for r in rows])
     texts = [(r[0], "\n".join(s) if any(x.strip(" \t\r\x0b\f") for x in s) else r[1], *r[2:4]) for r, s in zip(rows, stay)]
-    components = test_simhash.brute_components([(r[0], five_word_fingerprint(r[1])) for r in texts])
+    components = test_simhash.brute_similar([(r[0], r[1]) for r in texts])
     texts = [r for r, c in zip(texts, components) if r[0] == c]
     cells = {}
     kind = lambda t: "table" if " | " in t else "prose"

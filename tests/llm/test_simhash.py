@@ -117,10 +117,87 @@ def test_query(spark, tmp_path):
     fps = [(d, brute_fingerprint(t)) for d, t, _ in table]
     want = sorted(((d, f"{f:016x}", c) for (d, f), c in zip(fps, brute_components(fps))), key=str)
     assert sorted((tuple(r) for r in simhash.op1_simhash(spark, str(tmp_path)).collect()), key=str) == want
-    kept = simhash.drop_near_duplicates(spark.read.parquet(f"{tmp_path}/documents.parquet"))
-    assert kept.columns == ["doc_id", "text", "fingerprint"]
-    assert {r.doc_id for r in kept.collect()} == {d for d, _, c in want if d == c or d is None}
+
+
+def shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) or frozenset([tuple(words)] if words else [])
+
+
+def brute_similar(rows, similarity=0.8):
+    """Component of each (doc_id, text) by links of all pairs of similar shingle sets; equal sets are one."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or a and b and min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return [least.get(root(i)) for i in range(len(rows))]
+
+
+def near_texts(rng, groups):
+    """Groups of copies with 0 to 3 of a hundred words changed, at any place."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    for _ in range(groups):
+        base = [word() for _ in range(rng.choice([40, 120, 400]))]
+        for _ in range(rng.randint(1, 5)):
+            own = list(base)
+            for _ in range(rng.randint(0, len(own) * 3 // 100)):
+                own[rng.randrange(len(own))] = word()
+            yield " ".join(own)
+
+
+def test_similar_texts(spark):
+    rng = random.Random(6)
+    texts = [*near_texts(rng, 160), None, "", "same", "SAME", "a b", "w " * 20_000]
+    rows = [(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(9, texts[9])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string").repartition(3)
+    found = {}
+    for r in simhash.similar(docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.component_id)
+    want = {}
+    for (d, _), c in zip(rows, brute_similar(rows)):
+        want.setdefault(d, set()).add(c)
+    # nothing is linked that shouldn't be, and links just similar enough are nearly all found
+    wrong = [d for d in want if found[d] != want[d]]
+    linked = [d for d in want if want[d] != {d}]
+    assert len(linked) > 60 and len(wrong) <= 0.05 * len(linked)
+    assert all(min(found[d]) >= min(want[d]) for d in wrong if d is not None)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, c in found.items() if d in c or d is None}
+
+
+def test_large_groups_of_similar_texts(spark, monkeypatch):
+    """Groups of which only first and last members are compared with all."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        own[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    found = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component_id for r in found.collect()} == {0}
+
+
+def test_sampling():
+    assert simhash.agreement(1.0) == 1.0 and 0.84 < simhash.agreement(0.8) < 0.86
+    small, large = simhash.sampling(1000, 0.8), simhash.sampling(10**9, 0.8)
+    assert small[0] < large[0] and small[1] < large[1]
 
 
 def test_empty(spark):
-    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(none).count() == 0 and simhash.similar(none).count() == 0
