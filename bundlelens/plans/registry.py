@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.plans import documents, pages, tables
+from bundlelens.plans import bundles, documents, pages, tables
 
-MODULES = (pages, documents, tables)
+MODULES = (pages, documents, tables, bundles)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
