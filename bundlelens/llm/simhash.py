@@ -246,9 +246,9 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
 #: 64-bit words of the longer fingerprint; the chance with which a pair just similar enough becomes a candidate.
 WIDE, RECALL = 8, 0.98
 #: Members of a candidate group that are all compared; in larger groups each is compared with the first and the last.
-ALL_PAIRS = 32
+ALL_PAIRS = 6
 #: Standard deviations of the distance at the similarity that are let through.
-SLACK = 3.3
+SLACK = 2.6
 
 
 def shingle_set(text: str | None, shingle: int):
