@@ -30,9 +30,9 @@ PRINTABLE_BYTES = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") +
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Words kept in memory by each Python worker, in either of two generations.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Rows of the transition table that each Python worker keeps.
-MEMO_ARCS = 1_000_000
+MEMO_ARCS = 300_000
 
 
 def byte_characters() -> dict[str, int]:
