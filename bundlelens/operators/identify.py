@@ -25,10 +25,24 @@ def _sized(features: DataFrame, key: str, n: str) -> DataFrame:
     return rows.join(rows.groupBy(key).agg(F.count("*").alias(n)), key)
 
 
-def overlaps(modules: DataFrame, files: DataFrame) -> DataFrame:
-    """(module, file, shared, of_module, of_file) of all pairs that share a feature."""
+def overlaps(modules: DataFrame, files: DataFrame, share: float = 0.0) -> DataFrame:
+    """(module, file, shared, of_module, of_file) of all pairs that share a feature, or at least that share of the
+    file's features.
+
+    With a share, a module must have one of any selection of more than the rest of a file's features. Its rarest ones
+    are looked up, and only the pairs they bring together are counted in full.
+    """
     mine, theirs = _sized(modules, "module", "of_module"), _sized(files, "file", "of_file")
-    return mine.join(theirs, "feature").groupBy("module", "file", "of_module", "of_file").agg(F.count("*").alias("shared"))
+    if share <= 0:
+        return mine.join(theirs, "feature").groupBy("module", "file", "of_module", "of_file").agg(F.count("*").alias("shared"))
+    frequency = mine.groupBy("feature").agg(F.count("*").alias("_df"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("_df", "feature"))
+    # features that no module has are the rarest of all
+    ranked = theirs.join(frequency, "feature", "left").withColumn("_df", F.coalesce("_df", F.lit(0))).withColumn("_place", place)
+    probes = ranked.where(F.col("_place") <= F.col("of_file") - F.ceil(F.lit(share) * F.col("of_file") - 1e-9) + 1).select("file", "feature")
+    pairs = mine.select("module", "feature").join(probes, "feature").select("module", "file").distinct()
+    counted = pairs.join(theirs, "file").join(mine, ["module", "feature"]).groupBy("module", "file", "of_module", "of_file").agg(F.count("*").alias("shared"))
+    return counted.where(F.col("shared") >= F.lit(share) * F.col("of_file") - 1e-9)
 
 
 def module_score() -> Column:
@@ -40,14 +54,14 @@ def identify(modules: DataFrame, files: DataFrame, least: int = rules.MIN_MODULE
     """(module, file, confidence): the library file that a module (module, feature) is, by the files' (file, feature).
     Files of few features are no evidence; of equal scores the first file by name counts."""
     enough = files.join(files.groupBy("file").agg(F.count_distinct("feature").alias("_n")).where(F.col("_n") >= least).select("file"), "file", "left_semi")
-    scored = overlaps(modules, enough).withColumn("score", module_score()).where(F.col("score") >= threshold)
+    scored = overlaps(modules, enough, threshold).withColumn("score", module_score()).where(F.col("score") >= threshold)
     best = scored.groupBy("module").agg(F.min_by(F.struct("file", "score"), F.struct(-F.col("score"), "file")).alias("b"))
     return best.select("module", "b.file", F.round("b.score", 3).alias("confidence"))
 
 
 def identify_small(modules: DataFrame, files: DataFrame, threshold: float = 0.75, least: int = 4, most: int = 15) -> DataFrame:
     """(module, file, confidence) of small modules: both sides' shares reach the threshold and no other file ties."""
-    scored = overlaps(modules, files).where(F.col("of_module").between(least, most)).withColumn("score", F.least(F.col("shared") / F.col("of_file"), F.col("shared") / F.col("of_module"))).where(F.col("score") >= threshold)
+    scored = overlaps(modules, files, threshold).where(F.col("of_module").between(least, most)).withColumn("score", F.least(F.col("shared") / F.col("of_file"), F.col("shared") / F.col("of_module"))).where(F.col("score") >= threshold)
     w = Window.partitionBy("module").orderBy(F.desc("score"), "file")
     ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
     return ranked.where("rank = 1 AND (next IS NULL OR next < score)").select("module", "file", F.round("score", 3).alias("confidence"))
@@ -63,7 +77,7 @@ def identify_by_names(names: DataFrame, files: DataFrame) -> DataFrame:
 
 def identify_concatenated(modules: DataFrame, files: DataFrame, contained: float = 0.8, covered: float = 0.6) -> DataFrame:
     """(module, files, coverage): modules of several files, each contained, that together cover the module."""
-    pairs = overlaps(modules, files).where(F.col("shared") >= contained * F.col("of_file")).select("module", "file", "of_module")
+    pairs = overlaps(modules, files, contained).select("module", "file", "of_module")
     held = modules.select("module", "feature").distinct().join(files.select("file", "feature").distinct(), "feature").join(pairs, ["module", "file"])
     found = held.groupBy("module", "of_module").agg(F.count_distinct("file").alias("files"), F.count_distinct("feature").alias("n"))
     return found.where((F.col("files") >= 2) & (F.col("n") >= covered * F.col("of_module"))).select("module", "files", F.round(F.col("n") / F.col("of_module"), 3).alias("coverage"))

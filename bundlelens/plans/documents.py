@@ -76,8 +76,8 @@ def _sql_features(table: str, key: str, name: str) -> str:
 
 def contained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that a document holds for the most part, whatever else it holds."""
-    pairs = identify.overlaps(features(spark, sf_dir, "documents", "doc_id", "module"), features(spark, sf_dir, "benchmark", "item_id", "file"))
-    return pairs.where(F.col("shared") >= 0.8 * F.col("of_file")).select(F.col("module").alias("doc_id"), F.col("file").alias("item_id"), "shared", F.round(F.col("shared") / F.col("of_file"), 3).alias("containment"))
+    pairs = identify.overlaps(features(spark, sf_dir, "documents", "doc_id", "module"), features(spark, sf_dir, "benchmark", "item_id", "file"), 0.8)
+    return pairs.select(F.col("module").alias("doc_id"), F.col("file").alias("item_id"), "shared", F.round(F.col("shared") / F.col("of_file"), 3).alias("containment"))
 
 
 _OVERLAPS = f"""d AS ({_sql_features('documents', 'doc_id', 'module')}), b AS ({_sql_features('benchmark', 'item_id', 'file')}),

@@ -140,6 +140,29 @@ def test_identification(spark):
     assert [tuple(r) for r in identify.identify_by_names(names, files).collect()] == [("m", "f")]
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.6, 1.0])
+def test_overlaps_against_all_pairs(spark, share):
+    rng = random.Random(4)
+    files = {f"f{i}": set(rng.sample(range(40), rng.randint(1, 9))) for i in range(20)}
+    modules = {f"m{i}": set(rng.sample(range(40), rng.randint(1, 25))) for i in range(30)}
+    as_rows = lambda d, key: feature_rows(spark, {k: map(str, v) for k, v in d.items()}, key)
+    found = {(r.module, r.file): (r.shared, r.of_module, r.of_file) for r in identify.overlaps(as_rows(modules, "module"), as_rows(files, "file"), share).collect()}
+    assert found == {(m, f): (len(a & b), len(a), len(b)) for m, a in modules.items() for f, b in files.items() if a & b and len(a & b) >= share * len(b)}
+
+
+def test_same_results_on_any_partitions(spark):
+    """Whatever the number of shuffle partitions."""
+    rows = [(f"u{i % 7}", "xyz"[i % 3], i % 5, i) for i in range(200)]
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "4", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        df = spark.createDataFrame(rows, "binding string, name string, weight int, ord int")
+        e = spark.createDataFrame([(i, i * 7 % 50) for i in range(50)], "src long, dst long")
+        got.append((sorted(map(tuple, votes.argmax(df, ["binding"], "name", "weight", "ord").collect())), sorted(map(tuple, graphs.components(e).collect()))))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
+
+
 def test_rare_matches_against_all_pairs(spark):
     rng = random.Random(3)
     lib = {f"l{i}": set(rng.sample(range(60), 8)) for i in range(40)}
