@@ -198,3 +198,12 @@ def quality(files: DataFrame, mods: DataFrame) -> DataFrame:
     generated = own.select(*boilerplate_counts(F.col("content"))).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("define_exports", "exports_assignments", "require_calls", "indirect_calls")])
     named = mods.agg(numbers.ratio(F.count_if(~F.col("name").startswith("module-")).cast("double"), F.count("*").cast("double")).alias("readable_names"), F.array_sort(F.collect_set("package")).alias("packages"), F.count_if(F.col("level").isin("partial", "raw")).alias("degraded"))
     return identifiers.join(F.broadcast(generated)).join(F.broadcast(named))
+
+
+def markup(mods: DataFrame, keep: list[str], code: str = "code") -> DataFrame:
+    """(keep.., jsx, template): modules with element calls as JSX, and the template of their first render function; null
+    where there is none."""
+    from bundlelens.js import templates
+
+    guarded = mods.where(F.col(code).rlike(r"\b_?jsxs?\b|createElement(VNode|Block)|createVNode"))
+    return generate(guarded, keep, [code], lambda c: [(templates.jsx(c), templates.vue_template(c))], "jsx string, template string")
