@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm.shared import BROADCAST_BYTES, stash
+from bundlelens.llm.shared import BROADCAST_BYTES, free_names, stash
 
 RATIO, MIN_PAGES = 0.2, 5
 BLANKS = " \t\r\x0b\f"
@@ -32,15 +32,16 @@ def boilerplate(df: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
     return frequent.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
-def _left(df: DataFrame, ratio: float, min_pages: int, text_col: str, host_col: str) -> DataFrame:
-    """`df` and _left, the lines of each text that stay (null for null texts)."""
+def _left(df: DataFrame, ratio: float, min_pages: int, text_col: str, host_col: str) -> tuple[DataFrame, str]:
+    """`df` with one more column, and that column's name: the lines of each text that stay (null for null texts)."""
+    host, gone, left = free_names(df, "_host", "_lines", "_left")
     found = stash(boilerplate(df, ratio, min_pages, text_col, host_col), "lines-boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("lines") * 8 + 100), F.lit(0))).first()[0]
-    found = found.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
+    found = found.select(F.col("host").alias(host), F.col("lines").alias(gone))
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    joined = df.join(found, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("_host"), "left")
-    stay = F.filter(_lines(F.col(text_col)), lambda x: F.col("_lines").isNull() | ~F.array_contains(F.col("_lines"), F.xxhash64(x)))
-    return joined.select(*df.columns, F.explode(F.array(stay)).alias("_left"))
+    joined = df.join(found, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(host), "left")
+    stay = F.filter(_lines(F.col(text_col)), lambda x: F.col(gone).isNull() | ~F.array_contains(F.col(gone), F.xxhash64(x)))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array(stay)).alias(left)), left
 
 
 def drop_boilerplate(df: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -49,22 +50,24 @@ def drop_boilerplate(df: DataFrame, ratio: float = RATIO, min_pages: int = MIN_P
     Null text stays null, a text all of whose lines go becomes empty, and null hosts are the host "". Rows that repeat
     are pages each. An empty table stays empty.
     """
-    return _left(df, ratio, min_pages, text_col, host_col).withColumn(text_col, F.array_join("_left", "\n")).drop("_left")
+    found, left = _left(df, ratio, min_pages, text_col, host_col)
+    return found.withColumn(text_col, F.array_join(left, "\n")).drop(left)
 
 
 def clean(df: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """`drop_boilerplate` for tables of (text, source, n_chars): n_chars follows the text, and a text that boilerplate
     alone makes up stays whole, since a page without any text of its own is no longer a document."""
-    left = _left(df, ratio, min_pages, "text", "source")
-    own = F.exists("_left", lambda x: F.trim(x, F.lit(BLANKS)) != "")
-    text = F.when(own, F.array_join("_left", "\n")).otherwise(F.col("text"))
-    return left.withColumn("text", text).withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)).select(*df.columns)
+    found, left = _left(df, ratio, min_pages, "text", "source")
+    own = F.exists(left, lambda x: F.trim(x, F.lit(BLANKS)) != "")
+    text = F.when(own, F.array_join(left, "\n")).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    n = F.size(_lines(F.coalesce("text", F.lit("")))) - F.size(F.coalesce("_left", F.array(F.lit(""))))
-    return _left(docs, RATIO, MIN_PAGES, "text", "source").select("doc_id", F.array_join("_left", "\n").alias("text"), n.cast("long").alias("n_dropped"))
+    found, left = _left(docs, RATIO, MIN_PAGES, "text", "source")
+    n = F.size(_lines(F.coalesce("text", F.lit("")))) - F.size(F.coalesce(left, F.array(F.lit(""))))
+    return found.select("doc_id", F.array_join(left, "\n").alias("text"), n.cast("long").alias("n_dropped"))
 
 
 OP9_SQL = f"""

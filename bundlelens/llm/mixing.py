@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bundlelens.llm.shared import BROADCAST_BYTES, stash
+from bundlelens.llm.shared import BROADCAST_BYTES, free_names, stash
 
 #: Targets by default: each marginal's own token shares to this power, so that small sources and languages gain.
 TEMPERATURE = 0.7
@@ -114,8 +114,10 @@ def sample(df: DataFrame, fraction: float = FRACTION, targets: dict[str, dict[st
     """The rows of `df`, all columns, of the documents that `mix` takes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": topic(text)}
-    cells = probabilities(described(df), fraction, targets)
-    return df.join(cells, [own[a] == F.col(f"_{a}") for a in ATTRIBUTES]).where(uniform(F.col("doc_id").cast("long")) < F.col("_p")).select(*df.columns)
+    names = free_names(df, *[f"_{a}" for a in ATTRIBUTES], "_p")
+    cells = probabilities(described(df), fraction, targets).toDF(*names)
+    joined = df.join(cells, [own[a] == F.col(n) for a, n in zip(ATTRIBUTES, names, strict=False)])
+    return joined.where(uniform(F.col("doc_id").cast("long")) < F.col(names[-1])).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

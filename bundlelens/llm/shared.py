@@ -45,8 +45,19 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until `df` has no such column."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def drop_ids(df: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of `df` whose doc_id is not in the one column of `gone`. Rows without an id stay."""
-    ids = stash(gone.toDF("_gone").where("_gone IS NOT NULL").distinct(), "gone")
+    (name,) = free_names(df, "_gone")
+    ids = stash(gone.toDF(name).where(F.col(name).isNotNull()).distinct(), "gone")
     ids = F.broadcast(ids) if ids.count() * 64 <= BROADCAST_BYTES else ids
-    return df.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return df.join(ids, F.col("doc_id") == F.col(name), "left_anti")

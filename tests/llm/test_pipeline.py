@@ -59,3 +59,18 @@ def test_run(spark, tmp_path):
         docs = kept
     found = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert found == set(brute(rows)) and len(found) > 50
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Further columns, named as the operators name their own, come through; so does a table without rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone string, _host long, _lines string, _left int, _p double, _source string, component_id long, node string, w string, host string"
+    rows = [(*r, "g", 1, "l", 2, 0.5, "s", 3, "n", "w", "h") for r in documents()]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.dtypes == docs.dtypes
+        docs = after
+        assert docs.limit(1).count() == 1
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
