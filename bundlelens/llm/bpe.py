@@ -11,8 +11,8 @@ All arcs with one label lead to one state, so states are named by labels. A gadg
 arc and its time. A state that a gadget made is a copy, so it lacks what its ancestors lost before; an arc uv exists
 where the arc u did at that time. Looking an arc up follows these two chains; found arcs stay in a transition table.
 
-A pre-split word is encoded by walking its bytes once: for each end position, the one token that ends there and for
-which the state reached at its start has an arc. Decoding emits the arcs' labels.
+A pre-split word is encoded by following the one path whose labels spell it: at each state the longest label that fits
+and has an arc, and back from where none does. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ PRINTABLE_BYTES = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") +
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Words kept in memory by each Python worker, in either of two generations.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 250_000
 #: Rows of the transition table that each Python worker keeps.
 MEMO_ARCS = 300_000
 
@@ -63,7 +63,6 @@ class Automaton:
         self.match = {bytes([b]): vocab[bytes([b])] for b in range(256) if bytes([b]) in vocab}
         for time, (a, b) in enumerate(merges, 1):
             self.merge_gadget(time, vocab[a], vocab[b], vocab[a + b])
-        self.longest = max(map(len, self.match), default=1)
         self.compile_patterns()
 
     def merge_gadget(self, time: int, u: int, v: int, merged: int) -> None:
@@ -97,32 +96,54 @@ class Automaton:
         return True
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        n, match, has_arc, longest = len(word), self.match, self.has_arc, self.longest
-        last = [START] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                if start and last[start] < 0:
-                    continue
-                token = match.get(word[start:end])
-                if token is not None and has_arc(last[start], token):
-                    last[end] = token
+        """The one path through the automaton that spells the word: the longest label first, back where none goes on.
+
+        A position has one path from the start, so a position without a way on is never tried again.
+        """
+        n, has_arc, labels = len(word), self.has_arc, self.labels
+        ids: list[int] = []
+        back: list[tuple[int, list[int]]] = []
+        dead: set[int] = set()
+        at, fits = 0, self.fitting(word, 0)
+        while at < n:
+            before = ids[-1] if ids else START
+            while fits:
+                token = fits.pop()
+                end = at + len(labels[token])
+                if end not in dead and has_arc(before, token):
+                    back.append((at, fits))
+                    ids.append(token)
+                    at, fits = end, self.fitting(word, end) if end < n else []
                     break
-        ids, labels = [], self.labels
-        while n:
-            ids.append(last[n])
-            n -= len(labels[last[n]])
-        return tuple(ids[::-1])
+            else:
+                dead.add(at)
+                at, fits = back.pop()
+                ids.pop()
+        return tuple(ids)
+
+    def fitting(self, word: bytes, at: int) -> list[int]:
+        """Tokens whose labels begin at a position of the word, the longest last."""
+        get, found = self.pieces.get, []
+        for end in range(at + 1, len(word) + 1):
+            token = get(word[at:end])
+            if token is None:
+                break
+            if token >= 0:
+                found.append(token)
+        return found
 
     def compile_patterns(self) -> None:
         import regex
 
+        #: Every beginning of a label, with the token that it is or -1.
+        self.pieces = dict.fromkeys((label[:i] for label in self.match for i in range(1, len(label))), -1) | self.match
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(SPLIT)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "specials", "memo", "older", "arcs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "specials", "pieces", "memo", "older", "arcs")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
