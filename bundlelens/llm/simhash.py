@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlelens.llm.shared import BROADCAST_BYTES, drop_ids, stash
@@ -240,15 +240,17 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
 
 
 # Similar texts. Two texts whose sets of shingles have a Jaccard coefficient of 0.8 differ in about ten of 64 bits, which
-# no short list of equal blocks can promise, and further than pivots can tell from chance. So candidates agree on sampled
-# bits of a longer fingerprint, pivots and the distance of 64 bits discard, and what is left is verified by its shingles.
+# no short list of equal blocks can promise, and further than pivots can tell from chance. So candidates share one of the
+# rarest shingles of both: sets of s shingles that are similar share one of the first s - ceil(similarity * s) + 1 of each
+# in any order common to all texts. Bounds by sizes and by the parities of the hashes discard, which never lose a pair, and
+# what is left is verified by its shingles. Members of a group are first compared with its first one; then all pairs that
+# these links leave in different components are.
 
-#: 64-bit words of the longer fingerprint; the chance with which a pair just similar enough becomes a candidate.
-WIDE, RECALL = 8, 0.98
-#: Members of a candidate group that are all compared; in larger groups each is compared with the first and the last.
-ALL_PAIRS = 6
-#: Standard deviations of the distance at the similarity that are let through.
-SLACK = 2.6
+#: 64-bit words of a set's parities. The chance that `sampling` reckons with.
+WIDE, RECALL = 32, 0.98
+#: Of one in SAMPLED texts shingles are counted; those in more than HEAVY of them, COMMON at least, come last in the order.
+#: The order says how many candidates there are, never which pairs are found.
+SAMPLED, HEAVY, COMMON = 8, 0.001, 3
 
 
 def shingle_set(text: str | None, shingle: int):
@@ -263,20 +265,6 @@ def shingle_set(text: str | None, shingle: int):
     return np.unique(np.fromiter((xxh64_intdigest(b" ".join(x), SEED) for x in grams), dtype=np.uint64))
 
 
-def wide_bits(hashes):
-    """The bits of the longer fingerprint, as a vector: the majority over the hashes, each mixed WIDE ways."""
-    import numpy as np
-
-    with np.errstate(over="ignore"):
-        x = hashes[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
-    octets = np.ascontiguousarray(x).view(np.uint8).reshape(len(hashes), WIDE * 8).astype(np.int64)
-    counts = np.bincount((octets + np.arange(WIDE * 8) * 256).reshape(-1), minlength=WIDE * 8 * 256).reshape(-1, 256)
-    return (2 * (counts @ _bits()) > len(hashes)).reshape(-1)
-
-
 def agreement(similarity: float) -> float:
     """The share of equal bits of two sets of equal size with this Jaccard coefficient."""
     from math import acos, pi
@@ -285,101 +273,150 @@ def agreement(similarity: float) -> float:
 
 
 def sampling(n: int, similarity: float) -> tuple[int, int]:
-    """(bits of a key, keys) for n texts: keys so long that few meet by chance, and enough of them for RECALL."""
+    """(bits of a key, keys) for n texts, were candidates to agree on samples of bits with the chance RECALL."""
     from math import ceil, log, log2
 
     bits = max(10, ceil(log2(max(n, 2))) + 2)
     return bits, ceil(log(1 - RECALL) / log(1 - agreement(similarity) ** bits))
 
 
-def sketches(df: DataFrame, shingle: int, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, node, fp, wide): node names the set of shingles; fp are the first 64 bits."""
+def parities(hashes):
+    """64 * WIDE bits as signed longs: whether an odd number of the hashes falls on each. Those of two sets differ in no
+    more bits than the sets do in elements."""
+    import numpy as np
+
+    odd = np.bincount((hashes & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def prefix(hashes, heavy, similarity: float):
+    """Of a set of sorted hashes, those one of which each similar set has in its own prefix: the heavy ones (sorted) last."""
+    from math import ceil
+
+    import numpy as np
+
+    if not len(hashes):
+        return hashes
+    n = len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1
+    if not len(heavy):
+        return hashes[:n]
+    common = heavy[np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)] == hashes
+    return np.concatenate([hashes[~common], hashes[common]])[:n]
+
+
+def heavy_shingles(df: DataFrame, shingle: int, text_col: str):
+    """The sorted hashes of shingles that many of the sampled texts have: fewer than a text's shingles / HEAVY."""
+    import numpy as np
     import pyarrow as pa
 
+    def run(batches: Iterable) -> Iterator:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)).view(np.int64))], ["hash"])
+
+    asked = df.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    least = max(COMMON, int(HEAVY * asked.count()))
+    counted = asked.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("hash")
+    return np.sort(np.array([r.hash for r in counted.collect()], dtype=np.int64).view(np.uint64))
+
+
+def sketches(df: DataFrame, similarity: float, shingle: int, text_col: str, id_col: str) -> DataFrame:
+    """(doc_id, node, size, keys, bits): node names the set of shingles; keys are its prefix and bits its parities."""
+    import pyarrow as pa
+
+    heavy = heavy_shingles(df, shingle, text_col)
+
     def run(batches: Iterable) -> Iterator:
         import numpy as np
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            nodes, wide = [], []
+            nodes, sizes, keys, bits = [], [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py(), shingle)
                 nodes.append(xxh64_intdigest(own.tobytes(), SEED))
-                wide.append(np.packbits(wide_bits(own), bitorder="little").tobytes() if len(own) else bytes(WIDE * 8))
-            fps = np.frombuffer(b"".join(w[:8] for w in wide), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(fps), pa.array(wide, pa.binary())], ["doc_id", "node", "fp", "wide"])
+                sizes.append(len(own))
+                keys.append(prefix(own, heavy, similarity).view(np.int64))
+                bits.append(parities(own))
+            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "size", "keys", "bits"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, wide binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, size int, keys array<long>, bits array<long>")
 
 
-def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): distinct pairs of nodes (node, fp, wide) that agree on a key and pass the pivots and the 64-bit distance."""
-    import pyarrow as pa
+def _sized(x: Column, y: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-6
 
-    bits, keys = sampling(nodes.count(), similarity)
-    p = agreement(similarity)
-    radius = int(64 * (1 - p) + SLACK * (64 * p * (1 - p)) ** 0.5)
 
-    def keyed(batches: Iterable) -> Iterator:
-        import numpy as np
-
-        chosen = np.random.default_rng(SEED).permuted(np.tile(np.arange(WIDE * 64), (keys, 1)), axis=1)[:, :bits]
-        powers = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            n = batch.num_rows
-            table = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(n, -1), axis=1, bitorder="little")
-            for k in range(keys):
-                key = table[:, chosen[k]].astype(np.int64) @ powers
-                yield pa.RecordBatch.from_arrays([pa.array(key << 12 | k), batch.column(0), batch.column(1)], ["key", "node", "fp"])
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Whether the sets of the rows `a` and `b` (size, bits) can be similar."""
+    apart = F.expr(" + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(WIDE)))
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return _sized(x, y, similarity) & (apart <= (x + y) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
 
-    def paired(batches: Iterable) -> Iterator:
-        import numpy as np
 
-        reference, left = pivots(), None
-        for batch in batches:
-            key, node, fp = (batch.column(i).to_numpy() for i in range(3))
-            if left is not None:
-                key, node, fp = (np.concatenate(x) for x in zip(left, (key, node, fp), strict=True))
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on in the next batch
-            left = (key[cut:], node[cut:], fp[cut:])
-            yield from close(key[:cut], node[:cut], fp[:cut], reference)
-            if len(left[0]) > 4 * ALL_PAIRS * 1024:  # a very large group: its first and last row stand for it so far
-                yield from close(*left, reference)
-                left = tuple(x[[0, -1]] for x in left)
-        if left is not None:
-            yield from close(*left, reference)
+def met(docs: DataFrame) -> DataFrame:
+    """(key, node, first, n) of the n nodes of each key that several of docs (doc_id, node, keys) have, once each; first
+    is the smallest. Rows without an id are left out. One shuffle by key; groups that no other node meets end there."""
+    import pyarrow as pa
 
-    def close(key, node, fp, reference) -> Iterator:
+    def run(batches: Iterable) -> Iterator:
         import numpy as np
 
-        if len(key) < 2:
-            return
-        begins = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
-        sizes = np.diff(np.r_[begins, len(key)])
-        of = np.repeat(np.arange(len(begins)), sizes)
-        small = sizes[of] <= ALL_PAIRS
-        a, b = [], []
-        for step in range(1, min(ALL_PAIRS, int(sizes.max()))):
-            rows = np.nonzero(small[:-step] & (of[:-step] == of[step:]))[0]
-            a.append(rows)
-            b.append(rows + step)
-        rows = np.nonzero(~small)[0]
-        for end in (begins, begins + sizes - 1):
-            a.append(end[of[rows]])
-            b.append(rows)
-        a, b = np.concatenate(a), np.concatenate(b)
-        unsigned = fp.view(np.uint64)
-        for p_ in reference:
-            distance = np.bitwise_count(unsigned ^ p_).astype(np.int16)
-            near = np.abs(distance[a] - distance[b]) <= radius
-            a, b = a[near], b[near]
-        near = (np.bitwise_count(unsigned[a] ^ unsigned[b]) <= radius) & (node[a] != node[b])
-        if near.any():
-            x, y = node[a[near]], node[b[near]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    dealt = nodes.select("node", "fp", "wide").mapInArrow(keyed, "key long, node long, fp long").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(paired, "a long, b long").distinct()
+        def groups(key, node) -> Iterator:
+            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            key, node = key[new], node[new]
+            begins = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+            sizes = np.diff(np.r_[begins, len(key)])
+            n, first = np.repeat(sizes, sizes), np.repeat(node[begins], sizes)
+            on = n > 1
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (key, node, first, n.astype(np.int64))], ["key", "node", "first", "n"])
+
+        left: list = []
+        for batch in batches:
+            key, node = (batch.column(i).to_numpy() for i in range(2))
+            if not len(key):
+                continue
+            if left and left[-1][0][-1] != key[0]:
+                yield from groups(*(np.concatenate(x) for x in zip(*left, strict=True)))
+                left = []
+            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
+            if cut:
+                yield from groups(*(np.concatenate(x) for x in zip(*left, (key[:cut], node[:cut]), strict=True)))
+                left = []
+            left.append((key[cut:], node[cut:]))
+        if left:
+            yield from groups(*(np.concatenate(x) for x in zip(*left, strict=True)))
+
+    keyed = docs.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "node")
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, first long, n long")
+
+
+def first_pairs(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of each group's first member and another that can be similar; a < b."""
+    pairs = shared.where(F.col("first") < F.col("node")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    x, y = nodes.select("node", "size", "bits").alias("x"), nodes.select("node", "size", "bits").alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & _near("x", "y", similarity)).select("a", "b")
+
+
+def other_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """(a, b): all other pairs of each group that can be similar and are in different components so far; a < b."""
+    member = shared.where("n > 2").select("key", F.col("node").alias("member"), "first")
+    rooted = stash(member.join(roots, F.col("member") == F.col("node"), "left").select("key", "member", "first", F.coalesce("root", "member").alias("root")), "simhash-rooted")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select(F.col("key").alias("of"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    rows = rooted.join(open_, F.col("key") == F.col("of")).join(nodes.select("node", "size", "bits"), F.col("member") == F.col("node"))
+    rows = stash(rows.select("key", "member", "first", "root", "size", "bits", "tiles", F.pmod(F.xxhash64("member"), F.col("tiles")).cast("int").alias("own")), "simhash-open")
+    # a pair of tiles (i, j) with i <= j is a unit of work
+    columns = ["key", "member", "first", "root", "size", "bits"]
+    x = rows.select(*columns, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("j")).alias("x")
+    y = rows.select(*columns, F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j")).alias("y")
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.member") < F.col("y.member"))
+    new = (F.col("x.root") != F.col("y.root")) & (F.col("x.member") != F.col("x.first")) & (F.col("y.member") != F.col("y.first"))
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    pairs = x.join(y, on & once & new & _near("x", "y", similarity))
+    return pairs.select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, named: DataFrame, df: DataFrame, similarity: float, shingle: int, text_col: str, id_col: str) -> DataFrame:
@@ -412,22 +449,26 @@ def verified(pairs: DataFrame, named: DataFrame, df: DataFrame, similarity: floa
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sets = stash(texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]), "simhash-sets")
-    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return met.mapInArrow(compare, "a long, b long")
+    compared = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return compared.mapInArrow(compare, "a long, b long")
 
 
 def similar(df: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) for every row: texts whose sets of word shingles have a Jaccard coefficient of `similarity`
     or more are linked; texts of equal sets are one.
 
-    A pair just similar enough is found with a chance of RECALL, more similar ones nearly always; no pair below is
-    linked. Texts without words are linked to each other. Nulls and repeats as in `near_duplicates`; a text none of whose
-    rows has an id is linked to its equals alone.
+    Every such pair is linked, if not directly then by others, and no pair below is. Texts without words are linked to
+    each other. Nulls and repeats as in `near_duplicates`; a text none of whose rows has an id is linked to its equals
+    alone.
     """
-    docs = stash(sketches(df, shingle, text_col, id_col), "simhash-sketches")
-    nodes = stash(docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("wide").alias("wide")), "simhash-nodes")
-    pairs = stash(candidates(nodes, similarity), "simhash-candidates")
-    roots = components(verified(pairs, nodes.select("node", "first"), df, similarity, shingle, text_col, id_col))
+    docs = stash(sketches(df, similarity, shingle, text_col, id_col), "simhash-sketches")
+    nodes = stash(docs.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("size", "bits")]), "simhash-nodes")
+    named = nodes.where("first IS NOT NULL")
+    shared = stash(met(docs), "simhash-met")
+    check = lambda pairs, name: stash(verified(stash(pairs, f"simhash-{name}"), nodes.select("node", "first"), df, similarity, shingle, text_col, id_col), f"simhash-{name}-verified")
+    links = check(first_pairs(shared, named, similarity), "first")
+    more = check(other_pairs(shared, named, components(links), similarity), "others")
+    roots = components(links.unionByName(more))
     rooted = nodes.select("node", "first").join(roots.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("_node"), "component_id")
     return docs.join(stash(named, "simhash-components"), F.col("node") == F.col("_node")).select("doc_id", "component_id")

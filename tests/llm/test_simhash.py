@@ -192,6 +192,23 @@ def test_large_groups_of_similar_texts(spark, monkeypatch):
     assert {r.component_id for r in found.collect()} == {0}
 
 
+def test_no_pair_is_lost(spark):
+    """Texts of one template agree on many bits, and most are not similar to each other nor to any hub: all pairs are found."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    template, rows = [word() for _ in range(190)], []
+    for _ in range(250):
+        base = template + [word() for _ in range(50)]
+        # k other words at the end: n - k shingles of n + k are shared, a coefficient of 0.8 and little more
+        k = (len(base) - 4) // 9
+        rows += [" ".join(base), " ".join(base[:-k] + [word() for _ in range(k)])]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = dict(enumerate(brute_similar(list(enumerate(rows)))))
+    assert sum(d != c for d, c in want.items()) == 250
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == want
+
+
 def test_sampling():
     assert simhash.agreement(1.0) == 1.0 and 0.84 < simhash.agreement(0.8) < 0.86
     small, large = simhash.sampling(1000, 0.8), simhash.sampling(10**9, 0.8)
