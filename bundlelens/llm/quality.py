@@ -1,10 +1,11 @@
 """Host-level quality rules, in DataFrame expressions only.
 
 Rules are measured on every document and their failures summed by host. A host's rate for a rule is shrunk towards all
-hosts' by a beta prior that is fitted to the hosts' own rates (method of moments), so that a host of few documents is
-not judged by them alone. The verdicts are joined back to the documents: a document goes if it fails the base rules, if
-its host is condemned (shrunk rate of base failures of CONDEMNED or more), or if it fails one of the other rules and
-its host is known for that (shrunk rate of NOTORIOUS or more).
+hosts' by a beta prior that is fitted to the hosts' own rates (method of moments, less what chance alone would spread
+them), so that a host of few documents is not judged by them alone. The verdicts are joined back to the documents: a
+document goes if it fails the base rules, if its host is condemned (shrunk rate of base failures of CONDEMNED or more),
+or if it exceeds the bar of one of the other rules that its host has earned: LENIENCE times the rule's own bar at a rate
+of 0, the rule's own bar from a rate of NOTORIOUS on, in between by the rate.
 """
 
 from __future__ import annotations
@@ -12,19 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm.shared import drop_ids, stash
+from bundlelens.llm.shared import BROADCAST_BYTES, drop_ids, stash
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
-CONDEMNED, NOTORIOUS = 0.9, 0.5
+CONDEMNED, NOTORIOUS, LENIENCE = 0.9, 0.5, 2.0
 #: Bounds of the prior's weight, in documents.
 MIN_WEIGHT, MAX_WEIGHT = 1.0, 1e6
-#: The rules besides the base rules: a document fails where the condition holds.
+#: The rules besides the base rules, with {m} for the multiple of the bar: a document fails where that of 1 is exceeded.
 RULES = {
-    "symbols": "n_symbols * 10 > n_words",
-    "dup_lines": "n_dup_lines * 10 > n_lines * 3",
-    "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words",
+    "symbols": "n_symbols * 10 > {m} * n_words",
+    "dup_lines": "n_dup_lines * 10 > {m} * 3 * n_lines",
+    "word_length": "abs(2 * word_chars - 13 * n_words) > {m} * 7 * n_words",
 }
 
 
@@ -79,32 +80,41 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 
 
 def shrunk_rates(failures: DataFrame, rules: list[str]) -> DataFrame:
-    """(host, n, one shrunk rate per rule) from (host, n, one count of failures per rule)."""
-    moments = failures.agg(*[F.struct((F.sum(r) / F.sum("n")).alias("mean"), F.var_pop(F.col(r) / F.col("n")).alias("variance")).alias(r) for r in rules]).first()
+    """(host, n, one shrunk rate per rule) from (host, n, one count of failures per rule).
+
+    The prior's weight is 1 / rho - 1, where rho is the correlation of failures within hosts: by it the hosts' rates
+    spread more than samples of their sizes would. Hosts of one document say nothing of it.
+    """
+    totals = failures.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), *[F.struct(F.sum(r).alias("failed"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias("squares")).alias(r) for r in rules]).first()
     rates = []
     for r in rules:
-        mean, variance = moments[r].mean or 0.0, moments[r].variance or 0.0
-        weight = min(MAX_WEIGHT, max(MIN_WEIGHT, mean * (1 - mean) / variance - 1)) if variance > 0 else MAX_WEIGHT
+        mean = totals[r].failed / totals.n if totals.n else 0.0
+        rho = 0.0
+        if 0 < mean < 1 and totals.n > totals.hosts:
+            rho = ((totals[r].squares - totals[r].failed * mean) / (mean * (1 - mean)) - totals.hosts) / (totals.n - totals.hosts)
+        weight = min(MAX_WEIGHT, max(MIN_WEIGHT, 1 / rho - 1)) if rho > 0 else MAX_WEIGHT
         rates.append(((F.col(r) + F.lit(weight * mean)) / (F.col("n") + F.lit(weight))).alias(r))
     return failures.select("host", "n", *rates)
 
 
 def judge(df: DataFrame, **columns: str) -> DataFrame:
-    """The measures of every row and `kept`. An empty table gives no rows; one host alone is its own prior."""
-    measured = stash(measures(df, **columns).withColumns({f"failed_{r}": F.expr(rule) for r, rule in RULES.items()}), "quality")
+    """The measures of every row and `kept`. An empty table gives no rows; one host alone is its own prior.
+
+    Verdicts are broadcast while they are few (BROADCAST_BYTES). Many are joined by the host, where adaptive execution
+    splits a host of many rows; what is shuffled are the measures, not the texts."""
+    measured = stash(measures(df, **columns).withColumns({f"failed_{r}": F.expr(rule.format(m="1")) for r, rule in RULES.items()}), "quality")
     rules = ["base", *RULES]
-    failures = measured.groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"{'base_failed' if r == 'base' else f'failed_{r}'}")).alias(r) for r in rules])
-    rates = shrunk_rates(failures, rules)
-    verdicts = rates.select(F.col("host").alias("of"), (F.col("base") >= CONDEMNED).alias("condemned"), *[(F.col(r) >= NOTORIOUS).alias(f"known_{r}") for r in RULES])
-    bad = F.col("condemned")
-    for r in RULES:
-        bad = bad | (F.col(f"known_{r}") & F.col(f"failed_{r}"))
-    # only hosts with a verdict against them are joined
-    against = F.col("condemned")
-    for r in RULES:
-        against = against | F.col(f"known_{r}")
-    joined = measured.join(verdicts.where(against), measured.host == F.col("of"), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))).alias("kept"))
+    failures = stash(measured.groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"{'base_failed' if r == 'base' else f'failed_{r}'}")).alias(r) for r in rules]), "quality-hosts")
+    verdicts = shrunk_rates(failures, rules).select(
+        F.col("host").alias("of"), (F.col("base") >= CONDEMNED).alias("condemned"),
+        *[(LENIENCE - (LENIENCE - 1) * F.least(F.lit(1.0), F.col(r) / NOTORIOUS)).alias(f"bar_{r}") for r in RULES],
+    )
+    verdicts = F.broadcast(verdicts) if failures.count() * 200 <= BROADCAST_BYTES else verdicts
+    bad = F.col("base_failed") | F.col("condemned")
+    for r, rule in RULES.items():
+        bad = bad | F.expr(rule.format(m=f"bar_{r}"))
+    joined = measured.join(verdicts, measured.host == F.col("of"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~bad).alias("kept"))
 
 
 def drop_rejected(df: DataFrame) -> DataFrame:
@@ -129,12 +139,14 @@ m AS (SELECT doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN covered USING (k)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-             {', '.join(f'({rule}) AS failed_{r}' for r, rule in RULES.items())} FROM m),
+             {', '.join(f'({rule.format(m="1")}) AS failed_{r}' for r, rule in RULES.items())} FROM m),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS base, {', '.join(f'count(*) FILTER (failed_{r}) AS {r}' for r in RULES)} FROM f GROUP BY host),
-p AS (SELECT {', '.join(f'sum({r}) / sum(n) AS mean_{r}, var_pop({r} / n) AS var_{r}' for r in ['base', *RULES])} FROM h),
-q AS (SELECT *, {', '.join(f'CASE WHEN var_{r} > 0 THEN least({MAX_WEIGHT}, greatest({MIN_WEIGHT}, mean_{r} * (1 - mean_{r}) / var_{r} - 1)) ELSE {MAX_WEIGHT} END AS weight_{r}' for r in ['base', *RULES])} FROM p),
-v AS (SELECT host, {', '.join(f'({r} + weight_{r} * mean_{r}) / (n + weight_{r}) AS rate_{r}' for r in ['base', *RULES])} FROM h, q)
+p AS (SELECT count(*) AS hosts, sum(n) AS total, {', '.join(f'sum({r}) / sum(n) AS mean_{r}, sum({r} * {r} / n) - sum({r}) * sum({r}) / sum(n) AS spread_{r}' for r in ['base', *RULES])} FROM h),
+q AS (SELECT *, {', '.join(f'CASE WHEN mean_{r} > 0 AND mean_{r} < 1 AND total > hosts THEN (spread_{r} / (mean_{r} * (1 - mean_{r})) - hosts) / (total - hosts) ELSE 0 END AS rho_{r}' for r in ['base', *RULES])} FROM p),
+v AS (SELECT host, {', '.join(f'({r} + weight_{r} * mean_{r}) / (n + weight_{r}) AS rate_{r}' for r in ['base', *RULES])}
+      FROM h, (SELECT *, {', '.join(f'CASE WHEN rho_{r} > 0 THEN least({MAX_WEIGHT}, greatest({MIN_WEIGHT}, 1 / rho_{r} - 1)) ELSE {MAX_WEIGHT} END AS weight_{r}' for r in ['base', *RULES])} FROM q)),
+b AS (SELECT host, rate_base, {', '.join(f'{LENIENCE} - ({LENIENCE} - 1) * least(1.0, rate_{r} / {NOTORIOUS})::DOUBLE AS bar_{r}' for r in RULES)} FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND rate_base < {CONDEMNED} AND NOT ({' OR '.join(f'(failed_{r} AND rate_{r} >= {NOTORIOUS})' for r in RULES)}) AS kept
-FROM f JOIN v USING (host)
+       NOT base_failed AND rate_base < {CONDEMNED} AND NOT ({' OR '.join(f'({rule.format(m=f"bar_{r}")})' for r, rule in RULES.items())}) AS kept
+FROM f JOIN b USING (host)
 """

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from bundlelens.llm import quality
 
 
@@ -35,18 +37,68 @@ def test_measures(spark, tmp_path):
     assert found == {i: brute(t) for i, t, *_ in rows}
 
 
-def test_verdicts(spark, tmp_path):
-    """A host whose documents nearly all fail is condemned, one small host is shrunk to the others, notorious ones lose what fails."""
+def brute_kept(rows):
+    """rows: (doc_id, text, host). Rates, prior and bars in plain Python."""
+    found, hosts = [], {}
+    for _, text, host in rows:
+        n, chars, symbols, dups, _, base = brute(text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        over = {"symbols": symbols / (0.1 * n) if n else 0, "dup_lines": dups / (0.3 * lines) if lines else 0, "word_length": abs(chars / n - 6.5) / 3.5 if n else 0}
+        found.append((base, over))
+        hosts.setdefault(host or "", []).append({"base": base} | {r: x > 1 for r, x in over.items()})
+    total = sum(map(len, hosts.values()))
+    rates = {}
+    for rule in ("base", *quality.RULES):
+        failed = {h: sum(x[rule] for x in own) for h, own in hosts.items()}
+        mean, rho = sum(failed.values()) / total, 0
+        if 0 < mean < 1 and total > len(hosts):
+            spread = sum(len(own) * (failed[h] / len(own) - mean) ** 2 for h, own in hosts.items())
+            rho = (spread / mean / (1 - mean) - len(hosts)) / (total - len(hosts))
+        weight = min(1e6, max(1, 1 / rho - 1)) if rho > 0 else 1e6
+        for h, own in hosts.items():
+            rates[h, rule] = (failed[h] + weight * mean) / (len(own) + weight)
+    for (i, _, host), (base, over) in zip(rows, found, strict=True):
+        bars = {r: 2 - min(1, rates[host or "", r] / 0.5) for r in quality.RULES}
+        if not base and rates[host or "", "base"] < 0.9 and not any(over[r] > bars[r] for r in bars):
+            yield i
+
+
+@pytest.mark.parametrize("limit", [quality.BROADCAST_BYTES, -1])
+def test_verdicts(spark, tmp_path, monkeypatch, limit):
+    """A host whose documents nearly all fail is condemned; what plainly fails a rule goes everywhere, what fails it by a
+    little only where the host is known for that"""
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", limit)
     rng = random.Random(2)
-    good = lambda: " ".join(f"word{rng.randrange(9000)}" for _ in range(80))
-    noisy = lambda: " ".join(f"word{rng.randrange(9000)}#" for _ in range(80))
-    hosts = {"clean": [good() for _ in range(300)], "bad": ["short"] * 400 + [good()] * 2, "noisy": [noisy() for _ in range(60)] + [good() for _ in range(20)], "tiny": ["short", noisy()], None: [good(), noisy()]}
+    text = lambda marked: " ".join(f"word{rng.randrange(9000)}" + "#" * (i < marked) for i in range(80))
+    hosts = {"clean": [text(0) for _ in range(300)] + [text(12)], "bad": ["short"] * 400 + [text(0)] * 2, "noisy": [text(12) for _ in range(60)] + [text(0) for _ in range(20)], "tiny": ["short", text(12)], None: [text(0), text(80), "a b c d e f g\n" * 30]}
+    hosts |= {f"single{i}": [text(12 * (i % 4 == 0))] for i in range(200)}
     rows = [(i, t, h, None, "x") for i, (h, t) in enumerate((h, t) for h, own in hosts.items() for t in own)]
     kept = {r.doc_id for r in run(spark, tmp_path, rows) if r.kept}
-    want = {i for i, t, h, *_ in rows if t != "short" and h != "bad" and not (h == "noisy" and "#" in t)}
-    assert kept == want
+    assert kept == set(brute_kept([r[:3] for r in rows]))
+    of = {h: {i for i, _, own, *_ in rows if own == h} for h in hosts}
+    assert of["clean"] <= kept and not of["bad"] & kept and len(of["noisy"] & kept) == 20 and len(of[None] & kept) == 1
+    assert all(of[f"single{i}"] <= kept for i in range(200) if i % 4)
     left = quality.drop_rejected(spark.read.parquet(f"{tmp_path}/documents.parquet"))
-    assert left.columns == ["doc_id", "text", "source", "kept", "w"] and {r.doc_id for r in left.collect()} == want
+    assert left.columns == ["doc_id", "text", "source", "kept", "w"] and {r.doc_id for r in left.collect()} == kept
+
+
+def test_hosts_of_one_document_are_shrunk(spark):
+    """Failures that are spread evenly say nothing about hosts: a host of one failing document has the rate of all."""
+    words = lambda i, marked: " ".join(f"word{i}{j}" + "#" * (j < marked) for j in range(80))
+    rows = [(i, words(i, 12 * (i % 10 == 0)), f"host{i if i < 300 else i % 7}") for i in range(1000)]
+    failures = [(h, sum(r[2] == h for r in rows), sum(r[2] == h and r[0] % 10 == 0 for r in rows)) for h in {r[2] for r in rows}]
+    rates = quality.shrunk_rates(spark.createDataFrame(failures, "host string, n long, symbols long"), ["symbols"])
+    assert all(0.05 < r.symbols < 0.2 for r in rates.collect())
+    assert all(r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+def test_bars_are_exclusive(spark):
+    """A document exactly at its bar stays; equal hosts get equal verdicts."""
+    words = lambda marked: " ".join(f"word{i}" + "#" * (i < marked) for i in range(100))
+    rows = [(i, words(marked), host) for i, (marked, host) in enumerate((m, h) for h in ("a", "b") for m in (10, 10, 21, 0))]
+    found = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found == {i: i in set(brute_kept(rows)) for i in range(8)}
+    assert found[0] and found[4] and not found[2] and not found[6]
 
 
 def test_repeats_nulls_and_empty(spark, tmp_path):
