@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from bundlelens.llm.shared import BROADCAST_BYTES, free_names, stash
 
-RATIO, MIN_PAGES = 0.2, 5
+#: On sites of some hundred pages, footers and notices are on more than a twentieth of them, sentences that merely recur on less.
+RATIO, MIN_PAGES = 0.05, 5
+#: Where boilerplate is too much to broadcast, the pages of a host are dealt to so many tasks at least.
+SALTS = 16
 BLANKS = " \t\r\x0b\f"
 
 
@@ -34,12 +37,18 @@ def boilerplate(df: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
 
 def _left(df: DataFrame, ratio: float, min_pages: int, text_col: str, host_col: str) -> tuple[DataFrame, str]:
     """`df` with one more column, and that column's name: the lines of each text that stay (null for null texts)."""
-    host, gone, left = free_names(df, "_host", "_lines", "_left")
+    host, gone, left, salt, own = free_names(df, "_host", "_lines", "_left", "_salt", "_own")
     found = stash(boilerplate(df, ratio, min_pages, text_col, host_col), "lines-boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("lines") * 8 + 100), F.lit(0))).first()[0]
     found = found.select(F.col("host").alias(host), F.col("lines").alias(gone))
-    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    joined = df.join(found, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(host), "left")
+    on = F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(host)
+    if size <= BROADCAST_BYTES:
+        found = F.broadcast(found)
+    else:
+        found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on &= F.col(own) == F.col(salt)
+    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map" not in kind and "variant" not in kind]
+    joined = df.withColumn(own, F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")).join(found, on, "left")
     stay = F.filter(_lines(F.col(text_col)), lambda x: F.col(gone).isNull() | ~F.array_contains(F.col(gone), F.xxhash64(x)))
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array(stay)).alias(left)), left
 
