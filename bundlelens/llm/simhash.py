@@ -19,6 +19,7 @@ from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bundlelens.llm.shared import BROADCAST_BYTES, drop_ids, stash
 
@@ -147,6 +148,29 @@ def forest(group, fps, radius: int = RADIUS, reference=None):
     return found[:, 0], found[:, 1]
 
 
+def whole_groups(batches: Iterable, keys: int) -> Iterator:
+    """(group numbers, columns) of batches of rows, cut only where the first `keys` columns change: rows that are equal in
+    them stand together. What is held is a batch and the group that goes on."""
+    import numpy as np
+
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        rows = rows if left is None else [np.concatenate(x) for x in zip(left, rows, strict=True)]
+        group = np.zeros(len(rows[0]), dtype=np.int64)
+        for c in rows[:keys]:
+            group[1:] |= c[1:] != c[:-1]
+        group = np.cumsum(group)
+        cut = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+        if cut:
+            yield group[:cut], [c[:cut] for c in rows]
+        left = [c[cut:] for c in rows]
+    if left is not None:
+        yield np.zeros(len(left[0]), dtype=np.int64), left
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that span the components of all pairs within `radius`."""
     import pyarrow as pa
@@ -161,38 +185,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, til
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     units = keyed.join(shared, ["choice", "key"]).select("fp", "choice", "key", own.alias("own"), other.alias("other")).select("fp", "choice", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     unit = ["choice", "key", "i", "j"]
-    dealt = units.repartition(*unit).sortWithinPartitions(*unit)
+    dealt = units.select(*unit, "fp").repartition(*unit).sortWithinPartitions(*unit)
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
 
-        reference, left = pivots(), None
-
-        def linked(columns) -> pa.RecordBatch:
-            group, fps = columns
+        reference = pivots()
+        for group, (*_, fps) in whole_groups(batches, 4):
             a, b = forest(group, fps.view(np.uint64), radius, reference)
-            a, b = np.minimum(fps[a], fps[b]), np.maximum(fps[a], fps[b])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        group = 0
-        last = None
-        for batch in batches:
-            fps, *unit_columns = (batch.column(i).to_numpy() for i in range(5))
-            if not len(fps):
-                continue
-            changed = np.zeros(len(fps), dtype=np.int64)
-            for c in unit_columns:
-                changed[1:] |= c[1:] != c[:-1]
-            begun = tuple(c[0] for c in unit_columns)
-            groups = group + (last is not None and begun != last) + np.cumsum(changed)
-            last, group = tuple(c[-1] for c in unit_columns), int(groups[-1])
-            columns = (groups, fps) if left is None else tuple(np.concatenate(x) for x in zip(left, (groups, fps), strict=True))
-            cut = int(np.searchsorted(columns[0], group))  # the last group may go on in the next batch
-            if cut:
-                yield linked(tuple(c[:cut] for c in columns))
-            left = tuple(c[cut:] for c in columns)
-        if left is not None:
-            yield linked(left)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fps[a], fps[b])), pa.array(np.maximum(fps[a], fps[b]))], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -242,55 +243,81 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
 # Similar texts. Two texts whose sets of shingles have a Jaccard coefficient of 0.8 differ in about ten of 64 bits, which
 # no short list of equal blocks can promise, and further than pivots can tell from chance. So candidates share one of the
 # rarest shingles of both: sets of s shingles that are similar share one of the first s - ceil(similarity * s) + 1 of each
-# in any order common to all texts. Bounds by sizes and by the parities of the hashes discard, which never lose a pair, and
-# what is left is verified by its shingles. Members of a group are first compared with its first one; then all pairs that
-# these links leave in different components are.
+# in any order common to all texts, and where they do first, enough shingles follow in both. A set's fingerprint is the
+# parities of its hashes: pivot tables of the fingerprints discard, then their own distances do, which never loses a pair;
+# what is left is verified by the texts' shingles. Members of a group are first compared with its first one; then all
+# pairs are that these links leave in different components.
+
+#: 64-bit words of a set's parities.
+WIDE = 32
+#: Of one in SAMPLED texts shingles are counted; the LISTED most frequent of those that COMMON texts or more have come last
+#: in the order. The order says how many candidates there are, never which pairs are found.
+SAMPLED, LISTED, COMMON = 8, 1 << 20, 2
+#: Words whose hashes, and sets whose names, a worker remembers.
+REMEMBERED = 1 << 19
+#: Texts compared with one other by a task at once.
+COMPARED = 256
+#: Of so many keys before a group's own each member knows which it has; so many words its folded fingerprint has.
+EARLIER, FOLDED = 4, 8
+
+
+class Shingles:
+    """Sets of word shingles as 64-bit hashes. Words are hashed by XXH64 once; a shingle's hash is made of its words'."""
+
+    def __init__(self, shingle: int):
+        import numpy as np
+        from xxhash import xxh64_intdigest
 
-#: 64-bit words of a set's parities. The chance that `sampling` reckons with.
-WIDE, RECALL = 32, 0.98
-#: Of one in SAMPLED texts shingles are counted; those in more than HEAVY of them, COMMON at least, come last in the order.
-#: The order says how many candidates there are, never which pairs are found.
-SAMPLED, HEAVY, COMMON = 8, 0.001, 3
+        self.shingle, self.known = shingle, {}
+        self.factors = np.array([xxh64_intdigest(str(i).encode(), SEED) | 1 for i in range(shingle)], dtype=np.uint64)
 
+    def __call__(self, text: str | None):
+        """The sorted distinct hashes of a text's shingles; of the whole sequence where it is shorter; empty without words."""
+        import numpy as np
+        from xxhash import xxh64_intdigest
 
-def shingle_set(text: str | None, shingle: int):
-    """The sorted distinct XXH64 of a text's shingles; of the whole sequence where it is shorter; empty without words."""
-    import numpy as np
+        own, known = words(text), self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(own).difference(known):
+            known[w] = xxh64_intdigest(w, SEED)
+        if len(own) < self.shingle:
+            return np.array([xxh64_intdigest(b" ".join(own), SEED)][: len(own)], dtype=np.uint64)
+        each = np.fromiter(map(known.__getitem__, own), dtype=np.uint64, count=len(own))
+        n = len(own) - self.shingle + 1
+        mixed = np.zeros(n, dtype=np.uint64)
+        for i, factor in enumerate(self.factors):
+            mixed += each[i : i + n] * factor
+            mixed ^= mixed >> np.uint64(29)
+        return np.unique(mixed)
+
+
+def set_name(hashes) -> int:
+    """A number that names a set of sorted hashes."""
     from xxhash import xxh64_intdigest
 
-    own = words(text)
-    if not own:
-        return np.zeros(0, dtype=np.uint64)
-    grams = zip(*(own[i:] for i in range(shingle)), strict=False) if len(own) >= shingle else [own]
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(x), SEED) for x in grams), dtype=np.uint64))
-
-
-def agreement(similarity: float) -> float:
-    """The share of equal bits of two sets of equal size with this Jaccard coefficient."""
-    from math import acos, pi
-
-    return 1 - acos(2 * similarity / (1 + similarity)) / pi
+    return _signed(xxh64_intdigest(hashes.tobytes(), SEED))
 
 
-def sampling(n: int, similarity: float) -> tuple[int, int]:
-    """(bits of a key, keys) for n texts, were candidates to agree on samples of bits with the chance RECALL."""
-    from math import ceil, log, log2
+def parities(hashes):
+    """64 * WIDE bits: whether an odd number of the hashes falls on each. Those of two sets differ in no more bits than the
+    sets do in elements."""
+    import numpy as np
 
-    bits = max(10, ceil(log2(max(n, 2))) + 2)
-    return bits, ceil(log(1 - RECALL) / log(1 - agreement(similarity) ** bits))
+    odd = np.bincount((hashes & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
-def parities(hashes):
-    """64 * WIDE bits as signed longs: whether an odd number of the hashes falls on each. Those of two sets differ in no
-    more bits than the sets do in elements."""
+def wide_pivots(n: int = PIVOTS):
+    """Reference fingerprints of 64 * WIDE bits."""
     import numpy as np
 
-    odd = np.bincount((hashes & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+    return pivots(n * WIDE).reshape(n, WIDE)
 
 
-def prefix(hashes, heavy, similarity: float):
-    """Of a set of sorted hashes, those one of which each similar set has in its own prefix: the heavy ones (sorted) last."""
+def prefix(hashes, listed, levels, similarity: float):
+    """Of a set of sorted hashes, those one of which each similar set has in its own prefix, in their order: listed ones
+    (sorted; with levels) last, by their levels."""
     from math import ceil
 
     import numpy as np
@@ -298,159 +325,226 @@ def prefix(hashes, heavy, similarity: float):
     if not len(hashes):
         return hashes
     n = len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1
-    if not len(heavy):
+    if not len(listed):
         return hashes[:n]
-    common = heavy[np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)] == hashes
-    return np.concatenate([hashes[~common], hashes[common]])[:n]
+    at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+    level = np.where(listed[at] == hashes, levels[at], 0)
+    return hashes[np.argsort(level, kind="stable")[:n]]
 
 
-def heavy_shingles(df: DataFrame, shingle: int, text_col: str):
-    """The sorted hashes of shingles that many of the sampled texts have: fewer than a text's shingles / HEAVY."""
+def common_shingles(df: DataFrame, shingle: int, text_col: str, id_col: str, most: int = LISTED):
+    """(sorted hashes, levels) of the most frequent shingles of the sampled texts, `most` at most; the level is the binary
+    logarithm of the count."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterable) -> Iterator:
+        shingles = Shingles(shingle)
         for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(0)]
+            sets = [shingles(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)).view(np.int64))], ["hash"])
 
-    asked = df.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
-    least = max(COMMON, int(HEAVY * asked.count()))
-    counted = asked.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("hash")
-    return np.sort(np.array([r.hash for r in counted.collect()], dtype=np.int64).view(np.uint64))
+    asked = df.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SAMPLED)) == 0).select(F.col(text_col).cast("string").alias("text"))
+    counted = stash(asked.mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON), "simhash-common")
+    # the least count whose shingles and all more frequent ones are no more than `most`
+    step = F.floor(F.log2("n") * 8).cast("int")
+    lowest, total = 1 << 30, 0
+    for row in counted.groupBy(step.alias("step")).agg(F.count("*").alias("types")).orderBy(F.desc("step")).collect():  # 512 steps at most
+        total += row.types
+        if total > most:
+            break
+        lowest = row.step
+    table = counted.where(step >= lowest).select("hash", F.floor(F.log2("n")).cast("int").alias("level")).toArrow()
+    hashes, levels = table.column("hash").to_numpy().view(np.uint64), table.column("level").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], levels[order].astype(np.uint8)
 
 
 def sketches(df: DataFrame, similarity: float, shingle: int, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, node, size, keys, bits): node names the set of shingles; keys are its prefix and bits its parities."""
+    """(doc_id, node, size, keys, bits, pivots): node names the set of shingles; keys are its prefix, bits its parities
+    and pivots their distances to the reference fingerprints. A task gives the keys of a set once; rows without an id
+    have none."""
     import pyarrow as pa
 
-    heavy = heavy_shingles(df, shingle, text_col)
+    common = df.sparkSession.sparkContext.broadcast(common_shingles(df, shingle, text_col, id_col))  # 9 bytes for each of LISTED
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
-        from xxhash import xxh64_intdigest
 
+        shingles, (listed, levels), reference, seen = Shingles(shingle), common.value, wide_pivots(), set()
         for batch in batches:
             nodes, sizes, keys, bits = [], [], [], []
-            for text in batch.column(1):
-                own = shingle_set(text.as_py(), shingle)
-                nodes.append(xxh64_intdigest(own.tobytes(), SEED))
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                own = shingles(text.as_py())
+                node = set_name(own)
+                nodes.append(node)
                 sizes.append(len(own))
-                keys.append(prefix(own, heavy, similarity).view(np.int64))
                 bits.append(parities(own))
-            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "size", "keys", "bits"])
+                fresh = doc_id.is_valid and node not in seen
+                keys.append(prefix(own, listed, levels, similarity).view(np.int64) if fresh else [])
+                if fresh:
+                    seen.add(node)
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+            table = np.stack(bits) if bits else np.zeros((0, WIDE), dtype=np.uint64)
+            distances = np.stack([np.bitwise_count(table ^ p).sum(axis=1, dtype=np.int16) for p in reference], axis=1)
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(list(table.view(np.int64)), pa.list_(pa.int64())), pa.array(list(distances), pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "size", "keys", "bits", "pivots"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, size int, keys array<long>, bits array<long>")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, size int, keys array<long>, bits array<long>, pivots array<short>")
 
 
-def _sized(x: Column, y: Column, similarity: float) -> Column:
-    """Whether sets of these sizes can be similar."""
-    return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-6
+def can_meet(x_size, x_at, y_size, y_at, similarity: float):
+    """Whether sets of these sizes (columns or arrays) can be similar if they first meet at these places."""
+    needed = (x_size + y_size) * (similarity / (1 + similarity)) - 1e-6
+    return (x_size - x_at >= needed) & (y_size - y_at >= needed)
 
 
-def _near(a: str, b: str, similarity: float) -> Column:
-    """Whether the sets of the rows `a` and `b` (size, bits) can be similar."""
-    apart = F.expr(" + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(WIDE)))
-    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
-    return _sized(x, y, similarity) & (apart <= (x + y) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose fingerprints can be those of similar sets: no pivot's distances differ by more than the sets
+    may, nor do the fingerprints themselves."""
+    x, y = nodes.select("node", "size", "bits", "pivots").alias("x"), nodes.select("node", "size", "bits", "pivots").alias("y")
+    most = (F.col("x.size") + F.col("y.size")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    coordinate = F.array_max(F.zip_with("x.pivots", "y.pivots", lambda p, q: F.abs(p - q)))
+    apart = F.expr(" + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(WIDE)))
+    met = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+    return met.where((coordinate <= most) & (apart <= most)).select("a", "b")
 
 
 def met(docs: DataFrame) -> DataFrame:
-    """(key, node, first, n) of the n nodes of each key that several of docs (doc_id, node, keys) have, once each; first
-    is the smallest. Rows without an id are left out. One shuffle by key; groups that no other node meets end there."""
+    """(key, node, size, at, first, first_size, first_at): for each key that several nodes of docs (node, size, keys) have,
+    each of these once, with the key's place in its order, and the same of the key's smallest node. One shuffle by key;
+    keys that no other node has end there. Groups are streamed, not held."""
     import pyarrow as pa
 
+    names = ["key", "node", "size", "at", "first", "first_size", "first_at"]
+
     def run(batches: Iterable) -> Iterator:
         import numpy as np
 
-        def groups(key, node) -> Iterator:
-            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-            key, node = key[new], node[new]
-            begins = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
-            sizes = np.diff(np.r_[begins, len(key)])
-            n, first = np.repeat(sizes, sizes), np.repeat(node[begins], sizes)
-            on = n > 1
-            if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (key, node, first, n.astype(np.int64))], ["key", "node", "first", "n"])
-
-        left: list = []
+        last = None  # the last row, its group's first one, and whether that is another
         for batch in batches:
-            key, node = (batch.column(i).to_numpy() for i in range(2))
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            if left and left[-1][0][-1] != key[0]:
-                yield from groups(*(np.concatenate(x) for x in zip(*left, strict=True)))
-                left = []
-            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
-            if cut:
-                yield from groups(*(np.concatenate(x) for x in zip(*left, (key[:cut], node[:cut]), strict=True)))
-                left = []
-            left.append((key[cut:], node[cut:]))
-        if left:
-            yield from groups(*(np.concatenate(x) for x in zip(*left, strict=True)))
-
-    keyed = docs.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "node")
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, first long, n long")
-
-
-def first_pairs(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+            rows = [batch.column(i).to_numpy() for i in range(4)]
+            if last:
+                rows = [np.concatenate(x) for x in zip(last[0], rows, strict=True)]
+            again = np.r_[False, (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])]
+            rows = [r[~again] for r in rows]
+            like = rows[0][1:] == rows[0][:-1]
+            begin = np.maximum.accumulate(np.where(np.r_[True, ~like], np.arange(len(rows[0])), 0))
+            first = [r[begin] for r in rows[1:]]
+            later = np.r_[False, like]
+            if last and last[2]:
+                later[0] = True
+                for column, value in zip(first, last[1], strict=True):
+                    column[begin == 0] = value
+            member = (later | np.r_[like, False])[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][member]) for c in (*rows, *first)], names)
+            last = [r[-1:] for r in rows], [c[-1] for c in first], bool(later[-1])
+        if last and last[2]:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*last[0], *(np.array([v]) for v in last[1]))], names)
+
+    keyed = docs.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", "size", "at")
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, size int, at int, first long, first_size int, first_at int")
+
+
+def first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs of each group's first member and another that can be similar; a < b."""
-    pairs = shared.where(F.col("first") < F.col("node")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    x, y = nodes.select("node", "size", "bits").alias("x"), nodes.select("node", "size", "bits").alias("y")
-    return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & _near("x", "y", similarity)).select("a", "b")
+    able = can_meet(F.col("size"), F.col("at"), F.col("first_size"), F.col("first_at"), similarity)
+    return shared.where((F.col("first") < F.col("node")) & able).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def other_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
-    """(a, b): all other pairs of each group that can be similar and are in different components so far; a < b."""
-    member = shared.where("n > 2").select("key", F.col("node").alias("member"), "first")
-    rooted = stash(member.join(roots, F.col("member") == F.col("node"), "left").select("key", "member", "first", F.coalesce("root", "member").alias("root")), "simhash-rooted")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select(F.col("key").alias("of"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    rows = rooted.join(open_, F.col("key") == F.col("of")).join(nodes.select("node", "size", "bits"), F.col("member") == F.col("node"))
-    rows = stash(rows.select("key", "member", "first", "root", "size", "bits", "tiles", F.pmod(F.xxhash64("member"), F.col("tiles")).cast("int").alias("own")), "simhash-open")
-    # a pair of tiles (i, j) with i <= j is a unit of work
-    columns = ["key", "member", "first", "root", "size", "bits"]
-    x = rows.select(*columns, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("j")).alias("x")
-    y = rows.select(*columns, F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j")).alias("y")
-    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.member") < F.col("y.member"))
-    new = (F.col("x.root") != F.col("y.root")) & (F.col("x.member") != F.col("x.first")) & (F.col("y.member") != F.col("y.first"))
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    pairs = x.join(y, on & once & new & _near("x", "y", similarity))
-    return pairs.select(F.least("x.member", "y.member").alias("a"), F.greatest("x.member", "y.member").alias("b")).distinct()
+    """(a, b): all other pairs of each group that can be similar and are in different components so far; a < b.
+    Fingerprints folded to FOLDED words, parities as well, discard most before they leave the group.
 
-
-def verified(pairs: DataFrame, named: DataFrame, df: DataFrame, similarity: float, shingle: int, text_col: str, id_col: str) -> DataFrame:
-    """The pairs whose texts' shingles are similar. named: (node, first) with the id of a text of each node."""
+    A pair that also shares one of the EARLIER keys before a group's is left to that key's group: so is no first one, and
+    copies that share all their keys are paired once and not once for each."""
     import pyarrow as pa
 
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = stash(named.where("first IS NOT NULL").join(needed, "node", "left_semi").select(F.col("first").alias("_id")), "simhash-asked")
-    asked = F.broadcast(asked) if asked.count() * 64 <= BROADCAST_BYTES else asked
-    texts = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("text")).join(asked, F.col("_doc") == F.col("_id"), "left_semi").select("text")
+    before = Window.partitionBy("node").orderBy("at")
+    earlier = [f"before{i}" for i in range(EARLIER)]
+    member = shared.select("key", "node", "size", "at", "first", *[F.coalesce(F.lag("key", i + 1).over(before), F.lit(0)).alias(c) for i, c in enumerate(earlier)])
+    member = member.where("node <> first").join(roots.select(F.col("node").alias("_of"), "root"), F.col("node") == F.col("_of"), "left")
+    member = stash(member.select("key", "node", "size", "at", *earlier, F.coalesce("root", "node").alias("root")), "simhash-rooted")
+    counted = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    parted = counted.where("low < high").select(F.col("key").alias("_key"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    folded = [F.expr(" ^ ".join(f"bits[{k}]" for k in range(i, WIDE, FOLDED))).alias(f"bits{i}") for i in range(FOLDED)]
+    bits = [f"bits{i}" for i in range(FOLDED)]
+    rows = member.join(parted, F.col("key") == F.col("_key")).join(nodes.select(F.col("node").alias("_named"), *folded), F.col("node") == F.col("_named"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    # a row meets every tile of its group, its own included: pairs of tiles (i, j), i <= j, are the units of work
+    met_tiles = rows.select("key", "node", "size", "at", "root", *earlier, *bits, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    unit = ["key", "i", "j"]
+    units = met_tiles.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "at", "root", *earlier, *bits)
+    dealt = units.repartition(*unit).sortWithinPartitions(*unit)
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
-        from xxhash import xxh64_intdigest
 
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
-            nodes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+        for group, (_, i, j, *columns) in whole_groups(batches, 3):
+            order = np.lexsort((columns[2], group))
+            group, alone, own, node, size, at, root, *others = (c[order] for c in (group, i == j, *columns))
+            keys, words_ = others[:EARLIER], others[EARLIER:]
+            rows, step = np.arange(len(node)), 1
+            while len(rows := rows[rows + step < len(node)]):
+                # sizes are sorted: a row has no partner farther on once one is too large
+                rows = rows[(group[rows] == group[rows + step]) & (size[rows + step] * similarity <= size[rows] + 1e-6)]
+                x, y = rows, rows + step
+                on = (root[x] != root[y]) & (alone[x] | (own[x] != own[y])) & can_meet(size[x], at[x], size[y], at[y], similarity)
+                x, y = x[on], y[on]
+                for p in keys:
+                    for q in keys:
+                        on = (p[x] != q[y]) | (p[x] == 0)
+                        x, y = x[on], y[on]
+                apart = sum(np.bitwise_count((w[x] ^ w[y]).view(np.uint64)).astype(np.int64) for w in words_)
+                on = apart <= (size[x] + size[y]) * (1 - similarity) / (1 + similarity) + 1e-6
+                x, y = x[on], y[on]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+                step += 1
 
-    def compare(batches: Iterable) -> Iterator:
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, named: DataFrame, df: DataFrame, similarity: float, shingle: int, text_col: str, id_col: str) -> DataFrame:
+    """The pairs whose texts' shingles are similar. named: (node, first) with the id of a text of each node.
+
+    A text is sent once to each of its partners' groups: those of `a`, cut into parts of about COMPARED texts."""
+    import pyarrow as pa
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).alias("parts")).withColumnRenamed("a", "_a")
+    dealt = pairs.join(parts, F.col("a") == F.col("_a")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    dealt = stash(dealt, "simhash-pairs")
+    roles = dealt.select("a", "part", F.col("b").alias("is"), F.lit(1).alias("turn")).unionByName(dealt.select("a", "part", F.col("a").alias("is"), F.lit(0).alias("turn")).distinct())
+    roles = stash(roles.join(named.where("first IS NOT NULL").select("node", F.col("first").alias("_id")), F.col("is") == F.col("node")).drop("node"), "simhash-roles")
+    roles = F.broadcast(roles) if roles.count() * 80 <= BROADCAST_BYTES else roles
+    texts = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("text")).join(roles, F.col("_doc") == F.col("_id"))
+    sent = texts.select("a", "part", "turn", "is", "text").repartition("a", "part").sortWithinPartitions("a", "part", "turn")
+
+    def run(batches: Iterable) -> Iterator:
         import numpy as np
 
+        shingles, group, hub = Shingles(shingle), None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    sets = stash(texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]), "simhash-sets")
-    compared = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return compared.mapInArrow(compare, "a long, b long")
+            found = []
+            for a, part, turn, name, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if (a, part) != group:
+                    group, hub = (a, part), None
+                own = shingles(text.as_py())
+                if set_name(own) != name:  # another text of the same id
+                    continue
+                if not turn:
+                    hub = own
+                elif hub is not None:
+                    shared = len(np.intersect1d(hub, own, assume_unique=True))
+                    if shared >= similarity * (len(hub) + len(own) - shared):
+                        found.append((a, name))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def similar(df: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -462,16 +556,15 @@ def similar(df: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col:
     alone.
     """
     docs = stash(sketches(df, similarity, shingle, text_col, id_col), "simhash-sketches")
-    nodes = stash(docs.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("size", "bits")]), "simhash-nodes")
-    named = nodes.where("first IS NOT NULL")
+    nodes = stash(docs.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("size", "bits", "pivots")]), "simhash-nodes")
     shared = stash(met(docs), "simhash-met")
-    check = lambda pairs, name: stash(verified(stash(pairs, f"simhash-{name}"), nodes.select("node", "first"), df, similarity, shingle, text_col, id_col), f"simhash-{name}-verified")
-    links = check(first_pairs(shared, named, similarity), "first")
-    more = check(other_pairs(shared, named, components(links), similarity), "others")
+    check = lambda pairs, name: stash(verified(stash(near(pairs, nodes, similarity), f"simhash-{name}"), nodes.select("node", "first"), df, similarity, shingle, text_col, id_col), f"simhash-{name}-verified")
+    links = check(first_pairs(shared, similarity), "first")
+    more = check(other_pairs(shared, nodes, components(links), similarity), "others")
     roots = components(links.unionByName(more))
     rooted = nodes.select("node", "first").join(roots.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("_node"), "component_id")
-    return docs.join(stash(named, "simhash-components"), F.col("node") == F.col("_node")).select("doc_id", "component_id")
+    return docs.select("doc_id", "node").join(stash(named, "simhash-components"), F.col("node") == F.col("_node")).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

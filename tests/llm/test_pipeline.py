@@ -31,7 +31,8 @@ def documents():
 
 
 def brute(rows):
-    rows = [r for r in rows if not test_quality.brute(r[1])[-1]]
+    kept = set(test_quality.brute_kept([(r[0], r[1], r[3]) for r in rows]))
+    rows = [r for r in rows if r[0] in kept]
     stay = test_lines.brute([(r[0], r[1], r[3]) for r in rows])
     texts = [(r[0], "\n".join(s) if any(x.strip(" \t\r\x0b\f") for x in s) else r[1], *r[2:4]) for r, s in zip(rows, stay)]
     components = test_simhash.brute_similar([(r[0], r[1]) for r in texts])
@@ -40,10 +41,10 @@ def brute(rows):
     kind = lambda t: "table" if " | " in t else "prose"
     for _, t, lang, s in texts:
         cells[s, lang, kind(t)] = cells.get((s, lang, kind(t)), 0) + len(t.split())
-    factor = test_mixing.brute_rake(cells, {})
+    probability = test_mixing.brute_rake(cells, {}, tolerance=mixing.TOLERANCE)
     library = Tokenizer.from_file(bpe.public_vocabulary())
     for i, t, lang, s in texts:
-        if int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 2**52 < min(1.0, mixing.FRACTION * factor[s, lang, kind(t)]):
+        if int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 2**52 < probability[s, lang, kind(t)]:
             ids = library.encode(t, add_special_tokens=False).ids
             yield i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()
 
