@@ -17,7 +17,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows without lineage, in the folder that `spark.checkpoint.dir` names."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bundlelens-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='bundlelens-')}")
     return df.checkpoint()
 
 

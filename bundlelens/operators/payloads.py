@@ -21,51 +21,61 @@ def compact(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"), default=str)
 
 
-# Indexed payloads: an array whose first element is the root, and whose elements name others by index.
+# Indexed payloads: an array whose first element is the root; inside objects, arrays and tagged arrays, numbers name other
+# elements.
 
-# Negative indices stand for values that JSON doesn't have; all read as null but for the zero.
+# Negative numbers stand for values that JSON doesn't have; all read as null but for the zero.
 SPECIAL = {-1: None, -2: None, -3: None, -4: None, -5: None, -6: 0}
+# Tags of arrays, by what follows them: a text as it is, a pattern and its flags, elements, pairs of two
+# elements, pairs of a name and an element. Any other tag wraps one element.
+TAGGED = {"Date": "text", "BigInt": "text", "URL": "text", "RegExp": "pattern", "Set": "elements", "Map": "pairs", "null": "named"}
+#: Values that a payload may have when its shared elements are written out each time.
+MOST_VALUES = 1 << 18
+
+
+class _Elements:
+    """The elements of an indexed payload, each resolved once; `sizes` has how many values each is written out."""
+
+    def __init__(self, source: list):
+        self.source, self.found, self.sizes, self.open = source, {}, {}, set()
+
+    def element(self, at: Any, depth: int) -> tuple[Any, int]:
+        """(value, its size). A number that names no element is null, and so is one whose element holds this place."""
+        if type(at) is not int:
+            return at, 1
+        if at < 0 or at >= len(self.source) or at in self.open or depth > DEPTH:
+            return SPECIAL.get(at), 1
+        if at not in self.found:
+            self.open.add(at)
+            self.found[at], self.sizes[at] = self.resolved(self.source[at], depth + 1)
+            self.open.discard(at)
+            if self.sizes[at] > MOST_VALUES:
+                raise ValueError("the payload is too large when its shared values are written out")
+        return self.found[at], self.sizes[at]
+
+    def resolved(self, own: Any, depth: int) -> tuple[Any, int]:
+        if isinstance(own, dict):
+            names, held = list(own), [self.element(x, depth) for x in own.values()]
+            return dict(zip(names, (v for v, _ in held), strict=True)), 1 + sum(n for _, n in held)
+        if not isinstance(own, list):
+            return own, 1
+        kind, rest = (TAGGED.get(own[0], "wrapped"), own[1:]) if own and isinstance(own[0], str) else ("elements", own)
+        if kind == "text":
+            return (rest[0] if rest else None), 1
+        if kind == "pattern":
+            return "/{}/{}".format(*[*rest, "", ""][:2]), 1
+        if kind == "wrapped":
+            return self.element(rest[0], depth) if rest else (None, 1)
+        held = [self.element(x, depth) if kind != "named" or i % 2 else (x, 1) for i, x in enumerate(rest)]
+        size = 1 + sum(n for _, n in held)
+        values = [v for v, _ in held]
+        return (values if kind == "elements" else {str(k): v for k, v in zip(values[::2], values[1::2], strict=False)}), size
 
 
 def hydrate(values: Any) -> Any:
-    """The value that an indexed payload stands for. Cycles end in null; dates, big integers and URLs are their texts."""
-    if not isinstance(values, list) or not values:
-        return values
-    open_: set[int] = set()
-
-    def at(i: Any, depth: int) -> Any:
-        if not isinstance(i, int) or isinstance(i, bool) or depth > DEPTH:
-            return i if depth <= DEPTH else None
-        if i < 0:
-            return SPECIAL.get(i)
-        if i >= len(values) or i in open_:
-            return None
-        open_.add(i)
-        try:
-            return of(values[i], depth + 1)
-        finally:
-            open_.discard(i)
-
-    def of(v: Any, depth: int) -> Any:
-        if isinstance(v, dict):
-            return {k: at(x, depth) for k, x in v.items()}
-        if not isinstance(v, list):
-            return v
-        if not v or not isinstance(v[0], str):
-            return [at(x, depth) for x in v]
-        tag, rest = v[0], v[1:]
-        if tag in ("Date", "BigInt", "URL"):
-            return rest[0] if rest else None
-        if tag == "RegExp":
-            return f"/{rest[0] if rest else ''}/{rest[1] if len(rest) > 1 else ''}"
-        if tag == "Set":
-            return [at(x, depth) for x in rest]
-        if tag in ("Map", "null"):
-            key = (lambda x: str(at(x, depth))) if tag == "Map" else str
-            return {key(k): at(x, depth) for k, x in zip(rest[::2], rest[1::2], strict=False)}
-        return at(rest[0], depth) if rest else None
-
-    return at(0, 0)
+    """The value that an indexed payload stands for. Cycles end in null; dates, big integers and URLs are their texts.
+    ValueError for a payload that shares so much that it has more than MOST_VALUES values when written out."""
+    return _Elements(values).element(0, 0)[0] if isinstance(values, list) and values else values
 
 
 def hydrate_json(payload: str | None) -> str | None:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bundlelens.operators.graphs import cut
+
 
 def argmax(votes: DataFrame, by: list[str], choice: str, weight: str, order: str) -> DataFrame:
     """(by.., choice, weight): the choice with the largest sum of weights, the first seen where sums are equal.
@@ -52,17 +57,33 @@ def first_of_equal(rows: DataFrame, content: Column, key: str, order: str) -> Da
     return joined.withColumn("duplicate_of", F.when(F.col("_first") != F.col(key), F.col("_first"))).drop("_h", "_of", "_first")
 
 
-def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds unique_name: names with -2, -3.. for the second, third.. of those that differ in case at most.
+def first_free(rows: DataFrame, taken: DataFrame, candidate: Callable[[int], Column], order: str, fold: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Adds unique_name: for each row the first of candidate(1), candidate(2).. that is neither taken (column _taken, folded)
+    nor another row's. Of rows that want one name the first in order gets it. A round for each further candidate; rows that
+    have a name take no part in the next ones."""
+    done, k, rest = [], 1, rows
+    while True:
+        tried = rest.withColumn("unique_name", candidate(k)).withColumn("_low", fold(F.col("unique_name")))
+        marked = tried.join(taken, F.col("_low") == F.col("_taken"), "left").withColumn("_free", F.col("_taken").isNull()).drop("_taken")
+        rank = F.row_number().over(Window.partitionBy("_low").orderBy(order))
+        settled = cut(marked.withColumn("_free", F.col("_free") & (rank == 1)))
+        won = settled.where("_free")
+        done.append(won.drop("_free", "_low"))
+        rest = settled.where("NOT _free").drop("_free", "_low", "unique_name")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        taken, k = taken.unionByName(won.select(F.col("_low").alias("_taken"))), k + 1
 
-    A suffixed name that another row has by itself is passed over to that row: it takes `-n-2` instead.
-    """
+
+def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """Adds unique_name: names with -2, -3.. for the second, third.. of those that differ in case at most. A suffixed name
+    that another row has is left to it; the next ones are `-n-2`, `-n-3`.. until one is free."""
     low = F.lower(F.col(name))
     numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(low).orderBy(order)))
-    first = numbered.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), F.col("_n"))))
-    own = rows.select(low.alias("_taken")).distinct()
-    marked = first.join(own, (F.lower("unique_name") == F.col("_taken")) & (F.col("_n") > 1), "left")
-    return marked.withColumn("unique_name", F.when(F.col("_taken").isNull(), F.col("unique_name")).otherwise(F.concat(F.col("unique_name"), F.lit("-2")))).drop("_n", "_taken")
+    first = numbered.where("_n = 1").withColumn("unique_name", F.col(name))
+    further = numbered.where("_n > 1")
+    again = lambda k: F.concat(F.col(name), F.lit("-"), F.col("_n"), F.lit(f"-{k}" if k > 1 else ""))
+    return first.unionByName(first_free(further, rows.select(low.alias("_taken")).distinct(), again, order, F.lower)).drop("_n")
 
 
 def shares_of(rows: DataFrame, by: list[str], test: Column) -> DataFrame:

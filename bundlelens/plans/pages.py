@@ -254,13 +254,13 @@ PAGE_SERVICES = "WITH f AS (SELECT page_id, html FROM pages UNION ALL SELECT * F
 
 def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.octet_length("html").cast("long")
-    return read(spark, sf_dir).select("page_id", n.alias("octets"), numbers.ratio(F.length("html").cast("double"), n.cast("double")).alias("characters_per_octet"), text.snippet(F.substring("html", 1, 400), 80).alias("snippet"))
+    return read(spark, sf_dir).select("page_id", n.alias("octets"), numbers.ratio(F.length("html").cast("double"), n.cast("double")).alias("characters_per_octet"), text.snippet(F.col("html"), 80).alias("snippet"))
 
 
 PAGE_SIZES = r"""
 SELECT page_id, strlen(html)::BIGINT AS octets, round(length(html)::DOUBLE / strlen(html), 3) AS characters_per_octet,
        CASE WHEN length(s) > 80 THEN left(s, 77) || '...' ELSE s END AS snippet
-FROM (SELECT page_id, html, trim(regexp_replace(substr(html, 1, 400), '\s+', ' ', 'g')) AS s FROM pages)
+FROM (SELECT page_id, html, trim(regexp_replace(html, '\s+', ' ', 'g')) AS s FROM pages)
 """
 
 QUERIES = {

@@ -10,23 +10,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bundlelens.functions import urls
+from bundlelens.operators.graphs import cut
+from bundlelens.operators.votes import first_free
 
 TOOL = "bundlelens"
 
 
 def placed(files: DataFrame) -> DataFrame:
-    """Files (path, content, ord) with safe paths, each once: equal content at an equal path is one file, a file whose
-    path another file needs as directory goes to `~dir`, further ones of a path get `~2`, `~3`.."""
+    """Files (path, content, ord) with safe paths, each once and none lost: equal content at an equal path is one file, a
+    file whose path others need as directory goes to `~dir`, further ones of a path get `~2`, `~3`.. as far as these are
+    free. Contents stay where they are: only paths and digests are settled."""
     rows = files.withColumn("path", urls.safe_path(F.col("path"))).withColumn("_h", F.sha2(F.col("content").cast("binary"), 256))
-    once = rows.groupBy("path", "_h").agg(F.min("ord").alias("ord"), F.any_value("content").alias("content"))
-    parts = F.split("path", "/", -1)
-    parents = once.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_dir"), F.col("path").alias("_of")).where("_dir <> _of").select("_dir").distinct()
-    marked = once.join(parents, F.col("path") == F.col("_dir"), "left").withColumn("path", F.when(F.col("_dir").isNull(), F.col("path")).otherwise(F.concat("path", F.lit("~dir"))))
-    numbered = marked.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("ord")))
-    dot = F.regexp_extract("path", r"^(.*[^/])(\.[^./]*)$", 2)
-    stem = F.expr("left(path, length(path) - length(_dot))")
-    suffixed = numbered.withColumn("_dot", dot).withColumn("path", F.when(F.col("_n") == 1, F.col("path")).otherwise(F.concat(stem, F.lit("~"), F.col("_n").cast("string"), F.col("_dot"))))
-    return suffixed.select("path", "content", "ord")
+    rows = rows.groupBy("path", "_h").agg(F.min("ord").alias("ord"), F.any_value("content").alias("content"))
+    at = cut(rows.select(F.col("path").alias("_path"), "_h", F.col("ord").alias("_ord"), "path"))
+    while True:
+        numbered = at.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("_ord", "_path", "_h")))
+        first, further = numbered.where("_n = 1"), numbered.where("_n > 1")
+        dot = F.regexp_extract("path", r"^(.*[^/])(\.[^./]*)$", 2)
+        stem = F.expr("left(path, length(path) - length(_dot))")
+        again = lambda k: F.concat(stem, F.lit("~"), (F.col("_n") + (k - 1)).cast("string"), F.col("_dot"))  # noqa: B023, E731
+        moved = first_free(further.withColumn("_dot", dot), at.select(F.col("path").alias("_taken")).distinct(), again, "_ord").drop("path", "_dot").withColumnRenamed("unique_name", "path")
+        at = first.unionByName(moved).drop("_n")
+        parts = F.split("path", "/", -1)
+        folders = at.where(F.size(parts) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_dir")).distinct()
+        marked = cut(at.join(folders, F.col("path") == F.col("_dir"), "left"))
+        at = marked.withColumn("path", F.when(F.col("_dir").isNull(), F.col("path")).otherwise(F.concat("path", F.lit("~dir")))).drop("_dir")
+        if marked.where("_dir IS NOT NULL").isEmpty():
+            break
+    joined = rows.join(at.select(F.col("_path").alias("_of"), F.col("_h").alias("_as"), F.col("path").alias("_to")), (F.col("path") == F.col("_of")) & F.col("_h").eqNullSafe(F.col("_as")))
+    return joined.select(F.col("_to").alias("path"), "content", "ord")
 
 
 def resolve_inside(root: str, relative: str) -> str:

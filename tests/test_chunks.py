@@ -106,6 +106,17 @@ def test_tree(spark, tmp_path):
         trees.resolve_inside("/tmp/out", "../escape")
 
 
+def test_no_file_is_lost(spark, tmp_path):
+    paths = ["x.js", "x.js", "x~2.js", "x~2.js/y", "d", "d/e", "d/e/f", "d~dir", "x.js"]
+    files = spark.createDataFrame([(p, f"text {i}", i) for i, p in enumerate(paths)], "path string, content string, ord int")
+    placed = trees.placed(files)
+    found = [r.path for r in placed.collect()]
+    assert len(found) == len(set(found)) == len(paths) and not any(b.startswith(a + "/") for a in found for b in found)
+    trees.write_tree(placed, str(tmp_path / "out"))
+    written = sorted(p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file() and p.name != "manifest.json")
+    assert written == [f"text {i}" for i in range(len(paths))]
+
+
 def test_reports(spark):
     one = spark.createDataFrame([(1, "x")], "n int, s string")
     assert json.loads(trees.manifest({"summary": one, "more": one}).first()[0]) == {"tool": "bundlelens", "summary": {"n": 1, "s": "x"}, "more": {"n": 1, "s": "x"}}

@@ -19,7 +19,22 @@ def test_run(spark, tmp_path):
     spark.createDataFrame([("https://h.test/m.js", 'import"./n.js";export const a=1')], "url string, body string").write.parquet(f"{tmp_path}/assets")
     args = [f"{tmp_path}/pages", "--assets", f"{tmp_path}/assets", "--out", f"{tmp_path}/out"]
     tables = job.run(spark, job.parse_options(args))
-    assert {k: v.count() for k, v in tables.items()} == {"links": 1, "resources": 0, "adapters": 1, "inline_scripts": 0, "modules": 1, "diagnostics": 1, "missing": 1}
+    assert {k: v.count() for k, v in tables.items()} == {"links": 1, "resources": 0, "adapters": 1, "inline_scripts": 0, "modules": 1, "diagnostics": 1, "missing": 1, "issues": 0}
+
+
+def test_limits_and_issues(spark, tmp_path):
+    links = lambda *to: " ".join(f'<a href="{t}">' for t in to)
+    pages = [(1, "https://h.test/a/", links("b", "c", "https://other.test/")), (2, "https://h.test/a/b", links("d")), (3, "https://h.test/a/c", links("/out")), (4, "https://h.test/a/d", "<p>"), (5, "https://h.test/out", "<p>"), (6, "https://other.test/", "<p>"), (7, "https://h.test/a/unlinked", "<p>"), (8, "https://h.test/large", "x" * 2000), (9, "https://h.test/none", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([("https://h.test/m.js", None), ("https://h.test/n.js", "y" * 2000)], "url string, body string").write.parquet(f"{tmp_path}/assets")
+    adapters_of = lambda *more: {r.page_id for r in job.run(spark, job.parse_options([f"{tmp_path}/pages", "--out", "x", "--max-bytes", "1000", *more]))["adapters"].collect()}
+    assert adapters_of() == {1, 2, 3, 4, 5, 6, 7}
+    assert adapters_of("--scope-url", "https://h.test/a/") == {1, 2, 3, 4}
+    assert adapters_of("--scope-url", "https://h.test/a/", "--include-external") == {1, 2, 3, 4, 5, 6}
+    assert adapters_of("--scope-url", "https://h.test/a/", "--depth", "1") == {1, 2, 3}
+    assert adapters_of("--scope-url", "https://h.test/a/", "--max-pages", "2") == {1, 2}
+    tables = job.run(spark, job.parse_options([f"{tmp_path}/pages", "--assets", f"{tmp_path}/assets", "--out", "x", "--max-bytes", "1000"]))
+    assert {(r.url, r.issue) for r in tables["issues"].collect()} == {("https://h.test/large", "too large"), ("https://h.test/none", "empty"), ("https://h.test/m.js", "empty"), ("https://h.test/n.js", "too large")}
 
 
 def test_registry(spark):

@@ -1,5 +1,7 @@
 import random
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,19 @@ def test_equal_content_and_unique_names(spark):
     assert {r.id: r.unique_name for r in votes.unique_names(names, "name", "id").collect()} == {1: "Foo", 2: "foo-2-2", 3: "bar", 4: "foo-2", 5: "FOO-3"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_names_are_unique(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a", "A", "b"]) + rng.choice(["", "-2", "-2-2", "-3"])) for i in range(40)] + [(99, None)]
+    found = votes.unique_names(spark.createDataFrame(rows, "id int, name string"), "name", "id").collect()
+    names = [r.unique_name.lower() for r in found if r.name]
+    assert len(found) == len(rows) and len(set(names)) == len(names)
+    first = {}
+    for i, n in sorted((r for r in rows if r[1]), key=lambda r: r[0]):
+        first.setdefault(n.lower(), i)
+    assert all(r.unique_name == r.name for r in found if r.name and first[r.name.lower()] == r.id)
+
+
 def test_detection(spark):
     pages = spark.createDataFrame([(1, "/_next/static/x", {"X-Powered-By": "Next.js", "x-nextjs-cache": "1"}), (2, "plain", {}), (3, None, None)], "page_id long, html string, headers map<string,string>")
     row = detect.page_detections(pages).collect()

@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -16,6 +17,15 @@ def test_hydrate():
     assert payloads.hydrate([{"self": 0}]) == {"self": None} and payloads.hydrate([[5]]) == [None] and payloads.hydrate("x") == "x"
 
 
+def test_shared_elements_are_resolved_once():
+    assert payloads.hydrate([{"a": 1, "b": 1}, {"x": 2}, 9]) == {"a": {"x": 9}, "b": {"x": 9}}
+    # each element holds the next one twice: written out, 2 ** 60 values
+    doubling = [[i + 1, i + 1] for i in range(60)] + ["end"]
+    with pytest.raises(ValueError):
+        payloads.hydrate(doubling)
+    assert payloads.hydrate_json(json.dumps(doubling)) is None
+
+
 def test_nuxt_and_islands(spark):
     rows = payloads.nuxt_data(pages(spark, '<script type="application/json" id="__NUXT_DATA__">[{"a":1},"é"]</script>', "<script id='__NUXT_DATA__'>bad</script>", None)).collect()
     assert [(r.page_id, r.data) for r in rows] == [(0, '{"a":"é"}')]
