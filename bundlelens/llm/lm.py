@@ -7,8 +7,8 @@ class too; inside these last two kinds a word's share is its smoothed count. So
 word, those never seen included, and all of them sum to 1.
 
 Training is data-parallel: every partition runs truncated backpropagation over its training documents from the same
-start, carrying the state from window to window; of every `stride` windows one gives gradients. The replicas' weights are
-averaged by their numbers of tokens, chunk by chunk, on the executors. Scoring carries the state across windows from a
+start, carrying the state from window to window; every window gives gradients. The replicas' weights are averaged by
+their numbers of tokens, chunk by chunk and in two steps, on the executors. Scoring carries the state across windows from a
 document's first word to its end, and rare words' shares are joined to the documents by a shuffle of them alone.
 """
 
@@ -36,10 +36,10 @@ class Sizes(NamedTuple):
     suffix_inputs: int = 256  # rows of the input table for all words without one of their own
     hidden: int = 16
     lanes: int = 1024  # documents side by side
-    window: int = 16  # steps of backpropagation, and of scoring
-    stride: int = 4  # of so many windows one gives gradients
+    window: int = 16  # steps of backpropagation, and of scoring, at least
+    positions: int = 1 << 14  # of a window: it has more steps where there are fewer lanes
     rate: float = 0.1
-    tokens: int = 1 << 22  # that a task takes into memory at once
+    tokens: int = 1 << 21  # that a task takes into memory at once
     replica: int = 4_000_000  # training tokens of a replica
     counted: int = 500_000  # words that a task counts before it passes them on
 
@@ -159,11 +159,11 @@ class Network:
             self.class_b[:] = np.log(vocabulary.class_mass + 1e-30)
             self.word_b[:] = vocabulary.word_bias
 
-    def step(self, inputs, h):
-        """The next state, and what backpropagation needs."""
+    def step(self, x, h):
+        """The next state after reading rows of the input table, and what backpropagation needs."""
         import numpy as np
 
-        x, a = self.table[inputs], h @ self.recurrent
+        a = h @ self.recurrent
         n = self.sizes.hidden
         gates = np.tanh((x[:, : 2 * n] + a[:, : 2 * n]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
         z, r = gates[:, :n], gates[:, n:]
@@ -212,34 +212,31 @@ class Network:
         """One window of truncated backpropagation; the state after it."""
         import numpy as np
 
-        steps, n = len(inputs), self.sizes.hidden
-        kept, states = [], []
+        steps, n, most = len(inputs), self.sizes.hidden, len(h)
+        read = self.table[inputs]
+        before, z, r, new, an = np.empty((5, steps, most, n), dtype=np.float32)
         for t in range(steps):
-            h = h * ~fresh[t][:, None]
-            states.append(h)
             # the state before a token predicts it; then the token is read
-            h, cache = self.step(inputs[t], h)
-            kept.append(cache)
-        before = np.stack(states)
+            before[t] = h * ~fresh[t][:, None]
+            h, (_, z[t], r[t], new[t], an[t]) = self.step(read[t], before[t])
         on = live.reshape(-1)
         _, dh_on, grads = self.outputs(before.reshape(-1, n)[on], targets.reshape(-1)[on], learn=True)
-        dout = np.zeros((steps * len(h), n), dtype=np.float32)
+        dout = np.zeros((steps * most, n), dtype=np.float32)
         dout[on] = dh_on
-        dout = dout.reshape(steps, -1, n)
-        grads["recurrent"] = np.zeros_like(self.recurrent)
-        dx = np.empty((steps, len(h), 3 * n), dtype=np.float32)
-        dh = np.zeros_like(h)
+        dout = dout.reshape(steps, most, n)
+        # what each gate's gradient takes from the next state's, for all steps at once
+        to_z, to_new, to_r = (before - new) * z * (1 - z), (1 - z) * (1 - new * new), an * r * (1 - r)
+        da, dnew = np.empty((steps, most, 3 * n), dtype=np.float32), np.empty((steps, most, n), dtype=np.float32)
+        dh, back = np.zeros((most, n), dtype=np.float32), np.ascontiguousarray(self.recurrent.T)
         for t in range(steps - 1, -1, -1):
-            prev, z, r, new, an = kept[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (prev - new) * z * (1 - z)
-            dr = dnew * an * r * (1 - r)
-            da = np.concatenate([dz, dr, dnew * r], axis=1)
-            dx[t] = np.concatenate([dz, dr, dnew], axis=1)
-            grads["recurrent"] += prev.T @ da
-            dh = dh * z + da @ self.recurrent.T + dout[t]
-            dh *= ~fresh[t][:, None]
-        self.update(grads, inputs[live], dx[live], max(1, int(on.sum())))
+            np.multiply(dh, to_new[t], out=dnew[t])
+            np.multiply(dh, to_z[t], out=da[t, :, :n])
+            np.multiply(dnew[t], to_r[t], out=da[t, :, n : 2 * n])
+            np.multiply(dnew[t], r[t], out=da[t, :, 2 * n :])
+            dh = (dh * z[t] + da[t] @ back + dout[t]) * ~fresh[t][:, None]
+        grads["recurrent"] = before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
+        da[:, :, 2 * n :] = dnew
+        self.update(grads, inputs[live], da[live], max(1, int(on.sum())))
         return h
 
     def update(self, grads: dict[str, Any], rows, row_grads, n: int) -> None:
@@ -253,8 +250,10 @@ class Network:
             self.squares[k] += g * g
             getattr(self, k)[...] -= self.sizes.rate * g / np.sqrt(self.squares[k])
         order = np.argsort(rows, kind="stable")
-        own, first = np.unique(rows[order], return_index=True)
-        if len(own):
+        if len(rows):
+            rows = rows[order]
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            own = rows[first]
             g = np.add.reduceat(row_grads[order], first, axis=0) / np.float32(n)
             self.squares["table"][own] += g * g
             self.table[own] -= self.sizes.rate * g / np.sqrt(self.squares["table"][own])
@@ -285,6 +284,11 @@ def lanes(texts: list[tuple[Any, Any]], most: int):
     return tuple(np.ascontiguousarray(x.T) for x in (inputs, targets, number, fresh))
 
 
+def steps_of(n: int, sizes: Sizes) -> int:
+    """The steps of a window of n lanes: few lanes take more, so that each window has work enough."""
+    return max(sizes.window, min(8 * sizes.window, sizes.positions // n))
+
+
 def score_texts(network: Network, texts: list[tuple[Any, Any]]):
     """ln probability of each text's tokens, the tail's words as the tail."""
     import numpy as np
@@ -292,14 +296,14 @@ def score_texts(network: Network, texts: list[tuple[Any, Any]]):
     inputs, targets, number, fresh = lanes(texts, network.sizes.lanes)
     found = np.zeros(len(texts))
     h = np.zeros((inputs.shape[1], network.sizes.hidden), dtype=np.float32)
-    size = network.sizes.window
+    size = steps_of(inputs.shape[1], network.sizes)
     for begin in range(0, len(inputs), size):
         window = slice(begin, begin + size)
         states = []
         for t in range(begin, min(begin + size, len(inputs))):
             h = h * ~fresh[t][:, None]
             states.append(h)
-            h, _ = network.step(inputs[t], h)
+            h, _ = network.step(network.table[inputs[t]], h)
         own = number[window].reshape(-1)
         on = own >= 0
         ln = network.outputs(np.concatenate(states)[on], targets[window].reshape(-1)[on])
@@ -312,14 +316,10 @@ def train_texts(network: Network, texts: list[tuple[Any, Any]]) -> None:
 
     inputs, targets, number, fresh = lanes(texts, network.sizes.lanes)
     h = np.zeros((inputs.shape[1], network.sizes.hidden), dtype=np.float32)
-    size, stride = network.sizes.window, network.sizes.stride
-    for k, begin in enumerate(range(0, len(inputs), size)):
+    size = steps_of(inputs.shape[1], network.sizes)
+    for begin in range(0, len(inputs), size):
         window = slice(begin, begin + size)
-        if k % stride:
-            for t in range(begin, min(begin + size, len(inputs))):
-                h, _ = network.step(inputs[t], h * ~fresh[t][:, None])
-        else:
-            h = network.learn(inputs[window], targets[window], number[window] >= 0, fresh[window], h)
+        h = network.learn(inputs[window], targets[window], number[window] >= 0, fresh[window], h)
 
 
 def _gathered(batches: Iterable, vocabulary: Vocabulary, wanted) -> Iterator[list]:
@@ -368,8 +368,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, shared) -> Any:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["chunk", "n", "weights"])
 
     schema = "chunk int, n long, weights binary"
-    replicas = max(spark.sparkContext.defaultParallelism, vocabulary.n_tokens // vocabulary.sizes.replica)
-    found = docs.coalesce(replicas).mapInArrow(replica, schema).repartition("chunk").mapInArrow(average, schema).orderBy("chunk").collect()
+    replicas = max(1, vocabulary.n_tokens // vocabulary.sizes.replica)
+    trained = docs.coalesce(replicas).mapInArrow(replica, schema)
+    # sums over about the root of the replicas first, so that no task reads the weights of all
+    parts = max(1, math.isqrt(replicas))
+    partial = trained.repartition(parts * 8, "chunk", F.pmod(F.spark_partition_id(), F.lit(parts))).mapInArrow(average, schema)
+    found = partial.repartition("chunk").mapInArrow(average, schema).orderBy("chunk").collect()
     return np.concatenate([np.frombuffer(r.weights, dtype=np.float32) for r in found]) if found else Network(vocabulary).flat
 
 

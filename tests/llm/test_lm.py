@@ -101,7 +101,7 @@ def test_gradients(monkeypatch):
             h = h * ~fresh[t][:, None]
             on = number[t] >= 0
             total -= float(net.outputs(h[on], targets[t][on]).sum())
-            h, _ = net.step(inputs[t], h)
+            h, _ = net.step(net.table[inputs[t]], h)
         return total
 
     rng = np.random.default_rng(6)
@@ -119,7 +119,7 @@ def test_gradients(monkeypatch):
 
 @pytest.mark.parametrize("head", [64, 1 << 18])
 def test_query(spark, tmp_path, head):
-    sizes = lm.Sizes(head=head, neural=400, group=50, lanes=32, stride=1)
+    sizes = lm.Sizes(head=head, neural=400, group=50, lanes=32)
     rows = [*corpus(400), (7, None), (8, ""), (8, "b1 UNSEEN b2"), (None, "a1 a1"), (9, "a1 " * 20_000)]
     spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, words string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     found = sorted(map(tuple, lm.score_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"), sizes).collect()), key=lambda r: (str(r[0]), r[2]))
@@ -134,6 +134,14 @@ def test_query(spark, tmp_path, head):
     assert sum(r[6] for r in out) > sum(r[5] for r in out) + 0.05 * sum(r[2] for r in out)
 
 
+def test_registered_query_on_given_documents(spark):
+    """As registered, on a whole given table: texts held out are likelier than by counts, nearly each of them."""
+    rows = [r for r in lm.op7_lm(spark, "/root/testdata/sf0.1").collect() if r.held_out and r.n_tokens > 50]
+    assert len(rows) > 1000
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.1 * sum(r.n_tokens for r in rows)
+    assert sum(r.score > r.base_score for r in rows) > 0.95 * len(rows)
+
+
 def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if lm.held_out(i))
     row = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
