@@ -18,6 +18,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,7 @@ class Sizes(NamedTuple):
     window: int = 16  # steps of backpropagation, and of scoring, at least
     positions: int = 1 << 14  # of a window: it has more steps where there are fewer lanes
     rate: float = 0.1
+    block: int = 1 << 11  # rows of a softmax at once
     tokens: int = 1 << 21  # that a task takes into memory at once
     replica: int = 4_000_000  # training tokens of a replica
     counted: int = 500_000  # words that a task counts before it passes them on
@@ -106,7 +108,7 @@ class Vocabulary:
         self.n_neural = -(-m // sizes.group)
         self.classes = self.n_neural + sizes.suffix_classes + 1
         own = [i // sizes.group if i < m else self.n_neural + suffix(w, sizes.suffix_classes) for i, (w, _) in enumerate(head)]
-        self.class_of = np.array([*own, self.classes - 1], dtype=np.int32)
+        self.class_of = np.array([*own, self.classes - 1], dtype=np.int16 if self.classes < 1 << 15 else np.int32)
         self.input_of = np.array([i if i < m else m + suffix(w, sizes.suffix_inputs) for i, (w, _) in enumerate(head)] + [m], dtype=np.int32)
         weight = np.append(self.counts + 1, 0.0)
         # what the head's words leave of the smoothed total is the tail's: its words and the one never seen
@@ -126,7 +128,7 @@ class Vocabulary:
 
         own = words(text)
         get = self.ids.get
-        ids = np.array([get(w, -1) for w in own] + [self.end], dtype=np.int32)
+        ids = np.fromiter(chain(map(get, own, repeat(-1)), (self.end,)), dtype=np.int32, count=len(own) + 1)
         inputs = self.input_of[ids]
         rare = np.nonzero(ids < 0)[0].tolist()
         tail = [own[i] for i in rare]
@@ -170,56 +172,77 @@ class Network:
         new = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
         return new + z * (h - new), (h, z, r, new, a[:, 2 * n :])
 
-    def outputs(self, h, targets, learn: bool = False):
-        """ln probabilities of the targets (ids) after states h; with `learn` also the gradients."""
+    def shares(self, h, weights, bias, own, learn: bool):
+        """(ln shares of the columns `own`, with `learn` the scores' gradients) of a softmax over h @ weights + bias.
+
+        States lie within 1 of 0, so biases and weights bound every score. Where that bound is close to the largest score
+        it serves as the shift, else each row's largest score does.
+        """
         import numpy as np
 
-        v, group = self.v, self.sizes.group
-        logits = h @ self.class_w + self.class_b
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        own = v.class_of[targets]
+        spread = np.abs(weights).sum(axis=0)
+        shift = (bias + spread).max()
+        e = h @ weights + (bias - shift)
+        if spread.max() > 30:
+            e -= e.max(axis=1, keepdims=True)
         rows = np.arange(len(own))
-        found = logits[rows, own] - np.log(total) + v.share[targets]
+        found = e[rows, own]
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], dtype=np.float32)
+        found -= np.log(total)
         if learn:
-            e /= total[:, None]
+            e *= (1 / total)[:, None]
             e[rows, own] -= 1
-            grads = {"class_w": h.T @ e, "class_b": e.sum(axis=0), "word_w": np.zeros_like(self.word_w), "word_b": np.zeros_like(self.word_b)}
-            dh = e @ self.class_w.T
+        return found, e
+
+    def outputs(self, h, targets, learn: bool = False):
+        """ln probabilities of the targets (ids) after states h; with `learn` also the gradients."""
+        import numpy as np
+
+        v, group, block = self.v, self.sizes.group, self.sizes.block
+        own = v.class_of[targets]
+        # sorted by class, so that each class's rows are a slice; the sort of 16-bit numbers is linear
         order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(v.n_neural + 1))
-        for c in range(v.n_neural):
-            mine = order[ends[c] : ends[c + 1]]
-            if not len(mine):
-                continue
-            part = slice(c * group, min((c + 1) * group, v.neural))
-            hc, target = h[mine], targets[mine] - c * group
-            scores = hc @ self.word_w[part].T + self.word_b[part]
-            scores -= scores.max(axis=1, keepdims=True)
-            e = np.exp(scores)
-            total = e.sum(axis=1)
-            at = np.arange(len(mine))
-            found[mine] += scores[at, target] - np.log(total)
+        own, h, targets = own[order], h[order], targets[order]
+        found = v.share[targets]
+        dh = np.empty_like(h)
+        grads = {"class_w": np.zeros_like(self.class_w), "class_b": np.zeros_like(self.class_b), "word_w": np.zeros_like(self.word_w), "word_b": np.zeros_like(self.word_b)}
+        for at in range(0, len(h), block):  # of a size that stays in a core's cache
+            part = slice(at, at + block)
+            ln, e = self.shares(h[part], self.class_w, self.class_b, own[part], learn)
+            found[part] += ln
             if learn:
-                e /= total[:, None]
-                e[at, target] -= 1
-                grads["word_w"][part], grads["word_b"][part] = e.T @ hc, e.sum(axis=0)
-                dh[mine] += e @ self.word_w[part]
-        return (found, dh, grads) if learn else found
+                grads["class_w"] += h[part].T @ e
+                grads["class_b"] += e.sum(axis=0)
+                dh[part] = e @ self.class_w.T
+        ends = np.searchsorted(own, np.arange(v.n_neural + 1))
+        for c in range(v.n_neural):
+            words = slice(c * group, min((c + 1) * group, v.neural))
+            for at in range(ends[c], ends[c + 1], block):
+                part = slice(at, min(at + block, ends[c + 1]))
+                ln, e = self.shares(h[part], self.word_w[words].T, self.word_b[words], targets[part] - c * group, learn)
+                found[part] += ln
+                if learn:
+                    grads["word_w"][words] += e.T @ h[part]
+                    grads["word_b"][words] += e.sum(axis=0)
+                    dh[part] += e @ self.word_w[words]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return (found[back], dh[back], grads) if learn else found[back]
 
     def learn(self, inputs, targets, live, fresh, h):
         """One window of truncated backpropagation; the state after it."""
         import numpy as np
 
         steps, n, most = len(inputs), self.sizes.hidden, len(h)
+        keep = (~fresh).astype(np.float32)[..., None]
         read = self.table[inputs]
         before, z, r, new, an = np.empty((5, steps, most, n), dtype=np.float32)
         for t in range(steps):
             # the state before a token predicts it; then the token is read
-            before[t] = h * ~fresh[t][:, None]
+            before[t] = h * keep[t]
             h, (_, z[t], r[t], new[t], an[t]) = self.step(read[t], before[t])
-        on = live.reshape(-1)
+        on = np.flatnonzero(live)
         _, dh_on, grads = self.outputs(before.reshape(-1, n)[on], targets.reshape(-1)[on], learn=True)
         dout = np.zeros((steps * most, n), dtype=np.float32)
         dout[on] = dh_on
@@ -233,10 +256,10 @@ class Network:
             np.multiply(dh, to_z[t], out=da[t, :, :n])
             np.multiply(dnew[t], to_r[t], out=da[t, :, n : 2 * n])
             np.multiply(dnew[t], r[t], out=da[t, :, 2 * n :])
-            dh = (dh * z[t] + da[t] @ back + dout[t]) * ~fresh[t][:, None]
+            dh = (dh * z[t] + da[t] @ back + dout[t]) * keep[t]
         grads["recurrent"] = before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
         da[:, :, 2 * n :] = dnew
-        self.update(grads, inputs[live], da[live], max(1, int(on.sum())))
+        self.update(grads, inputs[live], da[live], max(1, len(on)))
         return h
 
     def update(self, grads: dict[str, Any], rows, row_grads, n: int) -> None:
@@ -249,8 +272,10 @@ class Network:
             g = g / np.float32(n)
             self.squares[k] += g * g
             getattr(self, k)[...] -= self.sizes.rate * g / np.sqrt(self.squares[k])
-        order = np.argsort(rows, kind="stable")
         if len(rows):
+            if len(self.table) < 1 << 15:
+                rows = rows.astype(np.int16)  # sorted in linear time
+            order = np.argsort(rows, kind="stable")
             rows = rows[order]
             first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             own = rows[first]
@@ -296,12 +321,12 @@ def score_texts(network: Network, texts: list[tuple[Any, Any]]):
     inputs, targets, number, fresh = lanes(texts, network.sizes.lanes)
     found = np.zeros(len(texts))
     h = np.zeros((inputs.shape[1], network.sizes.hidden), dtype=np.float32)
-    size = steps_of(inputs.shape[1], network.sizes)
+    size, keep = steps_of(inputs.shape[1], network.sizes), ~fresh[..., None]
     for begin in range(0, len(inputs), size):
         window = slice(begin, begin + size)
         states = []
         for t in range(begin, min(begin + size, len(inputs))):
-            h = h * ~fresh[t][:, None]
+            h = h * keep[t]
             states.append(h)
             h, _ = network.step(network.table[inputs[t]], h)
         own = number[window].reshape(-1)
