@@ -6,7 +6,8 @@ share one output, the tail. The output softmax is factored by classes: the `neur
 class too; inside these last two kinds a word's share is its smoothed count. So the model gives a probability to every
 word, those never seen included, and all of them sum to 1.
 
-Training is data-parallel: every partition runs truncated backpropagation over its training documents from the same
+Texts become ids once: a table of ids, written to the shared folder, is what training and scoring read, so neither looks
+words up again nor needs the vocabulary's words. Training is data-parallel: every partition runs truncated backpropagation over its training documents from the same
 start, carrying the state from window to window; every window gives gradients. The replicas' weights are averaged by
 their numbers of tokens, chunk by chunk and in two steps, on the executors. Scoring carries the state across windows from a
 document's first word to its end, and rare words' shares are joined to the documents by a shuffle of them alone.
@@ -18,6 +19,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from copy import copy
 from itertools import chain, repeat
 from typing import Any, NamedTuple
 
@@ -44,6 +46,7 @@ class Sizes(NamedTuple):
     tokens: int = 1 << 21  # that a task takes into memory at once
     replica: int = 4_000_000  # training tokens of a replica
     counted: int = 500_000  # words that a task counts before it passes them on
+    written: int = 1 << 18  # tokens that a task encodes before it passes them on
 
 
 #: Training leaves out the documents whose crc32(doc_id as text) mod 7 is this.
@@ -122,6 +125,12 @@ class Vocabulary:
         self.base = np.append(np.log10((self.counts + 1) / self.total), 0.0)
         self.word_bias = np.log(self.counts[:m] + 1).astype(np.float32)
 
+    def without_words(self) -> Vocabulary:
+        """All but the words themselves: what training and scoring need, and small."""
+        lean = copy(self)
+        lean.ids = {}
+        return lean
+
     def encode(self, text: str | None) -> tuple[Any, Any, list[bytes]]:
         """(output ids, input rows, the words of the tail) of a text and its end."""
         import numpy as np
@@ -347,37 +356,79 @@ def train_texts(network: Network, texts: list[tuple[Any, Any]]) -> None:
         h = network.learn(inputs[window], targets[window], number[window] >= 0, fresh[window], h)
 
 
-def _gathered(batches: Iterable, vocabulary: Vocabulary, wanted) -> Iterator[list]:
-    """Lists of (doc_id, ids, inputs, tail words) of the rows wanted, of `tokens` tokens or a little more."""
-    found, n = [], 0
+def encoded(docs: DataFrame, shared) -> DataFrame:
+    """Each document with a number of its own (row), its output ids and the input rows of its tail words as 32-bit numbers,
+    its sums over words of the head, and its tail words with their counts in it."""
+    import numpy as np
+    import pyarrow as pa
+
+    types = {"row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_head": pa.int64(), "base_head": pa.float64(), "ids": pa.binary(), "tail": pa.binary(), "words": pa.list_(pa.binary()), "ns": pa.list_(pa.int64())}
+
+    def run(batches: Iterable) -> Iterator:
+        from pyspark import TaskContext
+
+        v, row, columns, n = shared.value, TaskContext.get().partitionId() << 36, {k: [] for k in types}, 0
+
+        def rows() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in types.items()], list(types))
+            for values in columns.values():
+                values.clear()
+            return batch
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids, inputs, tail = v.encode(text.as_py())
+                rare = Counter(tail)
+                made = (row, doc_id, len(ids), len(ids) - len(tail), float(v.base[ids].sum()), ids.tobytes(), inputs[ids == v.tail].astype(np.int32).tobytes(), list(rare), list(rare.values()))
+                for values, value in zip(columns.values(), made, strict=True):
+                    values.append(value)
+                row, n = row + 1, n + len(ids)
+                if n >= v.sizes.written:
+                    yield rows()
+                    n = 0
+        if columns["row"]:
+            yield rows()
+
+    return docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_head long, base_head double, ids binary, tail binary, words array<binary>, ns array<bigint>")
+
+
+def _gathered(batches: Iterable, vocabulary: Vocabulary, wanted) -> Iterator[tuple[list, list]]:
+    """Lists of the rows wanted, of `tokens` tokens or a little more: (leading columns, (ids, inputs)). A row has its doc_id
+    second, and its ids and the tail's inputs last."""
+    import numpy as np
+
+    rows, texts, n = [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if wanted(doc_id):
-                ids, inputs, tail = vocabulary.encode(text.as_py())
-                found.append((doc_id, ids, inputs, tail))
+        *first, ids_of, tails = batch.columns
+        for row, ids, tail in zip(zip(*(c.to_pylist() for c in first), strict=True), ids_of, tails, strict=True):
+            if wanted(row[1]):
+                # the buffers are copied, so that no batch stays in memory for a few rows of it
+                ids = np.frombuffer(ids.as_py(), dtype=np.int32)
+                inputs = vocabulary.input_of[ids]
+                inputs[ids == vocabulary.tail] = np.frombuffer(tail.as_py(), dtype=np.int32)
+                rows.append(row)
+                texts.append((ids, inputs))
                 n += len(ids)
                 if n >= vocabulary.sizes.tokens:
-                    yield found
-                    found, n = [], 0
-    if found:
-        yield found
+                    yield rows, texts
+                    rows, texts, n = [], [], 0
+    if rows:
+        yield rows, texts
 
 
 CHUNK = 1 << 14
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, shared) -> Any:
-    """The averaged weights. What is collected is one model's weights, whose size `Sizes` bounds."""
+def train(texts: DataFrame, vocabulary: Vocabulary, shared) -> Any:
+    """The averaged weights, learnt from `encoded` texts. What is collected is one model's weights, whose size `Sizes` bounds."""
     import numpy as np
     import pyarrow as pa
 
-    spark = docs.sparkSession
-
     def replica(batches: Iterable) -> Iterator:
         network, n = Network(shared.value), 0
-        for texts in _gathered(batches, shared.value, lambda i: not held_out(i)):
-            train_texts(network, [(ids, inputs) for _, ids, inputs, _ in texts])
-            n += sum(len(ids) for _, ids, _, _ in texts)
+        for _, own in _gathered(batches, shared.value, lambda i: not held_out(i)):
+            train_texts(network, own)
+            n += sum(len(ids) for ids, _ in own)
         if n:
             parts = [network.flat[i : i + CHUNK] for i in range(0, len(network.flat), CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n", "weights"])
@@ -394,7 +445,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, shared) -> Any:
 
     schema = "chunk int, n long, weights binary"
     replicas = max(1, vocabulary.n_tokens // vocabulary.sizes.replica)
-    trained = docs.coalesce(replicas).mapInArrow(replica, schema)
+    trained = texts.select("row", "doc_id", "ids", "tail").coalesce(replicas).mapInArrow(replica, schema)
     # sums over about the root of the replicas first, so that no task reads the weights of all
     parts = max(1, math.isqrt(replicas))
     partial = trained.repartition(parts * 8, "chunk", F.pmod(F.spark_partition_id(), F.lit(parts))).mapInArrow(average, schema)
@@ -423,7 +474,6 @@ def score_documents(df: DataFrame, sizes: Sizes = Sizes(), id_col: str = "doc_id
     Null texts are empty: their one token is the end. Null ids count as the empty text when folds are chosen; rows that
     repeat an id are documents each. Without training documents every word is unknown. Other columns aren't read.
     """
-    import numpy as np
     import pyarrow as pa
 
     spark = df.sparkSession
@@ -431,31 +481,23 @@ def score_documents(df: DataFrame, sizes: Sizes = Sizes(), id_col: str = "doc_id
     counts = stash(count_words(docs, sizes), "lm-counts")
     vocabulary = vocabulary_of(counts, sizes)
     shared = spark.sparkContext.broadcast(vocabulary)
-    weights = spark.sparkContext.broadcast(train(docs, vocabulary, shared))
+    texts = stash(encoded(docs, shared), "lm-encoded")
+    shared.unpersist()
+    lean = spark.sparkContext.broadcast(vocabulary.without_words())
+    weights = spark.sparkContext.broadcast(train(texts, vocabulary, lean))
 
     def run(batches: Iterable) -> Iterator:
-        from pyspark import TaskContext
-
-        v = shared.value
-        network, row = Network(v, weights.value), TaskContext.get().partitionId() << 36
-        for texts in _gathered(batches, v, lambda _: True):
-            ln = score_texts(network, [(ids, inputs) for _, ids, inputs, _ in texts])
-            rare = [Counter(tail) for *_, tail in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(row, row + len(texts)), pa.int64()), pa.array([t[0] for t in texts], pa.int64()), pa.array([len(t[1]) for t in texts], pa.int64()),
-                    pa.array([len(t[1]) - len(t[3]) for t in texts], pa.int64()), pa.array([float(v.base[t[1]].sum()) for t in texts]), pa.array(ln / math.log(10)),
-                    pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int64())),
-                ],
-                ["row", "doc_id", "n_tokens", "n_head", "base_head", "score_head", "words", "ns"],
-            )
-            row += len(texts)
-
-    scored = stash(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_head long, base_head double, score_head double, words array<binary>, ns array<bigint>"), "lm-scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("words", "ns")).alias("x")).select("row", F.col("x.words").alias("rare"), F.col("x.ns").alias("n"))
+        network = Network(lean.value, weights.value)
+        for rows, own in _gathered(batches, lean.value, lambda _: True):
+            ln = score_texts(network, own)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(ln / math.log(10))], [*leading, "score_head"])
+
+    leading, kinds = ["row", "doc_id", "n_tokens", "n_head", "base_head"], [pa.int64()] * 4 + [pa.float64()]
+    scored = stash(texts.select(*leading, "ids", "tail").mapInArrow(run, "row long, doc_id long, n_tokens long, n_head long, base_head double, score_head double"), "lm-scored")
+    tail = texts.select("row", F.explode(F.arrays_zip("words", "ns")).alias("x")).select("row", F.col("x.words").alias("rare"), F.col("x.ns").alias("n"))
     known = tail.join(counts, tail.rare == counts.word, "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
     sums = known.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_tail"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.sum("n").alias("n_rare"))
-    joined = scored.drop("words", "ns").join(sums.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left")
+    joined = scored.join(sums.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left")
     n_rare, logs = F.coalesce("n_rare", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     seen_end = int(vocabulary.counts[vocabulary.end] > 0)
