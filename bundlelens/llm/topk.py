@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -79,12 +79,14 @@ class Best:
 
 
 class Bucket:
-    """Candidates of similar length, longest first."""
+    """Candidates of similar length, longest first. A query is no candidate for itself: that is told by `own`, the ids
+    unless given."""
 
-    def __init__(self, ids, vectors, norms):
+    def __init__(self, ids, vectors, norms, own=None):
         import numpy as np
 
         self.ids, self.vectors, self.norms = ids, vectors, norms
+        self.own = ids if own is None else own
         self.longest = float(norms[0]) if len(norms) else 0.0
         self.doubles = vectors.astype(np.float64)
         self.unit = self.doubles / np.where(norms > 0, norms, 1)[:, None]
@@ -106,7 +108,7 @@ class Bucket:
             return (vectors.astype(np.float64) @ self.doubles[rows].T).astype(np.int64)
         return vectors @ self.vectors[rows].T
 
-    def search(self, best: Best, query_ids, vectors, norms) -> None:
+    def search(self, best: Best, own, vectors, norms) -> None:
         """Add to `best` all that this bucket has for the block's queries."""
         import numpy as np
 
@@ -120,7 +122,7 @@ class Bucket:
             need = np.where(norms[by_length] > 0, (best.threshold[by_length] - slack[by_length]) / np.where(norms[by_length] > 0, norms[by_length], 1), -np.inf)
             prefix = int(np.searchsorted(-self.norms, -float(need.min()), side="right"))
             scores = self.products(slice(0, prefix), vectors[by_length], norms[by_length])
-            good = (scores >= best.threshold[by_length][:, None]) & (self.ids[:prefix][None, :] != query_ids[by_length][:, None])
+            good = (scores >= best.threshold[by_length][:, None]) & (self.own[:prefix][None, :] != own[by_length][:, None])
             i, j = np.nonzero(good)
             best.add(by_length[i], self.ids[j], scores[i, j])
         found = []
@@ -128,7 +130,7 @@ class Bucket:
             rows = self.by_coordinate(vectors[q] / norms[q], (best.threshold[q] - slack[q]) / reach[q])
             if len(rows):
                 scores = self.products(rows, vectors[q : q + 1], norms[q : q + 1])[0]
-                good = (scores >= best.threshold[q]) & (self.ids[rows] != query_ids[q])
+                good = (scores >= best.threshold[q]) & (self.own[rows] != own[q])
                 found.append((np.full(int(good.sum()), q), self.ids[rows[good]], scores[good]))
         if found:
             best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -161,16 +163,28 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     and queries each. Vectors of different lengths count as padded by zeros. Products must fit 64 bits. Without queries
     or candidates the result is empty.
     """
+    columns = ["vec_id", "v", "norm2", F.col("vec_id").alias("own")]
+    return _retrieved(stash(candidates.select(*columns), "topk-candidates"), queries.select(*columns), k)
+
+
+def top_k_within(vectors: DataFrame, wanted: Column, k: int) -> DataFrame:
+    """`top_k` of the quantised rows that are `wanted` among all. A query's own row is no candidate for it; others with
+    its id are."""
+    rows = stash(vectors.select("vec_id", "v", "norm2", F.monotonically_increasing_id().alias("own")), "topk-candidates")
+    return _retrieved(rows, rows.where(wanted), k)
+
+
+def _retrieved(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best candidates, a written table, of each query; rows of both with the same `own` aren't compared."""
     import pyarrow as pa
 
     spark = candidates.sparkSession
     path = fresh_path(spark, "topk-queries")
-    queries.select("vec_id", "v", F.sqrt("norm2").alias("norm")).write.parquet(path)
-    candidates = stash(candidates.select("vec_id", "v", "norm2"), "topk-candidates")
+    queries.select("vec_id", "v", F.sqrt("norm2").alias("norm"), "own").write.parquet(path)
     n, width = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
     width = max(width or 0, spark.read.parquet(path).agg(F.max(F.size("v"))).first()[0] or 0, 1)
     longest = candidates.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).toArrow()  # a fixed number, for the thresholds
-    seeds = spark.sparkContext.broadcast((longest.column("vec_id").to_numpy(), _matrix(longest.column("v"), width)))
+    seeds = spark.sparkContext.broadcast((longest.column("vec_id").to_numpy(), _matrix(longest.column("v"), width), longest.column("own").to_numpy()))
     parts = max(-(-n // PARTITION), min(spark.sparkContext.defaultParallelism, -(-n // BUCKET)), 1)
     dealt = candidates.repartitionByRange(parts, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id")
 
@@ -181,47 +195,48 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         first = 0
         for batch in ds.dataset(at, filesystem=fs, format="parquet").to_batches(batch_size=BLOCK):
             if batch.num_rows:
-                yield first, batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), width), batch.column("norm").to_numpy()
+                yield first, batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), width), batch.column("norm").to_numpy(), batch.column("own").to_numpy()
             first += batch.num_rows
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
 
-        ids, vectors, norms = [], [], []
+        ids, vectors, norms, own = [], [], [], []
         for batch in batches:
             ids.append(batch.column(0).to_numpy())
             vectors.append(_matrix(batch.column(1), width))
             norms.append(np.sqrt(batch.column(2).to_numpy()))
+            own.append(batch.column(3).to_numpy())
         if not sum(map(len, ids)):
             return
-        ids, vectors, norms = np.concatenate(ids), np.concatenate(vectors), np.concatenate(norms)
-        buckets = [Bucket(ids[i : i + BUCKET], vectors[i : i + BUCKET], norms[i : i + BUCKET]) for i in range(0, len(ids), BUCKET)]
-        seed_ids, seed_vectors = seeds.value
-        seed = Bucket(seed_ids, seed_vectors, np.sqrt((seed_vectors.astype(np.float64) ** 2).sum(axis=1)))
-        for first, query_ids, query_vectors, query_norms in blocks():
+        columns = [np.concatenate(x) for x in (ids, vectors, norms, own)]
+        buckets = [Bucket(*(x[i : i + BUCKET] for x in columns)) for i in range(0, len(columns[0]), BUCKET)]
+        seed_ids, seed_vectors, seed_own = seeds.value
+        seed = Bucket(seed_ids, seed_vectors, np.sqrt((seed_vectors.astype(np.float64) ** 2).sum(axis=1)), seed_own)
+        for first, query_ids, query_vectors, query_norms, query_own in blocks():
             lower = Best(len(query_ids), k)
-            seed.search(lower, query_ids, query_vectors, query_norms)
+            seed.search(lower, query_own, query_vectors, query_norms)
             best = Best(len(query_ids), k)
             best.threshold = lower.threshold.copy()
             for bucket in buckets:
-                bucket.search(best, query_ids, query_vectors, query_norms)
+                bucket.search(best, query_own, query_vectors, query_norms)
             yield pa.RecordBatch.from_arrays([pa.array(first + best.q), pa.array(query_ids[best.q]), pa.array(best.id), pa.array(best.score)], ["at", "query_id", "vec_id", "score"])
 
-    found = dealt.select("vec_id", "v", "norm2").mapInArrow(run, "at long, query_id long, vec_id long, score long")
+    found = dealt.select("vec_id", "v", "norm2", "own").mapInArrow(run, "at long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "at").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast(T.IntegerType())).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+    return top_k_within(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
 OP6_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+s AS (SELECT q.own, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

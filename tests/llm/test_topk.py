@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -65,3 +66,20 @@ def test_pruning_is_used():
     assert len(calls) < 20
     want = sorted(range(4000), key=lambda j: (-int(vectors[0] @ vectors[j]), j))[:5]
     assert best.id.tolist() == want
+
+
+def test_repeated_ids(spark, tmp_path):
+    """Only the query's own row is left out: rows that repeat its id are candidates, and queries of their own."""
+    rows = list(rows_of(random.Random(3), 60, "ties")) + [(0, [2.0] * 8), (0, [2.0] * 8), (50, [1.0] * 8), (7, [1.0] * 8), (7, [1.0] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = [(i, [math.floor(256 * c) for c in x]) for i, x in rows]
+    want = []
+    for at, (q, x) in enumerate(v):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for other, (i, y) in enumerate(v) if other != at)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    assert sorted(map(tuple, topk.op6_topk(spark, str(tmp_path)).collect())) == sorted(want)
+    views = f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')"
+    con = duckdb.connect()
+    con.execute(views)
+    assert sorted(con.execute(topk.OP6_SQL).fetchall()) == sorted(want)
