@@ -35,6 +35,9 @@ Unless required by applicable law or agreed to in writing, software distributed
 _GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_GPL_2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain.
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
@@ -68,6 +71,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("GPL-2.0", _GPL_2),
+    ("LGPL-2.1", _GPL_2.replace("General", "Lesser General").replace("program", "library").replace("version 2 ", "version 2.1 ")),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0."),
+    *[(own, f"SPDX-License-Identifier: {own}") for own in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "Unlicense", "Zlib", "CC0-1.0", "BSL-1.0", "EPL-2.0")],
+    *[(own, f"SPDX-License-Identifier: {own}{end}") for own in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("", "-only", "-or-later")],
 ]
 
 
@@ -103,13 +117,32 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(licence, dice, first line, last line), lines counted from 1: for each licence found, the run of lines with
         the highest coefficient; of equal ones the first, of these the shortest."""
+        best: dict[str, tuple] = {}
+        for name, *key in self.runs(text):
+            best[name] = min(best.get(name, (0,)), tuple(key[:3]))
+        return [(name, round(-k[0], 6), k[1], k[2]) for name, k in sorted(best.items())]
+
+    def strongest(self, text: str | None) -> list[tuple[str, float, int, int]]:
+        """(licence, dice, first line, last line) of runs that share no line: the highest coefficient goes first, of equal
+        ones the longer run of bigrams that its template shares, the first, the shortest, the licence's name."""
+        taken: set[int] = set()
+        found = []
+        for value, shared, first, last, name in sorted((v, -n, a, b, name) for name, v, a, b, n in self.runs(text)):
+            lines = range(first, last + 1)
+            if taken.isdisjoint(lines):
+                taken.update(lines)
+                found.append((name, round(-value, 6), first, last))
+        return sorted(found, key=lambda x: x[2])
+
+    def runs(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
+        """(licence, -dice, first line, last line, shared bigrams) of every run of lines at the threshold."""
         if not text:
             return []
         words = normalised(text)
         if self.anchors.isdisjoint(zip(words, words[1:], strict=False)):
             return []
         lines = [normalised(line) for line in text.split("\n")]
-        best: dict[str, tuple] = {}
+        found: list[tuple] = []
         for i, line in enumerate(lines):
             if not line:
                 continue
@@ -123,22 +156,24 @@ class Scanner:
                 if len(own) > self.largest:
                     break
                 if hit and len(own) >= self.smallest:
-                    self.compare(own, i + 1, j + 1, best)
-        return [(name, round(-k[0], 6), k[1], k[2]) for name, k in sorted(best.items())]
+                    self.compare(own, i + 1, j + 1, found)
+        return found
 
-    def compare(self, own: set, first: int, last: int, best: dict[str, tuple]) -> None:
+    def compare(self, own: set, first: int, last: int, found: list[tuple]) -> None:
         shared = own & self.every
         for name, template in self.templates:
             if self.fits(len(own), len(template)) and 2 * len(shared) >= self.threshold * (len(own) + len(template)) - 1e-9:
-                value = 2 * len(shared & template) / (len(own) + len(template))
+                n = len(shared & template)
+                value = 2 * n / (len(own) + len(template))
                 if value >= self.threshold - 1e-12:
-                    best[name] = min(best.get(name, (0,)), (-value, first, last))
+                    found.append((name, -value, first, last, n))
 
 
 def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, license, dice, first_line, last_line): a row for each licence that a row's text holds.
+    """(doc_id, license, dice, first_line, last_line): a row for each run of lines that holds a licence.
 
-    Null and empty texts hold none. Rows are scanned each on its own, null and repeated ids included. Of equal
+    Runs that share lines compete: the one with the highest coefficient counts, so a notice goes by the version that it
+    names. The same licence in two places has two rows. Null and empty texts hold none. Rows are scanned each on its own, null and repeated ids included. Of equal
     coefficients the first run of lines counts, of those the shortest. Other columns aren't read. Nothing is shuffled.
     """
     import pyarrow as pa
@@ -150,7 +185,7 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, t
     def run(batches: Iterable) -> Iterator:
         own = scanner.value
         for batch in batches:
-            found = [(i.as_py(), *x) for i, text in zip(batch.column(0), batch.column(1), strict=True) for x in own.scan(text.as_py())]
+            found = [(i.as_py(), *x) for i, text in zip(batch.column(0), batch.column(1), strict=True) for x in own.strongest(text.as_py())]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 

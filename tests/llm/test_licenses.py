@@ -56,3 +56,23 @@ def test_query(spark, tmp_path):
     assert sorted(map(tuple, licenses.op2_licenses(spark, str(tmp_path)).collect()), key=str) == want
     assert len(want) == 3
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_strongest_of_overlapping_runs():
+    """A notice goes by the version that it names, and a weaker licence elsewhere isn't lost to it."""
+    scanner = licenses.Scanner()
+    assert [x[0] for x in scanner.strongest(licenses._GPL_2)] == ["GPL-2.0"]
+    assert [x[0] for x in scanner.strongest(licenses._GPL)] == ["GPL-3.0"]
+    noisy = licenses._GPL.replace("useful", "of much use").replace("program is", "work of ours is")
+    both = scanner.strongest(f"{licenses._GPL_2}\n\nplain words between them\n{noisy}")
+    assert [(x[0], x[2], x[3]) for x in both] == [("GPL-2.0", 1, 3), ("GPL-3.0", 6, 8)] and both[1][1] < 1
+    for line, name in [("MIT License", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("Licensed under the Apache License 2.0", "Apache-2.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0")]:
+        assert [x[0] for x in scanner.strongest(f"some text\n{line}\nmore of it")] == [name], line
+
+
+@pytest.mark.parametrize("name", sorted({n for n, _ in licenses.TEMPLATES}))
+def test_every_template_is_its_own(name):
+    scanner = licenses.Scanner()
+    for own, text in licenses.TEMPLATES:
+        if own == name:
+            assert scanner.strongest(f"a title here\n\n{text}\n\nother words follow")[0][:2] == (name, 1.0)
