@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import bpe, chat, licenses, lines, lm, mixing, quality, simhash, topk, warc
+from bundlelens.llm import bpe, chat, collocations, licenses, lines, lm, mixing, quality, simhash, topk, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_host_rules": quality.op8_host_rules,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_collocations": collocations.op11_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op5_warc": warc.OP5_SQL, "op6_topk": topk.OP6_SQL, "op8_host_rules": quality.OP8_SQL, "op9_line_dedup": lines.OP9_SQL}
+    return {"op3_mixing": mixing.OP3_SQL, "op5_warc": warc.OP5_SQL, "op6_topk": topk.OP6_SQL, "op8_host_rules": quality.OP8_SQL, "op9_line_dedup": lines.OP9_SQL, "op11_collocations": collocations.OP11_SQL}
