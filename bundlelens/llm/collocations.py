@@ -28,7 +28,7 @@ from bundlelens.llm.shared import BROADCAST_BYTES, stash
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 UNKNOWN = "und"
 #: Bytes of text that are looked at together; longer texts are cut between pieces.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Bits of a bitmap for each frequent n-gram, and at most: 32 MB.
 BITS_EACH, MOST_BITS = 16, 28
 #: Candidates of one language that a task ranks before the best of all tasks meet.
@@ -89,10 +89,12 @@ class Words:
         import numpy as np
         import pyarrow as pa
 
-        start, end = self.start[first], self.end[first + n - 1]
-        offsets = np.concatenate([[0], np.cumsum(end - start)])
-        data = self.buffer[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], end - start)]
-        return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        start, end = self.start[first].astype(np.int32), self.end[first + n - 1].astype(np.int32)
+        offsets = np.zeros(len(first) + 1, dtype=np.int32)
+        np.cumsum(end - start, out=offsets[1:])
+        place = np.repeat(start - offsets[:-1], end - start)
+        place += np.arange(offsets[-1], dtype=np.int32)
+        return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(self.buffer[place]))
 
 
 def mixed(x):
