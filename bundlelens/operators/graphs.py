@@ -7,23 +7,39 @@ a round at most. Loops stop when a round adds nothing; only counts come to the d
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without lineage, in the folder that `spark.checkpoint.dir` names."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names; on one machine without it, one of our own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
+        if not shared and not context.master.startswith("local"):
             raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='bundlelens-')}")
+        context.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='bundlelens-')}")
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder. Unlike a checkpoint it is made in one pass, and it doesn't hand on
+    the constraints of its plan, which double with each round of a loop that renames by joins."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Rounds:
     """What the rounds of a loop have found: each round's rows are written once, and joined to one table now and then
     so that the plan stays small."""
@@ -68,7 +84,7 @@ def aliases(edges: DataFrame, hops: int = 10) -> DataFrame:
 
 def all_importers(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): the seeds, and every node all of whose importers are in the result. Edges go from importer to module."""
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     needed = cut(edges.groupBy("dst").agg(F.count("*").alias("needed")))
     fresh = cut(seeds.select("node").distinct())
     inside, met = Rounds(fresh), None
@@ -82,6 +98,118 @@ def all_importers(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return inside.rows()
 
 
+def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, owner, conflict): of each node that edges (src, dst) lead to from the seeds (node, owner), whose it is.
+
+    A value is unset, one owner, or a conflict, and only rises: each node carries the smallest and the largest owner that
+    reach it, which are equal while there is one. A round sends the values that changed and no others, so cycles come to
+    rest; nodes out of reach aren't in the result. In a conflict owner is null.
+    """
+    edges = written(edges.select("src", "dst").distinct())
+    state = written(seeds.groupBy("node").agg(F.min("owner").alias("low"), F.max("owner").alias("high")))
+    changed = state
+    while True:
+        sent = changed.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+        met = sent.join(state, F.col("dst") == F.col("node"), "left")
+        risen = met.where(F.col("node").isNull() | (F.col("_low") < F.col("low")) | (F.col("_high") > F.col("high")))
+        # least and greatest leave out nulls: a node that had no value takes the one that was sent
+        changed = written(risen.select(F.col("dst").alias("node"), F.least("_low", "low").alias("low"), F.greatest("_high", "high").alias("high")))
+        if changed.isEmpty():
+            conflict = F.col("low") < F.col("high")
+            return state.select("node", F.when(~conflict, F.col("low")).alias("owner"), conflict.alias("conflict"))
+        state = written(state.join(changed.select("node"), "node", "left_anti").unionByName(changed))
+
+
+def owned_by_importers(edges: DataFrame, seeds: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """(node, owner): the seeds (node, owner), and every node all of whose importers have one and the same owner.
+
+    Edges go from importer to module. `closed` (node) never get an owner. How many importers have an owner, and the
+    smallest and largest of these, are carried along: each edge is read once, when its importer gets its owner. A node
+    whose importers disagree, or wait for each other, gets none.
+    """
+    edges = written(edges.select("src", "dst").distinct())
+    needed = edges.groupBy(F.col("dst").alias("_of")).agg(F.count("*").alias("needed"))
+    if closed is not None:
+        needed = needed.join(closed.select(F.col("node").alias("_of")), "_of", "left_anti")
+    needed = written(needed)
+    fresh = written(seeds.groupBy("node").agg(F.min("owner").alias("owner")))
+    inside, met = Rounds(fresh), None
+    while not fresh.isEmpty():
+        added = fresh.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.count("*").alias("met"), F.min("owner").alias("low"), F.max("owner").alias("high"))
+        met = written(added if met is None else met.unionByName(added).groupBy("dst").agg(F.sum("met").alias("met"), F.min("low").alias("low"), F.max("high").alias("high")))
+        whole = met.join(needed, F.col("dst") == F.col("_of")).where("met = needed AND low = high").select(F.col("dst").alias("node"), F.col("low").alias("owner"))
+        fresh = written(whole.join(inside.rows().select("node"), "node", "left_anti"))
+        inside.add(fresh)
+    return inside.rows()
+
+
+def first_owners(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, owner, shared): which of the roots (node, ord) a walk that starts at one after the other reaches a node
+    from first, and whether a later one comes upon it too.
+
+    A walk stops at what an earlier one owns, so a node is its first root's however deep it lies, and it is shared where
+    a parent of another owner, or another root, meets it. Orders of roots differ.
+    """
+    edges = written(edges.select("src", "dst").distinct())
+    # the smallest root that reaches a node owns it
+    state = written(roots.groupBy("node").agg(F.min("ord").alias("owner")))
+    changed = state
+    while not changed.isEmpty():
+        sent = changed.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("owner").alias("_owner"))
+        met = sent.join(state, F.col("dst") == F.col("node"), "left").where(F.col("node").isNull() | (F.col("_owner") < F.col("owner")))
+        changed = written(met.select(F.col("dst").alias("node"), F.col("_owner").alias("owner")))
+        state = written(state.join(changed.select("node"), "node", "left_anti").unionByName(changed))
+    to = state.select(F.col("node").alias("dst"), F.col("owner").alias("_own"))
+    crossing = edges.join(state, F.col("src") == F.col("node")).join(to, "dst").where(F.col("owner") > F.col("_own")).select(F.col("dst").alias("_hit"))
+    crossing = crossing.unionByName(roots.join(state.withColumnRenamed("owner", "_own"), "node").where(F.col("ord") > F.col("_own")).select(F.col("node").alias("_hit"))).distinct()
+    return state.join(crossing, F.col("node") == F.col("_hit"), "left").select("node", "owner", F.col("_hit").isNotNull().alias("shared"))
+
+
+def groups_with_hub(edges: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """(hub, members, size): the connected components of two nodes or more whose sizes (node, size) add up to `most` at
+    most. The hub is the member with most neighbours, then the first; edges to oneself don't count, nodes without a size
+    have 0."""
+    edges = written(edges.where("src <> dst").select("src", "dst").distinct())
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    degree = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    members = components(edges).join(degree, "node").join(sizes.groupBy("node").agg(F.sum("size").alias("size")), "node", "left")
+    found = members.groupBy("component").agg(F.min_by("node", F.struct(-F.col("degree"), "node")).alias("hub"), F.count("*").alias("members"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+    return found.where(F.col("size") <= most).select("hub", "members", "size")
+
+
+def bounded_groups(edges: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """(node, group): groups that a scan of the edges (src, dst, ord) in their order makes when it joins the groups of both
+    ends wherever their sizes (node, size) add up to `most` at most; a group goes by its smallest node.
+
+    In each round an edge is decided if no open edge of either of its groups comes before it: all that the scan would
+    know of both groups is settled then, and what is too large stays too large. Orders differ; a node of an edge has a
+    size of 0 unless given, and nodes without edges are groups of their own.
+    """
+    open_ = written(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("ord").alias("ord")))
+    nodes = sizes.select("node", "size").unionByName(open_.select(F.explode(F.array("a", "b")).alias("node"), F.lit(0).cast("long").alias("size")))
+    weight = written(nodes.groupBy("node").agg(F.sum("size").alias("size")))
+    names, joined = weight.select("node"), None
+    while not open_.isEmpty():
+        ends = open_.select(F.explode(F.array("a", "b")).alias("end"), "ord").groupBy("end").agg(F.min("ord").alias("first")).join(weight, F.col("end") == F.col("node"))
+        of = lambda side: ends.select(F.col("end").alias(side), F.col("first").alias(f"{side}_first"), F.col("size").alias(f"{side}_size"))
+        ready = open_.join(of("a"), "a").join(of("b"), "b").where("a_first = ord AND b_first = ord")
+        decided = written(ready.select("a", "b", "ord", (F.col("a_size") + F.col("b_size") <= most).alias("joined")))
+        # a group is decided upon once in a round, so joins are pairs: b goes into a
+        moved = decided.where("joined").select(F.col("b").alias("_from"), F.col("a").alias("_to"))
+        if joined is None:
+            joined = Rounds(moved)
+        else:
+            joined.add(moved)
+        move = lambda df, c: df.join(moved, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")
+        weight = written(move(weight, "node").groupBy("node").agg(F.sum("size").alias("size")))
+        left = move(move(open_.join(decided.select("ord"), "ord", "left_anti").select("a", "b", "ord"), "a"), "b").where("a <> b")
+        open_ = written(left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("ord").alias("ord")))
+    if joined is None:
+        return names.select("node", F.col("node").alias("group"))
+    groups = components(joined.rows().select(F.col("_from").alias("src"), F.col("_to").alias("dst"))).withColumnRenamed("node", "_of")
+    return names.join(groups, F.col("node") == F.col("_of"), "left").select("node", F.coalesce("component", "node").alias("group"))
+
+
 def prune(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """(node): candidates that nothing left imports, again and again until none goes. A module importing only itself
     is not held by that."""
