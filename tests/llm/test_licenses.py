@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -41,6 +42,49 @@ def test_agrees_with_all_pairs():
     assert sum(map(bool, found)) > 60
 
 
+def strongest(text, templates):
+    """Of all runs of lines the best ones that share none."""
+    lines, found = text.split("\n"), []
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            if licenses.normalised(lines[i]) and licenses.normalised(lines[j]):
+                a = licenses.bigrams(licenses.normalised("\n".join(lines[i : j + 1])))
+                for name, template in templates:
+                    b = licenses.bigrams(licenses.normalised(template))
+                    if 2 * len(a & b) >= licenses.THRESHOLD * (len(a) + len(b)) - 1e-12:
+                        found.append((-2 * len(a & b) / (len(a) + len(b)), -len(a & b), i + 1, j + 1, name))
+    taken, kept = set(), []
+    for value, _, first, last, name in sorted(found):
+        if taken.isdisjoint(range(first, last + 1)):
+            taken.update(range(first, last + 1))
+            kept.append((name, round(-value, 6), first, last))
+    return sorted(kept, key=lambda x: x[2])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeated_and_blank_lines(seed):
+    """Few lines again and again, so that runs add nothing, or little, or what an earlier one had."""
+    rng = random.Random(seed)
+    own = [licenses.TEMPLATES[i] for i in rng.sample(range(len(licenses.TEMPLATES)), 8)]
+    words = " ".join(t for _, t in own).split()
+    pieces = ["", " ", "a a", "a a a", "MIT License", "The MIT License (MIT)", *[" ".join(words[i : i + rng.randint(1, 9)]) for i in rng.sample(range(len(words)), 6)], *[t for _, t in own[:3]]]
+    text = "\n".join(rng.choices(pieces, k=40))
+    scanner = licenses.Scanner()
+    assert scanner.scan(text) == brute(text) and scanner.strongest(text) == strongest(text, licenses.TEMPLATES)
+
+
+@pytest.mark.parametrize("lines", [["MIT License"], ["a a"], ["", "a b", "b a", "a a", "b b"], ["GNU General Public License", "as published by the Free", "Software Foundation"]])
+def test_long_texts_take_linear_time(lines):
+    def seconds(n):
+        text = "MIT License\n" + "\n".join(lines[i % len(lines)] for i in range(n))
+        begun = time.process_time()
+        found = licenses.Scanner().strongest(text)
+        return time.process_time() - begun, len(found)
+
+    (short, few), (long, many) = seconds(10_000), seconds(100_000)
+    assert long < 20 * short + 0.5 and long < 12 and (many > 9 * few if lines == ["MIT License"] else many < 200_000)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 1.0])
 def test_other_thresholds(threshold):
     own = licenses.TEMPLATES[20:26]
