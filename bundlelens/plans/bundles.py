@@ -1,4 +1,5 @@
-"""Queries over scripts, styles and bundles: those of the captured pages, and samples of what bundlers write."""
+"""Queries over scripts, styles and bundles: those of the captured pages, chunks made of the parts table (a module for
+each part, which needs that of half its number), and samples of what bundlers write."""
 
 from __future__ import annotations
 
@@ -32,12 +33,35 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names}))"
 
 
-SQL_ASSETS = values(ASSETS, "url, body, adapter")
+#: Parts that chunks have, and how many numbers a chunk is for.
+LARGEST, IN_CHUNK = 45, 100
+SQL_ASSETS = f"""(SELECT url, body, adapter FROM {values(ASSETS, "url, body, adapter")} UNION ALL
+SELECT 'https://pages.test/' || page_id, unnest(regexp_extract_all(html, '<script>(.*?)</script>', 1, 's')), 'webpack' FROM pages UNION ALL
+SELECT 'https://parts.test/' || (p_partkey // {IN_CHUNK}) || '.js', '(self.webpackChunkparts=self.webpackChunkparts||[]).push([[' || (p_partkey // {IN_CHUNK}) || '],{{' ||
+  string_agg('"p' || p_partkey || '":(e,t,r)=>{{var x=r("p' || (p_partkey // 2) || '");r.e(' || p_size || ');e.exports=x}}', ',' ORDER BY p_partkey) || '}}])', 'webpack' FROM part WHERE p_size <= {LARGEST} GROUP BY p_partkey // {IN_CHUNK})"""
+SQL_PAGE_SHEETS = "(SELECT 'page-' || page_id AS url, unnest(regexp_extract_all(html, '<style>(.*?)</style>', 1, 's')) AS css FROM pages)"
 SQL_SCRIPTS = "s AS (SELECT page_id, unnest(regexp_extract_all(html, '<script>(.*?)</script>', 1, 's')) AS code FROM pages)"
 
 
-def assets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ASSETS, "url string, body string, adapter string")
+def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, body, adapter): chunks whose modules are the parts; a chunk has IN_CHUNK of them at most."""
+    chunk = F.expr(f"cast(p_partkey div {IN_CHUNK} as string)")
+    module = F.expr("""concat('"p', p_partkey, '":(e,t,r)=>{var x=r("p', p_partkey div 2, '");r.e(', p_size, ');e.exports=x}')""")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_size") <= LARGEST).groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", module.alias("m")))).alias("ms"))
+    body = F.concat(F.lit("(self.webpackChunkparts=self.webpackChunkparts||[]).push([["), "chunk", F.lit("],{"), F.array_join(F.col("ms.m"), ","), F.lit("}])"))
+    return parts.select(F.concat(F.lit("https://parts.test/"), "chunk", F.lit(".js")).alias("url"), body.alias("body"), F.lit("webpack").alias("adapter"))
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, body, adapter): the inline scripts of all pages, the parts' chunks and the samples."""
+    inline = page_scripts(spark, sf_dir).select(F.concat(F.lit("https://pages.test/"), "page_id").alias("url"), F.col("code").alias("body"), F.lit("webpack").alias("adapter"))
+    return spark.createDataFrame(ASSETS, "url string, body string, adapter string").unionByName(inline).unionByName(part_chunks(spark, sf_dir))
+
+
+def page_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, ord, css): the style elements of all pages and the samples."""
+    own = read(spark, sf_dir).select(F.concat(F.lit("page-"), "page_id").alias("url"), (F.col("page_id") + 10).cast("int").alias("ord"), F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<style>(.*?)</style>"), 1)).alias("css"))
+    return own.unionByName(spark.createDataFrame(SHEETS, "url string, ord int, css string"))
 
 
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +148,7 @@ SELECT stem || CASE WHEN n > 1 THEN '~' || n ELSE '' END || '.html' AS path, ord
 
 
 def chunk_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets(spark).select("url", detect.chunk_shape(F.col("body")).alias("shape"))
+    return assets(spark, sf_dir).select("url", detect.chunk_shape(F.col("body")).alias("shape"))
 
 
 CHUNK_SHAPES = f"""
@@ -134,27 +158,29 @@ SELECT url, CASE WHEN regexp_matches(body, 'webpack(Chunk|Jsonp)[\\w$]*[^;]{{0,8
 
 
 def unpacked_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.modules(chunks.unpacked(assets(spark))).select("namespace", "id", "code", F.array_join("deps", ",").alias("deps"), "origin")
+    return chunks.modules(chunks.unpacked(assets(spark, sf_dir))).select("namespace", "id", "code", F.array_join("deps", ",").alias("deps"), "origin")
 
 
 def chunk_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.diagnostics(chunks.unpacked(assets(spark))).select("chunk_url", "shape", "level", "modules", F.array_join("skipped", "; ").alias("skipped"))
+    return chunks.diagnostics(chunks.unpacked(assets(spark, sf_dir))).select("chunk_url", "shape", "level", "modules", F.array_join("skipped", "; ").alias("skipped"))
 
 
-#: What the samples hold, by hand.
+#: What the samples hold, by hand, and the parts by their chunks.
 CHUNK_DIAGNOSTICS = values([("https://h.test/s/3.js", "webpack5-jsonp", "partial", 2, "10: module value is CallExpression"), ("https://h.test/s/4.js", "turbopack-flat", "full", 2, ""), ("https://h.test/assets/main-Ab12Cd34.js", "esm", "full", 1, ""), ("https://h.test/_app/immutable/app.js", "esm", "full", 1, "")], "chunk_url, shape, level, modules, skipped").removeprefix("(").removesuffix(")").replace("SELECT *", "SELECT chunk_url, shape, level, modules::BIGINT AS modules, skipped")
+CHUNK_DIAGNOSTICS += f" UNION ALL SELECT 'https://parts.test/' || (p_partkey // {IN_CHUNK}) || '.js', 'webpack5-jsonp', 'full', count(*), '' FROM part WHERE p_size <= {LARGEST} GROUP BY p_partkey // {IN_CHUNK}"
 
 
 def missing_modules_of_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunks.missing_modules(chunks.modules(chunks.unpacked(assets(spark))))
+    found = chunks.missing_modules(chunks.modules(chunks.unpacked(assets(spark, sf_dir))))
     return found.select(F.regexp_extract("dst", "([^\x00]*)$", 1).alias("id"), "importers")
 
 
-MISSING_MODULES_OF_BUNDLES = "SELECT id, importers::BIGINT AS importers FROM (VALUES ('9', 1), ('dep-Ab12Cd34', 1)) v(id, importers)"
+MISSING_MODULES_OF_BUNDLES = f"""SELECT id, importers::BIGINT AS importers FROM (VALUES ('9', 1), ('dep-Ab12Cd34', 1)) v(id, importers) UNION ALL
+SELECT 'p' || (p_partkey // 2), count(*) FROM part WHERE p_size <= {LARGEST} AND p_partkey // 2 NOT IN (SELECT p_partkey FROM part WHERE p_size <= {LARGEST}) GROUP BY p_partkey // 2"""
 
 
 def lazy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.lazy_state(assets(spark))
+    return chunks.lazy_state(assets(spark, sf_dir))
 
 
 LAZY_CHUNKS = f"""
@@ -165,11 +191,11 @@ SELECT chunk_id FROM asked WHERE chunk_id NOT IN (SELECT chunk_id FROM held)
 
 
 def chunk_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunk_urls(assets(spark)).select("chunk_id", "kind", "path", "chunk_url")
+    return chunks.chunk_urls(assets(spark, sf_dir)).select("chunk_id", "kind", "path", "chunk_url")
 
 
 def routes_in_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.route_candidates(assets(spark), "https://h.test", "/")
+    return chunks.route_candidates(assets(spark, sf_dir), "https://h.test", "/")
 
 
 ROUTES_IN_CODE = f"""
@@ -180,47 +206,65 @@ SELECT 'https://h.test' || p AS url FROM c WHERE NOT starts_with(p, '//') AND le
 
 
 def style_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = chunks.merged_styles(spark.createDataFrame(SHEETS, "url string, ord int, css string"))
+    merged = chunks.merged_styles(page_sheets(spark, sf_dir))
     return merged.groupBy("target").agg(F.count("*").alias("rules"))
 
 
 #: By hand: the banner, .flex and, since version 3 resets elements, the rule of a; .card, .x and the media rule are the app's.
-STYLE_TARGETS = "SELECT target, rules::BIGINT AS rules FROM (VALUES ('tailwind', 3), ('app', 3)) v(target, rules)"
+#: The pages' sheets are one rule each.
+STYLE_TARGETS = f"""SELECT target, sum(rules)::BIGINT AS rules FROM (SELECT * FROM (VALUES ('tailwind', 3), ('app', 3)) v(target, rules) UNION ALL
+SELECT CASE WHEN regexp_matches(css, '^[a-z]+\\{{') THEN 'tailwind' ELSE 'app' END, count(DISTINCT css) FROM {SQL_PAGE_SHEETS} GROUP BY 1) GROUP BY target"""
 
 
 def tailwind_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.tailwind(spark.createDataFrame(SHEETS, "url string, ord int, css string")).select("url", "uses_tailwind", "tailwind_version")
+    return detect.tailwind(page_sheets(spark, sf_dir)).select("url", "uses_tailwind", "tailwind_version")
 
 
-TAILWIND_SHEETS = f"SELECT url, regexp_matches(css, '(?i)/\\*!\\s*tailwindcss\\s+v?[\\d.]+|--tw-[\\w-]+\\s*:') AS uses_tailwind, nullif(regexp_extract(css, '(?i)/\\*!\\s*tailwindcss\\s+v?([\\d.]+)', 1), '') AS tailwind_version FROM {values(SHEETS, 'url, ord, css')}"
+TAILWIND_SHEETS = f"SELECT url, regexp_matches(css, '(?i)/\\*!\\s*tailwindcss\\s+v?[\\d.]+|--tw-[\\w-]+\\s*:') AS uses_tailwind, nullif(regexp_extract(css, '(?i)/\\*!\\s*tailwindcss\\s+v?([\\d.]+)', 1), '') AS tailwind_version FROM (SELECT url, css FROM {values(SHEETS, 'url, ord, css')} UNION ALL SELECT url, css FROM {SQL_PAGE_SHEETS})"
 
 
 def map_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sourcemaps.sources(spark.createDataFrame(MAPS, "map_url string, body string"))
+    """Sources of the samples, and of a map for each source of documents that names its languages and how many there are."""
+    counts = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source", "lang").agg(F.count("*").cast("string").alias("n"))
+    whole = counts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("webpack:///./src/"), "lang", F.lit(".ts")).alias("original"), "n"))).alias("s"))  # a row for each language
+    body = F.to_json(F.struct(F.lit(3).alias("version"), F.lit("").alias("mappings"), F.col("s.original").alias("sources"), F.col("s.n").alias("sourcesContent")))
+    maps = whole.select(F.concat(F.lit("map-"), "source").alias("map_url"), body.alias("body"))
+    return sourcemaps.sources(spark.createDataFrame(MAPS, "map_url string, body string").unionByName(maps))
 
 
 MAP_SOURCES = f"""
 WITH m AS (SELECT map_url, body FROM {values(MAPS, 'map_url, body')} WHERE starts_with(body, '{{')),
 s AS (SELECT map_url, unnest(json_extract_string(body, '$.sources[*]')) AS original, generate_subscripts(json_extract_string(body, '$.sources[*]'), 1) AS i, json_extract_string(body, '$.sourcesContent[*]') AS contents FROM m)
 SELECT map_url, CASE WHEN original = 'c/../d.ts' THEN 'd.ts' ELSE regexp_replace(regexp_replace(original, '^webpack://[^/]*/', ''), '^(\\.\\.?/)+', '') END AS path, original, contents[i] AS content FROM s
+UNION ALL SELECT 'map-' || source, 'src/' || lang || '.ts', 'webpack:///./src/' || lang || '.ts', count(*)::VARCHAR FROM documents GROUP BY source, lang
 """
 
 
 def sitemap_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return http.sitemap_pages(spark.createDataFrame(SITEMAPS, "url string, body string"), F.lit("https://h.test"))
+    """What the samples' sitemaps list, and those of all captured sites, made of their pages, on one of these."""
+    pages = read(spark, sf_dir)
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    own = pages.groupBy(urls.origin(F.col("url")).alias("origin"), F.expr("page_id div 500").alias("part")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("urls"))  # 500 at most
+    files = own.select(F.concat("origin", F.lit("/sitemap-"), "part", F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "urls", F.lit("</urlset>")).alias("body"))
+    return http.sitemap_pages(spark.createDataFrame(SITEMAPS, "url string, body string"), F.lit("https://h.test")).unionByName(http.sitemap_pages(files, F.lit("https://spam-farm.example.org")))
 
 
 SITEMAP_LISTING = f"""
 WITH l AS (SELECT DISTINCT replace(unnest(regexp_extract_all(body, '<loc>\\s*([^<\\s]+)\\s*</loc>', 1)), '&amp;', '&') AS url FROM {values(SITEMAPS, 'url, body')} WHERE contains(body, '<urlset'))
 SELECT url, url LIKE '%.xml' AS nested FROM l WHERE starts_with(url, 'https://h.test/')
+UNION ALL SELECT DISTINCT split_part(url, '#', 1), false FROM pages WHERE starts_with(url, 'https://spam-farm.example.org/')
 """
 
 
 def kit_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads.kit_routes(assets(spark)).select("route", "node")
+    """Routes of the samples, and of a dictionary for each captured site that has its pages' paths."""
+    paths = read(spark, sf_dir).groupBy(urls.host(F.col("url")).alias("host"), F.expr("page_id div 500").alias("part")).agg(F.array_sort(F.collect_list(F.concat(F.lit('"'), urls.path(F.col("url")), F.lit('":['), "page_id", F.lit("]")))).alias("routes"))  # 500 at most
+    own = paths.select(F.concat(F.lit("https://"), "host", F.lit("/_app/"), "part", F.lit(".js")).alias("url"), F.concat(F.lit("const dictionary = {"), F.array_join("routes", ","), F.lit("}; export {dictionary}")).alias("body"))
+    return payloads.kit_routes(assets(spark, sf_dir).select("url", "body").unionByName(own)).select("route", "node")
 
 
-KIT_ROUTES = """SELECT route, node FROM (VALUES ('/blog/[slug]', 2), ('/about', 3)) v(route, node)"""
+KIT_ROUTES = """SELECT route, node FROM (VALUES ('/blog/[slug]', 2), ('/about', 3)) v(route, node) UNION ALL
+SELECT coalesce(nullif(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), ''), '/'), page_id::INT FROM pages"""
 
 
 def link_specifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
