@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from bundlelens.js import unpack as u
@@ -5,36 +7,87 @@ from bundlelens.js.parser import parse
 from bundlelens.js.scopes import Analysis, edited, rename_edits
 
 
-def pushed(payload, into="webpackChunkshop"):
-    return f"(self.{into}=self.{into}||[]).push({payload})"
-
-
-def test_webpack_shapes():
-    """Factories as object or array, arrows or functions, in line or by name; what isn't a factory is skipped and told."""
-    found = u.webpack(pushed("[[41,'cart'],{310:(m,x,need)=>{need.d(x,{total:()=>t});const t=need(311)},311:function(m){m.exports=9}}]"))
-    assert (found.level, found.shape, found.recognized, found.chunk_ids) == ("full", "webpack5-jsonp", 2, ["41", "cart"])
-    assert {m.id: m.deps for m in found.modules} == {"310": ["311"], "311": []}
-    found = u.webpack("(window.webpackJsonp=window.webpackJsonp||[]).push([[6],[function(m,x){x.one=1},function(m,x,need){m.exports=need(0).one}],[[1,6]]])")
-    assert (found.level, found.shape) == ("full", "webpack4-jsonp+entries+array") and {m.id: m.deps for m in found.modules} == {"0": [], "1": ["0"]}
-    found = u.webpack("function priced(m,x,need){need.d(x,{p:()=>2})}" + pushed("[[8],{77:priced}]"))
-    assert (found.level, [m.id for m in found.modules]) == ("full", ["77"])
-    found = u.webpack(pushed("[[9],{80:(m)=>{m.exports={}},81:built(4)}]"))
-    assert found.level == "partial" and [m.id for m in found.modules] == ["80"] and found.skipped[0][0] == "81"
-    assert u.webpack(pushed("'later'")).level == "raw" and u.webpack("self.queue=[];queue.forEach(f)") is None
-
-
-def test_turbopack_shapes():
-    """Flat lists of ids and factories, an object of factories, and the list that starts a runtime."""
-    flat = u.turbopack("(globalThis.TURBOPACK||(globalThis.TURBOPACK=[])).push([document.currentScript,70,m=>{m.s(['fee',0,f]);let f=m.i(71)},71,m=>{m.s(['rate',0,2])}])")
-    assert (flat.level, flat.shape) == ("full", "turbopack-flat") and {m.id: m.deps for m in flat.modules} == {"70": ["71"], "71": []}
-    named = u.turbopack('(globalThis.TURBOPACK=globalThis.TURBOPACK||[]).push(["chunks/pay.js",{"[project]/lib/pay.js [client]":(m)=>{m.s(["pay",0,3])}}])')
-    assert (named.level, named.shape) == ("full", "turbopack-object") and len(named.modules) == 1
-    start = u.turbopack('(globalThis.TURBOPACK||(globalThis.TURBOPACK=[])).push([document.currentScript,{otherChunks:["chunks/pay.js"],runtimeModuleIds:[70,71]}])')
-    assert (start.level, start.shape) == ("full", "turbopack-runtime")
-    odd = u.turbopack("(globalThis.TURBOPACK||(globalThis.TURBOPACK=[])).push([document.currentScript,80,m=>{},81,{}])")
-    assert odd.level == "partial" and [id_ for id_, _ in odd.skipped] == ["81"]
-    shared = u.turbopack("TURBOPACK.push([document.currentScript,90,91,m=>{m.i(92).go()}])")
-    assert shared.aliases == [("91", "90")] and shared.modules[0].deps == ["92"]
+def module_graph(rng, ids):
+    """{id: (ids it needs, names it exports)}"""
+    ids = list(ids)
+    return {i: (sorted(rng.sample([x for x in ids if x != i], rng.randint(0, min(3, len(ids) - 1)))), [f"v{rng.randrange(1000)}" for _ in range(rng.randint(0, 3))]) for i in ids}
+
+
+def factory(rng, needs, names, style):
+    """Source of a webpack factory, in one of the ways that minifiers write them."""
+    m, x, q = rng.sample("abcdefghijk", 3)
+    names = list(dict.fromkeys(names))
+    body = (f"{q}.d({x},{{{','.join(f'{n}:()=>own{n}' for n in names)}}});" if names else "") + "".join(f"const need{i}={q}({i});" for i in needs) + "".join(f"const own{n}={rng.randrange(99)};" for n in names)
+    return f"({m},{x},{q})=>{{{body}}}" if style == "arrow" else f"function({m},{x},{q}){{{body}}}"
+
+
+def webpack_chunk(rng, graph, shape, style, broken=None):
+    """The whole chunk; the factory of the module `broken` is the result of a call."""
+    made = {i: "make(7)" if i == broken else factory(rng, *own, style) for i, own in graph.items()}
+    before = ""
+    if shape == "named":
+        before = "".join(f"var made{i}={f};" for i, f in made.items() if i != broken)
+        made = {i: f if i == broken else f"made{i}" for i, f in made.items()}
+    held = "[" + ",".join(made.get(i, "") for i in range(max(made) + 1)) + "]" if shape == "array" else "{" + ",".join(f"{i}:{f}" for i, f in made.items()) + "}"
+    queue = f"webpackChunk{rng.choice(['', 'shop', '_app'])}"
+    return f"{before}(self.{queue}=self.{queue}||[]).push([[{rng.randrange(500)}],{held}])"
+
+
+def came_back(found, graph):
+    return {m.id: sorted(m.deps) for m in found.modules} == {str(i): sorted(map(str, needs)) for i, (needs, _) in graph.items()}
+
+
+@pytest.mark.parametrize("style", ["arrow", "function"])
+@pytest.mark.parametrize("shape", ["object", "array", "named"])
+def test_webpack_graphs_come_back(shape, style):
+    for seed in range(8):
+        rng = random.Random(seed)
+        graph = module_graph(rng, range(rng.randint(1, 9)) if shape == "array" else rng.sample(range(900), rng.randint(1, 9)))
+        found = u.webpack(webpack_chunk(rng, graph, shape, style))
+        assert found.level == "full" and not found.skipped and came_back(found, graph)
+        assert {m.id: sorted(m.exports) for m in found.modules} == {str(i): sorted(set(names)) for i, (_, names) in graph.items()}
+        for m in found.modules:
+            parse(m.code)
+        # a module that no factory makes is left out and told, the others stay
+        broken = rng.choice(list(graph))
+        found = u.webpack(webpack_chunk(random.Random(seed), graph, shape, style, broken))
+        rest = {i: own for i, own in graph.items() if i != broken}
+        assert came_back(found, rest) and [i for i, _ in found.skipped] == [str(broken)]
+        assert found.level == ("partial" if rest else found.level)
+
+
+def turbopack_chunk(rng, graph, shape, broken=None):
+    def made(needs, names):
+        m = rng.choice("pqrs")
+        return f"{m}=>{{" + (f"{m}.s([{','.join(f'{chr(34)}{n}{chr(34)},0,own{n}' for n in names)}]);" if names else "") + "".join(f"let need{i}={m}.i({i});" for i in needs) + "".join(f"let own{n}=1;" for n in dict.fromkeys(names)) + "}"
+
+    of = {i: "make(7)" if i == broken else made(*own) for i, own in graph.items()}
+    rows = "document.currentScript," + ",".join(f"{i},{f}" for i, f in of.items()) if shape == "flat" else f'"chunks/{rng.randrange(99)}.js",{{' + ",".join(f'"{i}":{f}' for i, f in of.items()) + "}"
+    return f"(globalThis.TURBOPACK||(globalThis.TURBOPACK=[])).push([{rows}])"
+
+
+@pytest.mark.parametrize("shape", ["flat", "object"])
+def test_turbopack_graphs_come_back(shape):
+    for seed in range(8):
+        rng = random.Random(seed)
+        graph = module_graph(rng, rng.sample(range(900), rng.randint(2, 9)))
+        found = u.turbopack(turbopack_chunk(rng, graph, shape))
+        assert (found.level, found.shape) == ("full", f"turbopack-{shape}") and came_back(found, graph)
+        broken = rng.choice(list(graph))
+        found = u.turbopack(turbopack_chunk(random.Random(seed), graph, shape, broken))
+        assert came_back(found, {i: own for i, own in graph.items() if i != broken}) and [i for i, _ in found.skipped] == [str(broken)]
+
+
+def test_damaged_chunks_give_no_wrong_modules():
+    """Cut or disturbed anywhere, a chunk gives modules of the graph or none, and never an error."""
+    rng = random.Random(11)
+    graph = module_graph(rng, rng.sample(range(900), 5))
+    for whole in (webpack_chunk(rng, graph, "object", "arrow"), turbopack_chunk(rng, graph, "flat")):
+        for _ in range(60):
+            at = rng.randrange(len(whole))
+            for damaged in (whole[:at], whole[:at] + rng.choice("{}()[],;") + whole[at:], whole[:at] + whole[at + rng.randint(1, 9) :]):
+                for found in (u.webpack(damaged), u.turbopack(damaged)):
+                    assert found is None or found.level in ("full", "partial", "raw")
 
 
 def test_module_code():
@@ -46,20 +99,22 @@ def test_module_code():
     parse(m.code)
 
 
-def test_wrapped():
-    """Wrapped modules of a bundle become files of their own, which the rest imports."""
-    code = 'import{q as wrap,k as asModule}from"./runtime-QWERTYUI.js";var money=wrap(out=>{out.format=function(n){return n+" EUR"}});var tax=wrap((out,mod)=>{mod.exports={rate:0.2}});var m=asModule(money());report((0,m.format)(5),tax().rate);'
-    found = u.wrapped(code, "https://shop.test/build/till-ASDFGHJK.js")
-    own = {m.id: m for m in found.modules}
-    assert (found.level, found.containers, sorted(own)) == ("full", 2, ["till-ASDFGHJK", "till-ASDFGHJK~money", "till-ASDFGHJK~tax"])
-    assert sorted(own["till-ASDFGHJK"].deps) == ["runtime-QWERTYUI", "till-ASDFGHJK~money", "till-ASDFGHJK~tax"]
-    assert "exports.format" in own["till-ASDFGHJK~money"].code and 'from "./till-ASDFGHJK~money.js"' in own["till-ASDFGHJK"].code
-    for m in found.modules:
-        parse(m.code)
-    lazy = 'var once=(make,held)=>()=>(held||(make((held={exports:{}}).exports,held),make=null),held.exports);var dates=once(out=>{out.today=function(){return 3}}),clock=once((out,mod)=>{mod.exports=dates()});import"./polyfill-ZXCVBNML.js";report(clock().today());'
-    found = u.unpack(lazy, "https://shop.test/build/app-POIUYTRE.js", "vite")
-    own = {m.id: m.code for m in found.modules}
-    assert sorted(own) == ["app-POIUYTRE", "app-POIUYTRE~clock", "app-POIUYTRE~dates"] and 'require("./app-POIUYTRE~dates.js")' in own["app-POIUYTRE~clock"]
+def test_wrapped_graphs_come_back():
+    """Modules that a bundle wraps become files of their own, which the rest imports."""
+    for seed in range(6):
+        rng = random.Random(seed)
+        names = rng.sample(["dates", "money", "tax", "cart", "route", "store"], rng.randint(2, 6))
+        needs = {n: sorted(rng.sample(names[:k], rng.randint(0, min(2, k)))) for k, n in enumerate(names)}
+        chunk = lambda n: f"var {n}=wrap((given,held)=>{{" + "".join(f"const need{d}={d}();" for d in needs[n]) + f"given.value{n}={rng.randrange(9)};}});"
+        code = 'import{w as wrap}from"./helpers-HJKLZXCV.js";' + "".join(map(chunk, names)) + "show(" + ",".join(f"{n}().value{n}" for n in names) + ");"
+        found = u.wrapped(code, "https://h.test/out/page-QAZWSXED.js")
+        own = {m.id: m for m in found.modules}
+        file = lambda n: f"page-QAZWSXED~{n}"
+        assert (found.level, found.containers) == ("full", len(names)) and set(own) == {"page-QAZWSXED", *map(file, names)}
+        assert sorted(own["page-QAZWSXED"].deps) == sorted(["helpers-HJKLZXCV", *map(file, names)])
+        for n in names:
+            assert f"value{n}" in own[file(n)].code and all(f'"./{file(d)}.js"' in own[file(n)].code for d in needs[n])
+            parse(own[file(n)].code)
 
 
 def test_esm():
