@@ -23,7 +23,7 @@ from copy import copy
 from itertools import chain, repeat
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlelens.llm.shared import stash
@@ -392,26 +392,28 @@ def encoded(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, n_tokens long, n_head long, base_head double, ids binary, tail binary, words array<binary>, ns array<bigint>")
 
 
-def _gathered(batches: Iterable, vocabulary: Vocabulary, wanted) -> Iterator[tuple[list, list]]:
-    """Lists of the rows wanted, of `tokens` tokens or a little more: (leading columns, (ids, inputs)). A row has its doc_id
-    second, and its ids and the tail's inputs last."""
+def _gathered(batches: Iterable, vocabulary: Vocabulary, apart: bool = False) -> Iterator[tuple[list, list]]:
+    """Lists of rows, of `tokens` tokens or a little more: (leading columns, (ids, inputs)). A row has its ids and the
+    tail's inputs last. apart: rows of one list have the same first column."""
     import numpy as np
 
     rows, texts, n = [], [], 0
     for batch in batches:
         *first, ids_of, tails = batch.columns
         for row, ids, tail in zip(zip(*(c.to_pylist() for c in first), strict=True), ids_of, tails, strict=True):
-            if wanted(row[1]):
-                # the buffers are copied, so that no batch stays in memory for a few rows of it
-                ids = np.frombuffer(ids.as_py(), dtype=np.int32)
-                inputs = vocabulary.input_of[ids]
-                inputs[ids == vocabulary.tail] = np.frombuffer(tail.as_py(), dtype=np.int32)
-                rows.append(row)
-                texts.append((ids, inputs))
-                n += len(ids)
-                if n >= vocabulary.sizes.tokens:
-                    yield rows, texts
-                    rows, texts, n = [], [], 0
+            if apart and rows and rows[-1][0] != row[0]:
+                yield rows, texts
+                rows, texts, n = [], [], 0
+            # the buffers are copied, so that no batch stays in memory for a few rows of it
+            ids = np.frombuffer(ids.as_py(), dtype=np.int32)
+            inputs = vocabulary.input_of[ids]
+            inputs[ids == vocabulary.tail] = np.frombuffer(tail.as_py(), dtype=np.int32)
+            rows.append(row)
+            texts.append((ids, inputs))
+            n += len(ids)
+            if n >= vocabulary.sizes.tokens:
+                yield rows, texts
+                rows, texts, n = [], [], 0
     if rows:
         yield rows, texts
 
@@ -419,37 +421,61 @@ def _gathered(batches: Iterable, vocabulary: Vocabulary, wanted) -> Iterator[tup
 CHUNK = 1 << 14
 
 
+def _held_out() -> Column:
+    """Whether a row's labels aren't learned from; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
+
+
 def train(texts: DataFrame, vocabulary: Vocabulary, shared) -> Any:
-    """The averaged weights, learnt from `encoded` texts. What is collected is one model's weights, whose size `Sizes` bounds."""
+    """The averaged weights, learnt from `encoded` texts. What is collected is one model's weights, whose size `Sizes` bounds.
+
+    A hash of a text's id and words says which replica learns it, and in which order; sums are made in the order of the
+    replicas' numbers. So the weights are the same however the texts are stored and dealt out."""
     import numpy as np
     import pyarrow as pa
 
+    def learned(deal: int, network, n: int):
+        parts = [network.flat[i : i + CHUNK] for i in range(0, len(network.flat), CHUNK)]
+        columns = [pa.array(range(len(parts)), pa.int32()), pa.array([deal] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "deal", "n", "weights"])
+
     def replica(batches: Iterable) -> Iterator:
-        network, n = Network(shared.value), 0
-        for _, own in _gathered(batches, shared.value, lambda i: not held_out(i)):
+        deal, network, n = None, None, 0
+        for rows, own in _gathered(batches, shared.value, apart=True):
+            if rows[0][0] != deal:
+                if n:
+                    yield learned(deal, network, n)
+                deal, network, n = rows[0][0], Network(shared.value), 0
             train_texts(network, own)
             n += sum(len(ids) for ids, _ in own)
         if n:
-            parts = [network.flat[i : i + CHUNK] for i in range(0, len(network.flat), CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n", "weights"])
+            yield learned(deal, network, n)
 
     def average(batches: Iterable) -> Iterator:
-        sums: dict[int, Any] = {}
+        """Of the rows of each chunk and deal, which stand together."""
+        key, total, tokens = None, 0.0, 0
+        mean = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], ["chunk", "deal", "n", "weights"])
         for batch in batches:
-            for chunk, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(data, dtype=np.float32).astype(np.float64) * n
-                total, tokens = sums.get(chunk, (0.0, 0))
-                sums[chunk] = (total + own, tokens + n)
-        for chunk, (total, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["chunk", "n", "weights"])
-
-    schema = "chunk int, n long, weights binary"
+            for chunk, deal, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (chunk, deal) != key:
+                    if key:
+                        yield mean()
+                    key, total, tokens = (chunk, deal), 0.0, 0
+                total, tokens = total + np.frombuffer(data, dtype=np.float32).astype(np.float64) * n, tokens + n
+        if key:
+            yield mean()
+
+    schema = "chunk int, deal int, n long, weights binary"
     replicas = max(1, vocabulary.n_tokens // vocabulary.sizes.replica)
-    trained = texts.select("row", "doc_id", "ids", "tail").coalesce(replicas).mapInArrow(replica, schema)
+    h = F.xxhash64("doc_id", "ids")
+    dealt = texts.where(~_held_out()).select(F.pmod(h, F.lit(replicas)).cast("int").alias("deal"), "doc_id", "ids", "tail", h.alias("h")).repartition(replicas, "deal").sortWithinPartitions("deal", "h", "doc_id")
+    trained = dealt.select("deal", "doc_id", "ids", "tail").mapInArrow(replica, schema)
     # sums over about the root of the replicas first, so that no task reads the weights of all
     parts = max(1, math.isqrt(replicas))
-    partial = trained.repartition(parts * 8, "chunk", F.pmod(F.spark_partition_id(), F.lit(parts))).mapInArrow(average, schema)
-    found = partial.repartition("chunk").mapInArrow(average, schema).orderBy("chunk").collect()
+    grouped = trained.select("chunk", F.pmod("deal", F.lit(parts)).alias("deal"), F.col("deal").alias("of"), "n", "weights").repartition(parts * 8, "chunk", "deal").sortWithinPartitions("chunk", "deal", "of")
+    partial = grouped.select("chunk", "deal", "n", "weights").mapInArrow(average, schema)
+    whole = partial.repartition("chunk").sortWithinPartitions("chunk", "deal").select("chunk", F.lit(0).alias("deal"), "n", "weights")
+    found = whole.mapInArrow(average, schema).orderBy("chunk").collect()
     return np.concatenate([np.frombuffer(r.weights, dtype=np.float32) for r in found]) if found else Network(vocabulary).flat
 
 
@@ -488,7 +514,7 @@ def score_documents(df: DataFrame, sizes: Sizes = Sizes(), id_col: str = "doc_id
 
     def run(batches: Iterable) -> Iterator:
         network = Network(lean.value, weights.value)
-        for rows, own in _gathered(batches, lean.value, lambda _: True):
+        for rows, own in _gathered(batches, lean.value):
             ln = score_texts(network, own)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(ln / math.log(10))], [*leading, "score_head"])
 
@@ -499,10 +525,9 @@ def score_documents(df: DataFrame, sizes: Sizes = Sizes(), id_col: str = "doc_id
     sums = known.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_tail"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.sum("n").alias("n_rare"))
     joined = scored.join(sums.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left")
     n_rare, logs = F.coalesce("n_rare", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     seen_end = int(vocabulary.counts[vocabulary.end] > 0)
     return joined.select(
-        "doc_id", (fold == HELD_OUT).alias("held_out"), "n_tokens",
+        "doc_id", _held_out().alias("held_out"), "n_tokens",
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) - (1 - seen_end)).alias("n_known"), F.lit(vocabulary.n_tokens).cast("long").alias("train_tokens"),
         (F.col("base_head") + logs - n_rare * math.log10(vocabulary.total)).alias("base_score"),
         (F.col("score_head") + logs - n_rare * math.log10(vocabulary.tail_total)).alias("score"),

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bundlelens.llm import lm
 
@@ -142,6 +143,20 @@ def test_registered_query_on_given_documents(spark):
     assert sum(r.score > r.base_score for r in rows) > 0.95 * len(rows)
 
 
+def test_scores_dont_depend_on_files(spark, tmp_path):
+    """The same documents in 1, 7 and 40 files, learned by several replicas, in any order of rows."""
+    sizes = lm.Sizes(head=64, neural=400, group=50, lanes=32, replica=3000)
+    docs = spark.createDataFrame([*corpus(400), (7, None), (None, "a1 a1")], "doc_id long, text string")
+    found = []
+    for n in (1, 7, 40):
+        docs.repartition(n).sortWithinPartitions(F.rand(n)).write.parquet(f"{tmp_path}/{n}.parquet")
+        found.append(sorted(((r.doc_id, r.n_tokens, r.score) for r in lm.score_documents(spark.read.parquet(f"{tmp_path}/{n}.parquet"), sizes).collect()), key=str))
+    tokens = sum(r[1] for r in found[0])
+    assert tokens > 3 * sizes.replica
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]] and [r[2] for r in other] == pytest.approx([r[2] for r in found[0]], rel=1e-5)
+
+
 def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if lm.held_out(i))
     row = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
