@@ -455,12 +455,37 @@ def first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     return shared.where((F.col("first") < F.col("node")) & able).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def contested(member: DataFrame, tile: int) -> DataFrame:
+    """(_key, tiles, major, outer): the groups of members (key, node, root) of several components, with the number of tiles
+    of all members; where it is more than one, the component that most are in and the number of tiles of the others."""
+    counted = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    groups = stash(counted.where("low < high").select(F.col("key").alias("_key"), F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "simhash-open")
+    by_root = member.join(groups.where("tiles > 1"), F.col("key") == F.col("_key")).groupBy("_key", "root").agg(F.count("*").alias("c"))
+    major = by_root.groupBy(F.col("_key").alias("_of")).agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.ceil((F.sum("c") - F.max("c")) / tile).cast("int").alias("outer"))
+    return groups.join(major, F.col("_key") == F.col("_of"), "left").drop("_of")
+
+
+def meetings(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, i, j, side, columns..): units of work are pairs of a tile i of the members outside the major component and a
+    tile j of all members. A member is there as one of all (side 0) and, if it is outside, as such (1); in a group of one
+    tile it is there once (2)."""
+    place = "cast(pmod(xxhash64(node), {}) as int)"
+    as_any = f"transform(sequence(0, outer - 1), i -> named_struct('i', i, 'j', {place.format('tiles')}, 'side', 0))"
+    as_outer = f"if(root <> major, transform(sequence(0, tiles - 1), j -> named_struct('i', {place.format('outer')}, 'j', j, 'side', 1)), array())"
+    placed = F.expr(f"if(tiles = 1, array(named_struct('i', 0, 'j', 0, 'side', 2)), concat({as_any}, {as_outer}))")
+    return rows.select("key", *columns, F.explode(placed).alias("u")).select("key", "u.i", "u.j", "u.side", *columns)
+
+
 def other_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
     """(a, b): all other pairs of each group that can be similar and are in different components so far; a < b.
     Fingerprints folded to FOLDED words, parities as well, discard most before they leave the group.
 
     A pair that also shares one of the EARLIER keys before a group's is left to that key's group: so is no first one, and
-    copies that share all their keys are paired once and not once for each."""
+    copies that share all their keys are paired once and not once for each.
+
+    In a group of more than `tile` members those of the component that most are in (the major one) are only compared with
+    the others: with n members, m of them outside, n * ceil(m / tile) + m * ceil(n / tile) rows are sent. So a large group
+    that is one component but for a few stays linear."""
     import pyarrow as pa
 
     before = Window.partitionBy("node").orderBy("at")
@@ -468,31 +493,27 @@ def other_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     member = shared.select("key", "node", "size", "at", "first", *[F.coalesce(F.lag("key", i + 1).over(before), F.lit(0)).alias(c) for i, c in enumerate(earlier)])
     member = member.where("node <> first").join(roots.select(F.col("node").alias("_of"), "root"), F.col("node") == F.col("_of"), "left")
     member = stash(member.select("key", "node", "size", "at", *earlier, F.coalesce("root", "node").alias("root")), "simhash-rooted")
-    counted = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    parted = counted.where("low < high").select(F.col("key").alias("_key"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    parted = contested(member, tile)
     folded = [F.expr(" ^ ".join(f"bits[{k}]" for k in range(i, WIDE, FOLDED))).alias(f"bits{i}") for i in range(FOLDED)]
     bits = [f"bits{i}" for i in range(FOLDED)]
     rows = member.join(parted, F.col("key") == F.col("_key")).join(nodes.select(F.col("node").alias("_named"), *folded), F.col("node") == F.col("_named"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    # a row meets every tile of its group, its own included: pairs of tiles (i, j), i <= j, are the units of work
-    met_tiles = rows.select("key", "node", "size", "at", "root", *earlier, *bits, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     unit = ["key", "i", "j"]
-    units = met_tiles.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "at", "root", *earlier, *bits)
+    units = meetings(rows, ["node", "size", "at", "root", *earlier, *bits])
     dealt = units.repartition(*unit).sortWithinPartitions(*unit)
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
 
-        for group, (_, i, j, *columns) in whole_groups(batches, 3):
+        for group, (_, _, _, *columns) in whole_groups(batches, 3):
             order = np.lexsort((columns[2], group))
-            group, alone, own, node, size, at, root, *others = (c[order] for c in (group, i == j, *columns))
+            group, side, node, size, at, root, *others = (c[order] for c in (group, *columns))
             keys, words_ = others[:EARLIER], others[EARLIER:]
             rows, step = np.arange(len(node)), 1
             while len(rows := rows[rows + step < len(node)]):
                 # sizes are sorted: a row has no partner farther on once one is too large
                 rows = rows[(group[rows] == group[rows + step]) & (size[rows + step] * similarity <= size[rows] + 1e-6)]
                 x, y = rows, rows + step
-                on = (root[x] != root[y]) & (alone[x] | (own[x] != own[y])) & can_meet(size[x], at[x], size[y], at[y], similarity)
+                on = (root[x] != root[y]) & ((side[x] == 2) | (side[x] != side[y])) & can_meet(size[x], at[x], size[y], at[y], similarity)
                 x, y = x[on], y[on]
                 for p in keys:
                     for q in keys:

@@ -176,7 +176,7 @@ def test_similar_texts(spark):
 
 
 def test_large_groups_of_similar_texts(spark, monkeypatch):
-    """Groups of which only first and last members are compared with all."""
+    """A group of texts of one template, each a link to the others."""
     rng = random.Random(7)
     base = [f"w{i}" for i in range(300)]
     rows = []
@@ -188,6 +188,21 @@ def test_large_groups_of_similar_texts(spark, monkeypatch):
     assert {r.component_id for r in found.collect()} == {0}
 
 
+@pytest.mark.parametrize(("outside", "most"), [(1, 1), (3000, 2)])
+def test_large_groups_stay_linear(spark, outside, most):
+    """Of 200 000 members few are outside the major component: they meet all, and the others meet only them."""
+    n, tile = 200_000, 2048
+    member = spark.range(n).selectExpr("1L AS key", "id AS node", f"if(id < {outside}, id, {n}) AS root").unionByName(spark.createDataFrame([(2, 1, 5), (2, 2, 6), (3, 1, 5), (3, 2, 5)], "key long, node long, root long"))
+    parted = simhash.contested(member, tile)
+    assert {(r._key, r.tiles, r.major, r.outer) for r in parted.collect()} == {(1, -(-n // tile), n, most), (2, 1, None, None)}
+    units = simhash.meetings(member.join(parted, parted._key == member.key), ["node", "root"])
+    assert units.where("key = 1").count() == n * most + outside * -(-n // tile)
+    # each member outside meets every other one in some unit
+    x, y = (units.where(f"key = 1 AND side = {s}") for s in (1, 0))
+    one = x.where("node = 0").select("i", "j").join(y, ["i", "j"]).select("node").distinct()
+    assert one.count() == n
+
+
 def test_no_pair_is_lost(spark):
     """Texts of one template agree on many bits, and most are not similar to each other nor to any hub: all pairs are found."""
     rng = random.Random(8)
