@@ -61,3 +61,31 @@ def closure(seeds: DataFrame, captured: DataFrame, producers: list[Producer], mo
         total = known.rows().count()
         wanted = numbered(new, ["at", "by", "ord", "url"], "place", total).select("url", "parent", "place")
         n += 1
+
+
+def expanded(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, target, place): what each of the roots (node) stands for when nodes with edges (src, dst, ord) are replaced by
+    what these lead to, all the way: the nodes without edges, in the order in which a depth-first walk comes upon them,
+    each once. A walk that comes back to what it is replacing goes no further; a root without edges stands for itself.
+
+    Each node under a root keeps the smallest list of places on a path to it, and passes it on when it gets smaller. The
+    smallest lists are in the walk's order: a way around a cycle only adds to a list, and where two paths meet in a node
+    the smaller one is first whatever follows. No path is listed twice, though the paths may be very many. Edges of a
+    node are in the order of ord and dst; null ends are none. Numbers are given out by ranges of (root, list), so a root
+    of very many targets isn't one task's.
+    """
+    rows = edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
+    step = written(rows.select("src", "dst", F.struct(F.col("ord"), F.col("dst")).alias("step")))
+    changed = written(roots.where("node IS NOT NULL").select(F.col("node").alias("root"), "node", F.array().cast(f"array<{step.schema['step'].dataType.simpleString()}>").alias("path")).distinct())
+    state = changed
+    while True:
+        sent = changed.join(step, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("step"))).alias("_path"))
+        met = sent.join(state, ["root", "node"], "left").where(F.col("path").isNull() | (F.col("_path") < F.col("path")))
+        changed = written(met.select("root", "node", F.col("_path").alias("path")))
+        if changed.isEmpty():
+            break
+        state = written(state.join(changed.select("root", "node"), ["root", "node"], "left_anti").unionByName(changed))
+    ends = state.join(step.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    at = written(numbered(ends, ["root", "path"], "n").select("root", F.col("node").alias("target"), "n"))
+    first = at.groupBy(F.col("root").alias("_root")).agg(F.min("n").alias("_first"))
+    return at.join(first, F.col("root") == F.col("_root")).select("root", "target", (F.col("n") - F.col("_first")).alias("place"))

@@ -91,18 +91,27 @@ def dictionary(texts: DataFrame, words: int = 4) -> DataFrame:
 
 def layout_groups(pages: DataFrame) -> DataFrame:
     """(signature, pages, prefix, suffix): pages (page_id, wrappers, items: arrays) with equal wrappers and equal first
-    and last items, and how many items all of a group share at either end."""
-    signature = F.xxhash64(F.to_json(F.struct("wrappers", F.get("items", F.lit(0)).alias("a"), F.try_element_at("items", F.lit(-1)).alias("b"))))
-    rows = pages.withColumn("signature", signature).select("signature", "page_id", F.posexplode("items").alias("i", "item"), F.size("items").alias("n"))
-    sizes = rows.groupBy("signature").agg(F.count_distinct("page_id").alias("pages"), F.min("n").alias("least"))
-
-    def ends(index: Column) -> DataFrame:
-        at = rows.withColumn("i", index).groupBy("signature", "i").agg(F.count("*").alias("c"), F.count_distinct("item").alias("d")).join(sizes, "signature")
-        odd = at.where((F.col("c") < F.col("pages")) | (F.col("d") > 1)).groupBy("signature").agg(F.min("i").alias("stop"))
-        return sizes.join(odd, "signature", "left").select("signature", F.coalesce("stop", "least").alias("shared"))
+    and last items, and how many items all of a group share at either end; an item counts at one end only, and a page
+    alone shares none. Repeated page_ids count as pages, null items as empty ones.
 
-    front, back = ends(F.col("i")), ends(F.col("n") - 1 - F.col("i"))
-    return sizes.join(front.withColumnRenamed("shared", "prefix"), "signature").join(back.withColumnRenamed("shared", "suffix"), "signature").select("signature", "pages", "prefix", "suffix")
+    What all lists of a group begin with is what the smallest and the largest of them do, and so it is for the lists
+    turned round: sums of four lists that each task makes for itself, whatever the size of the group.
+    """
+    items = F.coalesce("items", F.array().cast(pages.schema["items"].dataType))
+    signature = F.xxhash64(F.to_json(F.struct("wrappers", F.get("items", F.lit(0)).alias("a"), F.try_element_at("items", F.lit(-1)).alias("b"))))
+    rows = pages.withColumn("items", items).select(signature.alias("signature"), "items", F.reverse("items").alias("turned"))
+    groups = rows.groupBy("signature").agg(
+        F.count("*").alias("pages"), F.min(F.size("items")).alias("least"), F.min("items").alias("low"), F.max("items").alias("high"),
+        F.min("turned").alias("turned_low"), F.max("turned").alias("turned_high"),
+    )
+
+    def shared(low: str, high: str) -> Column:
+        differ = F.array_position(F.zip_with(low, high, lambda x, y: x.eqNullSafe(y)), False)
+        return F.when(differ == 0, F.col("least")).otherwise(F.least((differ - 1).cast("int"), "least"))
+
+    alone = F.col("pages") < 2
+    found = groups.withColumn("prefix", F.when(alone, 0).otherwise(shared("low", "high")))
+    return found.select("signature", "pages", "prefix", F.when(alone, 0).otherwise(F.least(shared("turned_low", "turned_high"), F.col("least") - F.col("prefix"))).alias("suffix"))
 
 
 def summary(**tables: DataFrame) -> DataFrame:

@@ -194,3 +194,6 @@ GENERIC_LABEL = r"^(www|app|admin|api|static|cdn|assets|web|site|home|dev|test|s
 # Features that every module has, and the thresholds of recognition.
 GENERIC_FEATURES = ["P:length", "P:call", "P:apply", "P:prototype", "P:push", "P:then", "P:default", "P:exports"]
 MIN_MODULE_FEATURES, MODULE_THRESHOLD = 8, 0.6
+
+# Elements that no loop writes.
+NEVER_REPEATED = ("script", "style", "pre", "textarea", "svg", "path", "head", "html", "body", "title", "meta", "link", "option", "br", "hr", "img", "input")
