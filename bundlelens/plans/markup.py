@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from bundlelens.operators import closure, leaders, reports, trees
+from bundlelens.operators import alignment, closure, leaders, reports, trees
 from bundlelens.plans.tables import table
 
 
@@ -96,12 +97,37 @@ def stub_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 STUB_TARGETS = """
 WITH RECURSIVE e AS MATERIALIZED (SELECT a.l_partkey AS src, b.l_partkey AS dst, min(a.l_orderkey * 8 + a.l_linenumber) AS ord FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN part ON p_partkey = a.l_partkey WHERE a.l_quantity >= 48 AND p_size <= 25 AND a.l_partkey <> b.l_partkey GROUP BY ALL),
 w AS (SELECT p_partkey AS root, p_partkey AS node, [p_partkey] AS met, []::BIGINT[] AS path FROM part WHERE p_size <= 25
-UNION ALL SELECT root, dst, list_append(met, dst), list_append(path, ord) FROM w JOIN e ON src = node WHERE NOT list_contains(met, dst)),
+UNION ALL SELECT root, dst, list_append(met, dst), list_concat(path, [ord, dst]) FROM w JOIN e ON src = node WHERE NOT list_contains(met, dst)),
 f AS (SELECT root, node, min(path) AS path FROM w WHERE node NOT IN (SELECT src FROM e) GROUP BY ALL)
 SELECT root, node AS target, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS place FROM f
 """
 
+def page_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes from one page of a site to the next one, in the order of their ids, down to what articles and
+    navigation consist of: elements that are matched, went or came."""
+    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL").select("page_id", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), "html")
+    ids = pages.select("page_id", "host").withColumn("next_id", F.lead("page_id").over(Window.partitionBy("host").orderBy("page_id"))).where("next_id IS NOT NULL")
+    later = pages.select(F.col("page_id").alias("next_id"), F.col("html").alias("after"))
+    pairs = ids.join(pages.select("page_id", F.col("html").alias("before")), "page_id").join(later, "next_id")
+    found = alignment.changes(pairs, ["page_id", "next_id"]).where("depth <= 3 AND tag IN ('nav', 'ul', 'div', 'article', 'h1', 'p', 'footer')")
+    has = lambda c: F.col(c).isNotNull()
+    return found.groupBy("page_id", "next_id").agg(F.count_if(has("before") & has("after")).alias("matched"), F.count_if(~has("after")).alias("gone"), F.count_if(~has("before")).alias("new"))
+
+
+#: The children of bodies and articles as strings of letters; the common part's length row by row.
+PAGE_CHANGES = r"""
+WITH RECURSIVE p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(html, '(?s)<article\b[^>]*>(.*?)(?:</article>|\z)', 1) AS article, html FROM pages),
+q AS (SELECT page_id, host, contains(html, '</article>') AS whole, regexp_extract_all(split_part(article, '<p><b>', 1), '<(h1|p)>', 1) || CASE WHEN contains(article, '<p><b>') THEN ['p'] ELSE [] END AS x, 3 + contains(html, '<ul>')::INT + contains(html, '<footer>')::INT AS rest FROM p),
+n AS MATERIALIZED (SELECT page_id, lead(page_id) OVER w AS next_id, x, lead(x) OVER w AS y, rest, lead(rest) OVER w AS next_rest FROM q WINDOW w AS (PARTITION BY host ORDER BY page_id)),
+l AS (SELECT page_id, 0 AS i, list_transform(range(len(y) + 1), lambda j: 0) AS v FROM n WHERE next_id IS NOT NULL
+UNION ALL SELECT page_id, i + 1, list_transform(range(1, len(t) + 1), lambda j: list_max(t[1:j])) FROM (
+  SELECT l.page_id, l.i, list_transform(range(1, len(v) + 1), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(v[j], v[j - 1] + (x[l.i + 1] = y[j - 1])::INT) END) AS t FROM l JOIN n USING (page_id) WHERE l.i < len(x)))
+SELECT page_id, next_id, (v[-1] + least(rest, next_rest))::BIGINT AS matched, (len(x) - v[-1] + rest - least(rest, next_rest))::BIGINT AS gone, (len(y) - v[-1] + next_rest - least(rest, next_rest))::BIGINT AS new
+FROM l JOIN n USING (page_id) WHERE i = len(x)
+"""
+
 QUERIES = {
     "repeated_markup": (repeated_markup, REPEATED_MARKUP), "repeated_shapes": (repeated_shapes, REPEATED_SHAPES), "elements_inside": (elements_inside, ELEMENTS_INSIDE),
     "link_families": (link_families, LINK_FAMILIES), "page_layouts": (page_layouts, PAGE_LAYOUTS), "stub_targets": (stub_targets, STUB_TARGETS),
+    "page_changes": (page_changes, PAGE_CHANGES),
 }
