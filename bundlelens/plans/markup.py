@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bundlelens.operators import alignment, closure, leaders, reports, trees
 from bundlelens.plans.tables import table
@@ -106,7 +105,10 @@ def page_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changes from one page of a site to the next one, in the order of their ids, down to what articles and
     navigation consist of: elements that are matched, went or came."""
     pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL").select("page_id", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), "html")
-    ids = pages.select("page_id", "host").withColumn("next_id", F.lead("page_id").over(Window.partitionBy("host").orderBy("page_id"))).where("next_id IS NOT NULL")
+    # numbers dealt out by ranges: a window over a large site would be one task's
+    ids = closure.numbered(pages.select("page_id", "host"), ["host", "page_id"], "n").select("page_id", "host", "n")
+    after = ids.select(F.col("page_id").alias("next_id"), F.col("host").alias("_host"), (F.col("n") - 1).alias("n"))
+    ids = ids.join(after, "n").where("host = _host").select("page_id", "next_id")
     later = pages.select(F.col("page_id").alias("next_id"), F.col("html").alias("after"))
     pairs = ids.join(pages.select("page_id", F.col("html").alias("before")), "page_id").join(later, "next_id")
     found = alignment.changes(pairs, ["page_id", "next_id"]).where("depth <= 3 AND tag IN ('nav', 'ul', 'div', 'article', 'h1', 'p', 'footer')")
