@@ -52,19 +52,19 @@ def members(features: DataFrame, calls: DataFrame, exported: DataFrame, hops: in
     return found.rows()
 
 
-def inlined(features: DataFrame, calls: DataFrame, exported: DataFrame, hops: int = 1) -> tuple[DataFrame, DataFrame]:
-    """((module, function, feature), (module, function, callee)): features and calls of the exported functions that have
-    members, with those of their members. Features of shape (`A:`) are a function's own and don't come from members;
-    calls of members, and of the function itself by them, go. Inputs are those of `members`.
+def inlined(features: DataFrame, calls: DataFrame, exported: DataFrame, hops: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((module, function, feature), (module, function, callee), members): features and calls of the exported functions
+    that have members, with those of their members, and the members. Features of shape (`A:`) are a function's own and
+    don't come from members; calls of members, and of the function itself by them, go. Inputs are those of `members`.
     """
     held = written(members(features, calls, exported, hops))
-    mine, roots = _whole(features, *FUNCTION, "feature"), held.select(*FUNCTION).distinct()
+    mine, roots = features.select(*FUNCTION, "feature").dropna(), held.select(*FUNCTION).distinct()
     lent = mine.where(~F.col("feature").startswith("A:")).withColumnRenamed("function", "member").join(held, ["module", "member"]).select(*FUNCTION, "feature")
     links = _whole(calls, *FUNCTION, "callee")
     theirs = links.withColumnRenamed("function", "member").join(held, ["module", "member"]).where("callee <> function").select(*FUNCTION, "callee")
     all_links = links.join(roots, FUNCTION, "left_semi").unionByName(theirs)
     left = all_links.join(held.select(*FUNCTION, F.col("member").alias("callee")), [*FUNCTION, "callee"], "left_anti")
-    return mine.join(roots, FUNCTION, "left_semi").unionByName(lent).distinct(), left.distinct()
+    return mine.join(roots, FUNCTION, "left_semi").unionByName(lent).distinct(), left.distinct(), held
 
 
 def variant_matches(features: DataFrame, calls: DataFrame, exported: DataFrame, library: DataFrame, hops: int = 1, threshold: float = 0.8, margin: float = 0.1) -> DataFrame:
@@ -72,7 +72,7 @@ def variant_matches(features: DataFrame, calls: DataFrame, exported: DataFrame,
     function clearly is, for those that aren't clearly one as they stand."""
     asked = lambda rows: rows.select(F.struct(*FUNCTION).alias("function"), "feature")
     plain = identify.rare_matches(asked(_whole(features, *FUNCTION, "feature").join(_whole(exported, *FUNCTION), FUNCTION, "left_semi")), library, threshold, margin)
-    variants, _ = inlined(features, calls, exported, hops)
+    variants, _, _ = inlined(features, calls, exported, hops)
     found = identify.rare_matches(asked(variants), library, threshold, margin).join(plain.select("function"), "function", "left_anti")
     return found.select("function.module", "function.function", "match", "score", "margin")
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.plans import bundles, documents, libraries, markup, pages, summaries, tables
+from bundlelens.plans import bundles, documents, inlining, libraries, markup, pages, summaries, tables
 
-MODULES = (pages, documents, tables, bundles, summaries, libraries, markup)
+MODULES = (pages, documents, tables, bundles, summaries, libraries, markup, inlining)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -47,7 +47,7 @@ def test_inlined(spark, seed, hops):
     calls = [(rng.choice("mn"), name(), name()) for _ in range(45)] + [(None, "f1", "f2"), ("m", None, "f3"), ("m", "f1", None)]
     features = [(rng.choice("mn"), name(), rng.choice(["A:call", "S:x", "S:y", "K:1", "K:2"])) for _ in range(90)] + [("m", "f1", None), (None, "f1", "S:x")]
     exported = [(m, f"f{i}") for m in "mn" for i in range(0, 25, 3)] + [("m", None)]
-    sets, links = variants.inlined(*frames(spark, features * 2, calls * 2, exported), hops)
+    sets, links, _ = variants.inlined(*frames(spark, features * 2, calls * 2, exported), hops)
     want_sets, want_links = by_hand(features, calls, exported, hops)
     assert sorted(map(tuple, sets.collect())) == sorted(want_sets) and want_sets
     assert sorted(map(tuple, links.collect())) == sorted(want_links)
@@ -57,12 +57,12 @@ def test_cycles_and_own_calls(spark):
     """A function that calls itself, one that is called by itself alone, and a cycle without a way in are no members."""
     features = [("m", f, "S:" + f) for f in "abcd"]
     calls = [("m", "a", "a"), ("m", "b", "c"), ("m", "c", "b"), ("m", "d", "d")]
-    sets, links = variants.inlined(*frames(spark, features, calls, [("m", "a")]), 3)
+    sets, links, _ = variants.inlined(*frames(spark, features, calls, [("m", "a")]), 3)
     assert sets.count() == links.count() == 0
 
 
 def test_empty(spark):
-    sets, links = variants.inlined(*frames(spark, [], [], []))
+    sets, links, _ = variants.inlined(*frames(spark, [], [], []))
     assert sets.count() == links.count() == 0
 
 
