@@ -19,10 +19,16 @@ def distinctive(features: DataFrame) -> DataFrame:
     return features.where(~F.col("feature").startswith("A:") & ~F.col("feature").isin(rules.GENERIC_FEATURES))
 
 
-def _sized(features: DataFrame, key: str, n: str) -> DataFrame:
-    """Distinct (key, feature) and each key's number of features."""
+def _sized(features: DataFrame, key: str, n: str, within: DataFrame | None = None) -> DataFrame:
+    """Distinct (key, feature) and each key's number of features; of the rows only those with a feature of `within`, so
+    that no others are joined."""
     rows = features.select(key, "feature").distinct()
-    return rows.join(rows.groupBy(key).agg(F.count("*").alias(n)), key)
+    sizes = rows.groupBy(key).agg(F.count("*").alias(n))
+    return (rows if within is None else _within(rows, within)).join(sizes, key)
+
+
+def _within(features: DataFrame, other: DataFrame) -> DataFrame:
+    return features.join(other.select("feature").distinct(), "feature", "left_semi")
 
 
 def overlaps(modules: DataFrame, files: DataFrame, share: float = 0.0) -> DataFrame:
@@ -32,7 +38,7 @@ def overlaps(modules: DataFrame, files: DataFrame, share: float = 0.0) -> DataFr
     With a share, a module must have one of any selection of more than the rest of a file's features. Its rarest ones
     are looked up, and only the pairs they bring together are counted in full.
     """
-    mine, theirs = _sized(modules, "module", "of_module"), _sized(files, "file", "of_file")
+    mine, theirs = _sized(modules, "module", "of_module", files), _sized(files, "file", "of_file")
     if share <= 0:
         return mine.join(theirs, "feature").groupBy("module", "file", "of_module", "of_file").agg(F.count("*").alias("shared"))
     frequency = mine.groupBy("feature").agg(F.count("*").alias("_df"))
@@ -91,13 +97,15 @@ def rare_matches(functions: DataFrame, library: DataFrame, threshold: float = 0.
     `rarest`. Coefficients are of whole feature sets.
     """
     theirs = library.select(F.col("function").alias("match"), "feature").distinct()
-    frequency = theirs.groupBy("feature").agg(F.count("*").alias("df"))
     mine = functions.select("function", "feature").distinct()
+    sizes = theirs.groupBy("match").agg(F.count("*").alias("b"))
+    theirs = _within(theirs, mine)
+    frequency = theirs.groupBy("feature").agg(F.count("*").alias("df"))
     known = mine.join(frequency, "feature").withColumn("place", F.row_number().over(Window.partitionBy("function").orderBy("df", "feature")))
     probes = known.where((F.col("df") <= common) | (F.col("place") <= rarest)).select("function", "feature")
     candidates = probes.join(theirs, "feature").select("function", "match").distinct()
     shared = candidates.join(mine, "function").join(theirs, ["match", "feature"]).groupBy("function", "match").agg(F.count("*").alias("shared"))
-    sized = shared.join(mine.groupBy("function").agg(F.count("*").alias("a")), "function").join(theirs.groupBy("match").agg(F.count("*").alias("b")), "match")
+    sized = shared.join(mine.groupBy("function").agg(F.count("*").alias("a")), "function").join(sizes, "match")
     scored = sized.withColumn("score", F.col("shared") / (F.col("a") + F.col("b") - F.col("shared")))
     w = Window.partitionBy("function").orderBy(F.desc("score"), "match")
     ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
