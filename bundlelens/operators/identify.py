@@ -31,14 +31,19 @@ def _within(features: DataFrame, other: DataFrame) -> DataFrame:
     return features.join(other.select("feature").distinct(), "feature", "left_semi")
 
 
-def overlaps(modules: DataFrame, files: DataFrame, share: float = 0.0) -> DataFrame:
+def overlaps(modules: DataFrame, files: DataFrame, share: float = 0.0, sizes: DataFrame | None = None) -> DataFrame:
     """(module, file, shared, of_module, of_file) of all pairs that share a feature, or at least that share of the
-    file's features.
+    file's features. sizes: (module, of_module), the number of each module's features, for callers that know it without
+    a shuffle of all of them.
 
     With a share, a module must have one of any selection of more than the rest of a file's features. Its rarest ones
     are looked up, and only the pairs they bring together are counted in full.
     """
-    mine, theirs = _sized(modules, "module", "of_module", files), _sized(files, "file", "of_file")
+    theirs = _sized(files, "file", "of_file")
+    if sizes is None:
+        mine = _sized(modules, "module", "of_module", files)
+    else:
+        mine = _within(modules.select("module", "feature"), files).distinct().join(sizes, "module")
     if share <= 0:
         return mine.join(theirs, "feature").groupBy("module", "file", "of_module", "of_file").agg(F.count("*").alias("shared"))
     frequency = mine.groupBy("feature").agg(F.count("*").alias("_df"))
@@ -56,11 +61,11 @@ def module_score() -> Column:
     return (F.col("shared") / F.col("of_file")) * F.least(F.lit(1.0), 2 * F.col("shared") / F.col("of_module"))
 
 
-def identify(modules: DataFrame, files: DataFrame, least: int = rules.MIN_MODULE_FEATURES, threshold: float = rules.MODULE_THRESHOLD) -> DataFrame:
+def identify(modules: DataFrame, files: DataFrame, least: int = rules.MIN_MODULE_FEATURES, threshold: float = rules.MODULE_THRESHOLD, sizes: DataFrame | None = None) -> DataFrame:
     """(module, file, confidence): the library file that a module (module, feature) is, by the files' (file, feature).
     Files of few features are no evidence; of equal scores the first file by name counts."""
     enough = files.join(files.groupBy("file").agg(F.count_distinct("feature").alias("_n")).where(F.col("_n") >= least).select("file"), "file", "left_semi")
-    scored = overlaps(modules, enough, threshold).withColumn("score", module_score()).where(F.col("score") >= threshold)
+    scored = overlaps(modules, enough, threshold, sizes).withColumn("score", module_score()).where(F.col("score") >= threshold)
     best = scored.groupBy("module").agg(F.min_by(F.struct("file", "score"), F.struct(-F.col("score"), "file")).alias("b"))
     return best.select("module", "b.file", F.round("b.score", 3).alias("confidence"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlelens import rules
@@ -66,17 +66,26 @@ EQUAL_TEXTS = "SELECT doc_id, CASE WHEN doc_id <> f THEN f END AS duplicate_of F
 
 def features(spark: SparkSession, sf_dir: str, table: str, key: str, name: str) -> DataFrame:
     """(name, feature): distinct lower-case words of a table's texts."""
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias(name), F.explode(F.array_distinct(F.array_remove(F.split(F.lower("text"), SPACE, -1), ""))).alias("feature"))
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias(name), F.explode(_different_words()).alias("feature"))
     return rows
 
 
+def _different_words() -> Column:
+    return F.array_distinct(F.array_remove(F.split(F.lower("text"), SPACE, -1), ""))
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, of_module): how many different words each document has; ids of documents are unique."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("module"), F.size(_different_words()).cast("long").alias("of_module"))
+
+
 def _sql_features(table: str, key: str, name: str) -> str:
     return f"SELECT {key} AS {name}, unnest(list_distinct(regexp_extract_all(lower(text), '[^ \\t\\n\\x0B\\f\\r]+'))) AS feature FROM {table}"
 
 
 def contained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that a document holds for the most part, whatever else it holds."""
-    pairs = identify.overlaps(features(spark, sf_dir, "documents", "doc_id", "module"), features(spark, sf_dir, "benchmark", "item_id", "file"), 0.8)
+    pairs = identify.overlaps(features(spark, sf_dir, "documents", "doc_id", "module"), features(spark, sf_dir, "benchmark", "item_id", "file"), 0.8, word_counts(spark, sf_dir))
     return pairs.select(F.col("module").alias("doc_id"), F.col("file").alias("item_id"), "shared", F.round(F.col("shared") / F.col("of_file"), 3).alias("containment"))
 
 
@@ -88,7 +97,7 @@ CONTAINED_PASSAGES = f"WITH {_OVERLAPS} SELECT module AS doc_id, file AS item_id
 
 def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark item that a document is."""
-    return identify.identify(features(spark, sf_dir, "documents", "doc_id", "module"), features(spark, sf_dir, "benchmark", "item_id", "file"), threshold=0.3)
+    return identify.identify(features(spark, sf_dir, "documents", "doc_id", "module"), features(spark, sf_dir, "benchmark", "item_id", "file"), threshold=0.3, sizes=word_counts(spark, sf_dir))
 
 
 IDENTIFIED = f"""
