@@ -80,3 +80,13 @@ def test_readable_broken(page):
 
 def test_url_attributes():
     assert readable.attribute_urls('<a href="/x"><img srcset="a 1x" alt=""><p title=q>') == [("a", "href", "/x"), ("img", "srcset", "a 1x")]
+
+
+@pytest.mark.parametrize("page", ["<p>a&amp b&#65 c&x</p>", "<P >a</P >", "<?xml a?><p>b</p>", "a<!-- x --!>b", "<script>var a=1", "<title>R&a</title>\n<p>&lt</p>"])
+def test_readable_as_written(page):
+    """What stays is copied as it stands, references without a semicolon and odd end tags too."""
+    assert readable.clean(page, None) == (page, 0, [])
+
+
+def test_readable_null():
+    assert readable.clean(None, None) == (None, 0, [])
