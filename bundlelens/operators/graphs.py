@@ -182,10 +182,12 @@ def bounded_groups(edges: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     ends wherever their sizes (node, size) add up to `most` at most; a group goes by its smallest node.
 
     In each round an edge is decided if no open edge of either of its groups comes before it: all that the scan would
-    know of both groups is settled then, and what is too large stays too large. Orders differ; a node of an edge has a
-    size of 0 unless given, and nodes without edges are groups of their own.
+    know of both groups is settled then, and what is too large stays too large. Edges of equal orders are in the order of
+    their src, then of their dst; a node of an edge has a size of 0 unless given, and nodes without edges are groups of
+    their own.
     """
-    open_ = written(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("ord").alias("ord")))
+    own = F.struct("ord", "src", "dst")
+    open_ = written(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(own).alias("ord")))
     nodes = sizes.select("node", "size").unionByName(open_.select(F.explode(F.array("a", "b")).alias("node"), F.lit(0).cast("long").alias("size")))
     weight = written(nodes.groupBy("node").agg(F.sum("size").alias("size")))
     names, joined = weight.select("node"), None

@@ -290,3 +290,10 @@ def test_closure_is_the_crawl(spark, most):
     want, rest = crawl(seeds, have, producers, most)
     assert rows(found, "url", "parent", "round", "place", "loaded") == want and rows(left, "url", "parent") == rest
     assert (most == 12) == (not rest) and len(want) > 10
+
+
+def test_bounded_groups_of_equal_orders(spark):
+    """Edges of one order are all decided, each by itself."""
+    edges = spark.createDataFrame([("a", "b", 1), ("c", "d", 1), ("b", "c", 1), ("d", "e", 2)], "src string, dst string, ord long")
+    sizes = spark.createDataFrame([(n, 1) for n in "abcde"], "node string, size long")
+    assert {tuple(r) for r in graphs.bounded_groups(edges, sizes, 4).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e")}
