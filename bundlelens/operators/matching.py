@@ -55,6 +55,17 @@ def sized(features: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(rows.groupBy(*by).agg(F.count("*").alias("_n")), by)
 
 
+def _scores(own: DataFrame, other: DataFrame, least: float) -> DataFrame:
+    """(group, member, candidate, score) of `likeness`, of sized rows (group, member, feature, _n) and (group, candidate,
+    feature, _n)."""
+    frequency = other.groupBy("group", "feature").agg(F.count("*").alias("_df"))
+    asked = probes(own, ["group", "member"], frequency, least).select("group", "member", "feature")
+    pairs = asked.join(other.select("group", "candidate", "feature"), ["group", "feature"]).select("group", "member", "candidate").distinct()
+    held = pairs.join(own.withColumnRenamed("_n", "_a"), ["group", "member"]).join(other.withColumnRenamed("_n", "_b"), ["group", "candidate", "feature"])
+    shared = held.groupBy("group", "member", "candidate", "_a", "_b").agg(F.count("*").alias("_s"))
+    return shared.withColumn("score", F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s"))).where(F.col("score") >= least - 1e-9).select("group", "member", "candidate", "score")
+
+
 def likeness(mine: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
     """(group, member, candidate, score): the Jaccard coefficients, of `least` or more, of the feature sets of members
     (group, member, feature) and candidates (group, candidate, feature) of one group.
@@ -62,13 +73,31 @@ def likeness(mine: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
     A pair of such a coefficient shares that part of the member's features at least, so candidates are brought by the
     member's rarest features alone, and only these pairs are counted in full.
     """
-    own, other = written(sized(mine, ["group", "member"])), written(sized(theirs, ["group", "candidate"]))
-    frequency = other.groupBy("group", "feature").agg(F.count("*").alias("_df"))
-    asked = probes(own, ["group", "member"], frequency, least).select("group", "member", "feature")
-    pairs = asked.join(other.select("group", "candidate", "feature"), ["group", "feature"]).select("group", "member", "candidate").distinct()
-    held = pairs.join(own.withColumnRenamed("_n", "_a"), ["group", "member"]).join(other.withColumnRenamed("_n", "_b"), ["group", "candidate", "feature"])
-    shared = held.groupBy("group", "member", "candidate", "_a", "_b").agg(F.count("*").alias("_s"))
-    return shared.withColumn("score", F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s"))).where(F.col("score") >= least - 1e-9).select("group", "member", "candidate", "score")
+    return _scores(written(sized(mine, ["group", "member"])), written(sized(theirs, ["group", "candidate"])), least)
+
+
+def classes(rows: DataFrame, key: str, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((group, class, key), (group, class, feature, _n)): the sets (group, key, feature) that share a feature with
+    `other` (group, feature), by classes of as many features and the same ones of those that `other` has. All sets of a
+    class have the same coefficients with all of `other`, so classes are compared once, however many copies they have."""
+    known = other.select("group", "feature").distinct().withColumn("_known", F.lit(True))
+    sets = rows.select("group", key, "feature").distinct().join(known, ["group", "feature"], "left")
+    sets = sets.groupBy("group", key).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(F.when(F.col("_known"), F.col("feature")))).alias("_features")).where(F.size("_features") > 0)
+    sets = written(sets.withColumn("class", F.sha2(F.to_json(F.struct("_n", "_features")), 256)))
+    one = sets.groupBy("group", "class").agg(F.min(F.struct("_n", "_features")).alias("_s"))
+    return sets.select("group", "class", key), one.select("group", "class", F.explode("_s._features").alias("feature"), F.col("_s._n").alias("_n"))
+
+
+def clear_candidates(mine: DataFrame, theirs: DataFrame, threshold: float, margin: float) -> DataFrame:
+    """(member, candidate, score, margin): of members (group, member, feature) the candidate (group, candidate, feature) of
+    their group that is clearly most like them, as `clear_best` says of `likeness`. Members and candidates are compared by
+    classes, so n copies of a set cost n rows and not their square; of a class of several candidates none is clear."""
+    members, own = classes(mine, "member", theirs)
+    candidates, other = classes(theirs, "candidate", mine)
+    scores = _scores(written(own.withColumnRenamed("class", "member")), written(other.withColumnRenamed("class", "candidate")), threshold - margin).where("score > 0")
+    alone = candidates.groupBy("group", F.col("class").alias("candidate")).agg(F.min("candidate").alias("_one"), F.count("*").alias("_copies"))
+    best = clear_best(scores, ["group", "member"], "candidate", threshold, margin).join(alone, ["group", "candidate"]).where("_copies = 1")
+    return members.join(best.withColumnRenamed("member", "class"), ["group", "class"]).select("member", F.col("_one").alias("candidate"), "score", "margin")
 
 
 def clear_best(scores: DataFrame, by: list[str], name: str, threshold: float, margin: float, own_name: Column | None = None) -> DataFrame:
@@ -119,7 +148,7 @@ def identify_in_rounds(features: DataFrame, calls: DataFrame, library: DataFrame
             work.pop()
             break
         asked = own.join(dirty, ["module", "function"], "left_semi").select(F.lit(0).alias("group"), F.struct("module", "function").alias("member"), "feature")
-        best = clear_best(likeness(asked, theirs, threshold - margin).where("score > 0"), ["member"], "candidate", threshold, margin)
+        best = clear_candidates(asked, theirs, threshold, margin)
         wanted = best.select("member.module", "member.function", F.col("candidate").alias("name"), "score")
         if named is not None:
             wanted = wanted.join(named.rows().select("module", "name"), ["module", "name"], "left_anti")

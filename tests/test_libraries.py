@@ -297,3 +297,15 @@ def test_bounded_groups_of_equal_orders(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("c", "d", 1), ("b", "c", 1), ("d", "e", 2)], "src string, dst string, ord long")
     sizes = spark.createDataFrame([(n, 1) for n in "abcde"], "node string, size long")
     assert {tuple(r) for r in graphs.bounded_groups(edges, sizes, 4).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e")}
+
+
+def test_clear_candidates_by_classes(spark):
+    """The same as by all pairs, with one row for all copies of a set."""
+    mine = [(0, f"m{i}", f) for i in range(40) for f in ("abc" if i < 30 else "xyz")] + [(0, "o", "q")]
+    theirs = [(0, f"t{i}", f) for i in range(30) for f in "abd"] + [(0, "s", f) for f in "xyzw"] + [(0, "s2", f) for f in "xyzvu"] + [(0, f"n{i}", f) for i in range(5) for f in ("k", f"C:{i}")]
+    mine, theirs = spark.createDataFrame(mine, "group int, member string, feature string"), spark.createDataFrame(theirs, "group int, candidate string, feature string")
+    found = {tuple(r) for r in matching.clear_candidates(mine, theirs, 0.5, 0.05).collect()}
+    pairs = matching.clear_best(matching.likeness(mine, theirs, 0.45), ["member"], "candidate", 0.5, 0.05)
+    assert found == {tuple(r) for r in pairs.collect()} and {(m, c) for m, c, *_ in found} == {(f"m{i}", "s") for i in range(30, 40)}
+    of, sets = matching.classes(theirs, "candidate", mine)
+    assert (of.count(), sets.select("class").distinct().count()) == (32, 3)
