@@ -34,9 +34,20 @@ def string_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRING_KINDS = f"WITH {SQL_WORDS}, c AS (SELECT word AS value, count(*) AS n FROM w GROUP BY word) SELECT {SQL_KIND} AS kind, count(*) AS strings, sum(n)::BIGINT AS n FROM c GROUP BY 1"
 
 
+def first_words(docs: DataFrame, *keep: str) -> DataFrame:
+    """(keep.., pos, word): the different words of every text where they are first. The words are sorted with their
+    places, and those that begin a run of equal ones stay: nothing is shuffled."""
+    own = F.array_remove(F.split("text", SPACE, -1), "")
+    placed = F.array_sort(F.transform(own, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+    begins = lambda ws: F.filter(ws, lambda w, i: (i == 0) | (w["word"] != F.get(ws, i - 1)["word"]))
+    return docs.select(*keep, F.explode(F.get(F.transform(F.array(placed), begins), F.lit(0))).alias("_w")).select(*keep, "_w.pos", "_w.word")
+
+
 def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = words(read(spark, sf_dir), "doc_id").select(F.col("word").alias("value"), F.col("doc_id").cast("string").alias("location"), F.struct("doc_id", "pos").alias("ord"))
-    return detect.string_index(found).select("value", "kind", "count", F.array_join("locations", ",").alias("locations"))
+    docs, value, location, ord_ = read(spark, sf_dir), F.col("word").alias("value"), F.col("doc_id").cast("string").alias("location"), F.struct("doc_id", "pos")
+    # ids of documents are unique, so a text's first words are a location's
+    found = detect.string_index(words(docs, "doc_id").select(value, location, ord_.alias("ord")), firsts=first_words(docs, "doc_id").select(value, location, ord_.alias("first")))
+    return found.select("value", "kind", "count", F.array_join("locations", ",").alias("locations"))
 
 
 STRING_INDEX = f"""

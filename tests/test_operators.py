@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bundlelens.operators import detect, graphs, identify, votes
+from bundlelens.plans import documents
 from bundlelens.sources import http
 
 
@@ -243,3 +244,20 @@ def test_overlaps_where_the_rows_are(spark, share):
     columns = ["module", "file", "shared", "of_module", "of_file"]
     assert {tuple(r) for r in found.select(columns).collect()} == {tuple(r) for r in identify.overlaps(modules, files, share).select(columns).collect()}
     assert "hashpartitioning(feature" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_words_without_a_shuffle(spark):
+    """Where each word of a text is first, and the same index as from all places."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("ab bc cd de é ef ".split(" ")) for _ in range(rng.randrange(30)))) for i in range(60)] + [(60, None), (61, ""), (62, " ab  ab\tcd ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    firsts = documents.first_words(docs, "doc_id")
+    want = {}
+    for i, t in texts:
+        for pos, w in enumerate((t or "").split()):
+            want.setdefault((i, w), pos)
+    assert {(r.doc_id, r.word): r.pos for r in firsts.collect()} == want and "Exchange" not in firsts._jdf.queryExecution().executedPlan().toString()
+    as_rows = lambda df, name: df.select(F.col("word").alias("value"), F.col("doc_id").cast("string").alias("location"), F.struct("doc_id", "pos").alias(name))
+    found = as_rows(documents.words(docs, "doc_id"), "ord")
+    index = lambda df: sorted((r.value, r.kind, r["count"], tuple(r.locations)) for r in df.collect())
+    assert index(detect.string_index(found, 5, as_rows(firsts, "first"))) == index(detect.string_index(found, 5))
