@@ -42,15 +42,16 @@ def closure(seeds: DataFrame, captured: DataFrame, producers: list[Producer], mo
     loaded = false and no references. Null URLs are none. The second table is empty if the closure is whole.
     """
     wanted = numbered(seeds.where("url IS NOT NULL").groupBy("url").agg(F.min("ord").alias("ord")), ["ord", "url"], "place").select("url", F.lit(None).cast("string").alias("parent"), "place")
-    have = captured.select(F.col("url").alias("_have")).distinct()
     known, n = None, 0
     while True:
+        # what is captured is dealt out once in a round
+        read = written(captured.join(wanted.select("url"), "url", "left_semi"))
+        have = read.select(F.col("url").alias("_have")).distinct()
         fresh = written(wanted.join(have, F.col("url") == F.col("_have"), "left").select("url", "parent", F.lit(n).alias("round"), "place", F.col("_have").isNotNull().alias("loaded")))
         if known is None:
             known = Rounds(fresh)
         else:
             known.add(fresh)
-        read = captured.join(fresh.where("loaded").select("url"), "url", "left_semi")
         asked = [f(read).select("parent", "url", "ord", F.lit(i).alias("by")) for i, f in enumerate(producers)]
         placed = reduce(DataFrame.unionByName, asked).where("url IS NOT NULL").join(fresh.select(F.col("url").alias("_of"), F.col("place").alias("at")), F.col("parent") == F.col("_of"))
         first = placed.groupBy("url").agg(F.min(F.struct("at", "by", "ord", "parent")).alias("f"))

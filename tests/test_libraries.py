@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bundlelens.operators import closure, graphs, matching, signatures
 
@@ -319,3 +320,17 @@ def test_a_small_index_goes_to_the_rows(spark, tmp_path):
     want = {(m, f"f{i}"): (2 * (m % 5 == i) + (i < 2), 2 * (m % 5 == i)) for m in range(20) for i in range(5) if m % 5 == i or i < 2}
     assert {(r.module, r.file): (r.shared, r.rare) for r in found.collect()} == want
     assert "hashpartitioning(feature" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_closure_reads_what_is_captured_once_a_round(spark):
+    """Producers get the rows that a round has loaded from a table of their own, not a plan over all that is captured."""
+    plans = []
+
+    def half(fresh):
+        plans.append(fresh._jdf.queryExecution().optimizedPlan().toString())
+        return fresh.select(F.col("url").alias("parent"), F.expr("cast(cast(url as int) div 2 as string)").alias("url"), F.lit(0).alias("ord"))
+
+    captured = spark.range(40).select(F.col("id").cast("string").alias("url"))
+    found, left = closure.closure(spark.createDataFrame([("39", 0), ("50", 1)], "url string, ord int"), captured, [half])
+    assert [(r.url, r.loaded) for r in found.orderBy("place").collect()] == [("39", True), ("50", False), ("19", True), ("9", True), ("4", True), ("2", True), ("1", True), ("0", True)]
+    assert left.isEmpty() and not any("Join" in p or "Range" in p for p in plans)
