@@ -253,24 +253,34 @@ def components(edges: DataFrame) -> DataFrame:
     return members.unionByName(loops.join(members, "node", "left_anti").select("node", F.col("node").alias("component"))).distinct()
 
 
+#: Rows of a round that are sent to every task; more are dealt out with what they meet.
+FEW = 100_000
+
+
+def _dealt(round_: DataFrame, n: int) -> DataFrame:
+    """A round of n rows for a join, broadcast while they are few: files say little of how many rows are in them."""
+    return round_.hint("broadcast" if n <= FEW else "merge")
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): how many steps a module stands above those it needs (edges src needs dst): the longest way down.
-    Modules on cycles, and those that need them, have no level and are left out."""
-    edges = edges.select("src", "dst").distinct()
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    open_ = cut(edges)
+    Modules on cycles, and those that need them, have no level and are left out. A round sends its modules through the
+    driver only while they are few."""
+    open_ = written(edges.select("src", "dst").distinct())
+    left = written(open_.select(F.col("src").alias("node")).unionByName(open_.select(F.col("dst").alias("node"))).distinct())
     found, level = None, 0
-    left = cut(nodes)
     while True:
-        fresh = cut(left.join(open_.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
-        if fresh.isEmpty():
+        waiting = open_.select(F.col("src").alias("node")).distinct()
+        fresh = written(left.join(waiting.hint("merge"), "node", "left_anti").withColumn("level", F.lit(level)))
+        n = fresh.count()
+        if not n:
             return fresh if found is None else found.rows()
         if found is None:
             found = Rounds(fresh)
         else:
             found.add(fresh)
-        left = cut(left.join(fresh, "node", "left_anti"))
-        open_ = cut(open_.join(fresh.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        left = written(left.join(_dealt(fresh, n), "node", "left_anti"))
+        open_ = written(open_.join(_dealt(fresh.select(F.col("node").alias("dst")), n), "dst", "left_anti"))
         level += 1
 
 

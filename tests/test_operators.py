@@ -261,3 +261,9 @@ def test_first_words_without_a_shuffle(spark):
     found = as_rows(documents.words(docs, "doc_id"), "ord")
     index = lambda df: sorted((r.value, r.kind, r["count"], tuple(r.locations)) for r in df.collect())
     assert index(detect.string_index(found, 5, as_rows(firsts, "first"))) == index(detect.string_index(found, 5))
+
+
+def test_large_rounds_of_levels_stay_off_the_driver(spark):
+    few, many = (graphs._dealt(spark.range(3), n) for n in (graphs.FEW, graphs.FEW + 1))
+    plan = lambda df: spark.range(9).join(df, "id", "left_anti")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" in plan(many)
