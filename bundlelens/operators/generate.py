@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Generated rows are passed on at this number, so that one long text's rows are never all in memory with others'.
 ROWS = 4096
+#: Of a batch, so many rows are Python objects at once.
+TAKEN = 32
 
 
 def generate(df: DataFrame, keep: list[str], args: list[str], fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
@@ -32,13 +34,13 @@ def generate(df: DataFrame, keep: list[str], args: list[str], fn: Callable[...,
         rows: list[tuple] = []
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for values in zip(*columns, strict=True):
-                for made in fn(*values[n:]):
-                    rows.append((*values[:n], *made))
-                    if len(rows) >= ROWS:
-                        yield flush()
-                        rows.clear()
+            for taken in (batch.slice(i, TAKEN) for i in range(0, batch.num_rows, TAKEN)):
+                for values in zip(*(taken.column(i).to_pylist() for i in range(taken.num_columns)), strict=True):
+                    for made in fn(*values[n:]):
+                        rows.append((*values[:n], *made))
+                        if len(rows) >= ROWS:
+                            yield flush()
+                            rows.clear()
         if rows:
             yield flush()
 
