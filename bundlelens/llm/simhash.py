@@ -581,8 +581,10 @@ def similar(df: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col:
     shared = stash(met(docs), "simhash-met")
     check = lambda pairs, name: stash(verified(stash(near(pairs, nodes, similarity), f"simhash-{name}"), nodes.select("node", "first"), df, similarity, shingle, text_col, id_col), f"simhash-{name}-verified")
     links = check(first_pairs(shared, similarity), "first")
-    more = check(other_pairs(shared, nodes, components(links), similarity), "others")
-    roots = components(links.unionByName(more))
+    grown = components(links)
+    more = check(other_pairs(shared, nodes, grown, similarity), "others")
+    # stars stand for the first links: a row for each node, however many links its group has
+    roots = components(grown.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     rooted = nodes.select("node", "first").join(roots.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("_node"), "component_id")
     return docs.select("doc_id", "node").join(stash(named, "simhash-components"), F.col("node") == F.col("_node")).select("doc_id", "component_id")
