@@ -246,7 +246,8 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
 # in any order common to all texts, and where they do first, enough shingles follow in both. A set's fingerprint is the
 # parities of its hashes: pivot tables of the fingerprints discard, then their own distances do, which never loses a pair;
 # what is left is verified by the texts' shingles. Members of a group are first compared with its first one; then all
-# pairs are that these links leave in different components.
+# pairs are that these links leave in different components, in rounds: a few of each member at first, so that similar
+# texts become one component by links that grow with their number.
 
 #: 64-bit words of a set's parities.
 WIDE = 32
@@ -259,6 +260,8 @@ REMEMBERED = 1 << 19
 COMPARED = 256
 #: Of so many keys before a group's own each member knows which it has; so many words its folded fingerprint has.
 EARLIER, FOLDED = 4, 8
+#: So many pairs a member gives at first, and so many times as many in the next round where its group isn't one component.
+PAIRED, MORE = 4, 16
 
 
 class Shingles:
@@ -476,9 +479,21 @@ def meetings(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("key", *columns, F.explode(placed).alias("u")).select("key", "u.i", "u.j", "u.side", *columns)
 
 
-def other_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
-    """(a, b): all other pairs of each group that can be similar and are in different components so far; a < b.
-    Fingerprints folded to FOLDED words, parities as well, discard most before they leave the group.
+def rooted_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, size, at, before.., root): the members of each group but its first, with the EARLIER keys before the
+    group's own and their components so far."""
+    before = Window.partitionBy("node").orderBy("at")
+    earlier = [f"before{i}" for i in range(EARLIER)]
+    member = shared.select("key", "node", "size", "at", "first", *[F.coalesce(F.lag("key", i + 1).over(before), F.lit(0)).alias(c) for i, c in enumerate(earlier)])
+    member = member.where("node <> first").join(roots.select(F.col("node").alias("_of"), "root"), F.col("node") == F.col("_of"), "left")
+    return stash(member.select("key", "node", "size", "at", *earlier, F.coalesce("root", "node").alias("root")), "simhash-rooted")
+
+
+def other_pairs(member: DataFrame, nodes: DataFrame, similarity: float, most: int, tile: int = TILE) -> DataFrame:
+    """(a, b, open): the other pairs of each group that can be similar and are in different components so far, a < b, of
+    each member in a unit of work those with `most` others of its size or more; open is null. Where a member has more of
+    them a row has the group's key in open, and neither a nor b. Fingerprints folded to FOLDED words, parities as well,
+    discard most before they leave the group.
 
     A pair that also shares one of the EARLIER keys before a group's is left to that key's group: so is no first one, and
     copies that share all their keys are paired once and not once for each.
@@ -488,11 +503,7 @@ def other_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     that is one component but for a few stays linear."""
     import pyarrow as pa
 
-    before = Window.partitionBy("node").orderBy("at")
     earlier = [f"before{i}" for i in range(EARLIER)]
-    member = shared.select("key", "node", "size", "at", "first", *[F.coalesce(F.lag("key", i + 1).over(before), F.lit(0)).alias(c) for i, c in enumerate(earlier)])
-    member = member.where("node <> first").join(roots.select(F.col("node").alias("_of"), "root"), F.col("node") == F.col("_of"), "left")
-    member = stash(member.select("key", "node", "size", "at", *earlier, F.coalesce("root", "node").alias("root")), "simhash-rooted")
     parted = contested(member, tile)
     folded = [F.expr(" ^ ".join(f"bits[{k}]" for k in range(i, WIDE, FOLDED))).alias(f"bits{i}") for i in range(FOLDED)]
     bits = [f"bits{i}" for i in range(FOLDED)]
@@ -504,14 +515,15 @@ def other_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     def run(batches: Iterable) -> Iterator:
         import numpy as np
 
-        for group, (_, _, _, *columns) in whole_groups(batches, 3):
+        for group, (key, _, _, *columns) in whole_groups(batches, 3):
             order = np.lexsort((columns[2], group))
-            group, side, node, size, at, root, *others = (c[order] for c in (group, *columns))
+            group, key, side, node, size, at, root, *others = (c[order] for c in (group, key, *columns))
             keys, words_ = others[:EARLIER], others[EARLIER:]
+            given, over = np.zeros(len(node), dtype=np.int64), np.zeros(len(node), dtype=bool)
             rows, step = np.arange(len(node)), 1
             while len(rows := rows[rows + step < len(node)]):
                 # sizes are sorted: a row has no partner farther on once one is too large
-                rows = rows[(group[rows] == group[rows + step]) & (size[rows + step] * similarity <= size[rows] + 1e-6)]
+                rows = rows[~over[rows] & (group[rows] == group[rows + step]) & (size[rows + step] * similarity <= size[rows] + 1e-6)]
                 x, y = rows, rows + step
                 on = (root[x] != root[y]) & ((side[x] == 2) | (side[x] != side[y])) & can_meet(size[x], at[x], size[y], at[y], similarity)
                 x, y = x[on], y[on]
@@ -522,11 +534,32 @@ def other_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
                 apart = sum(np.bitwise_count((w[x] ^ w[y]).view(np.uint64)).astype(np.int64) for w in words_)
                 on = apart <= (size[x] + size[y]) * (1 - similarity) / (1 + similarity) + 1e-6
                 x, y = x[on], y[on]
+                over[x] = given[x] >= most
+                given[x] += 1
+                x, y = x[~over[x]], y[~over[x]]
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.nulls(len(x), pa.int64())], ["a", "b", "open"])
                 step += 1
+            if over.any():
+                found = np.unique(key[over])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found)], ["a", "b", "open"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, open long").distinct()
+
+
+def joined(links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, root) of `components`, (node, root) of the components that become part of another): what links (a, b) make
+    of components (node, root). Links between the same components are one."""
+    of = lambda c: roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_root_{c}"))
+    ends = links.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
+    merged = components(ends.select(F.coalesce("_root_a", "a").alias("a"), F.coalesce("_root_b", "b").alias("b")))
+    return stash(renewed(roots, merged).unionByName(merged), "simhash-roots"), merged
+
+
+def renewed(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """The rows, all columns, with the component that their root is part of since."""
+    now = merged.select(F.col("node").alias("_was"), F.col("root").alias("_now"))
+    return rows.join(now, F.col("root") == F.col("_was"), "left").select(*[F.coalesce("_now", "root").alias(c) if c == "root" else c for c in rows.columns])
 
 
 def verified(pairs: DataFrame, named: DataFrame, df: DataFrame, similarity: float, shingle: int, text_col: str, id_col: str) -> DataFrame:
@@ -580,11 +613,17 @@ def similar(df: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col:
     nodes = stash(docs.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("size", "bits", "pivots")]), "simhash-nodes")
     shared = stash(met(docs), "simhash-met")
     check = lambda pairs, name: stash(verified(stash(near(pairs, nodes, similarity), f"simhash-{name}"), nodes.select("node", "first"), df, similarity, shingle, text_col, id_col), f"simhash-{name}-verified")
-    links = check(first_pairs(shared, similarity), "first")
-    grown = components(links)
-    more = check(other_pairs(shared, nodes, grown, similarity), "others")
-    # stars stand for the first links: a row for each node, however many links its group has
-    roots = components(grown.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = components(check(first_pairs(shared, similarity), "first"))
+    # a group of n similar texts becomes one component by a few pairs of each member, and not by n * n / 2; only groups with
+    # pairs left between components give more of them, until none holds any back
+    member, most = rooted_members(shared, roots), PAIRED
+    while True:
+        found = stash(other_pairs(member, nodes, similarity, most), "simhash-found")
+        roots, merged = joined(check(found.where("open IS NULL").select("a", "b"), "others"), roots)
+        left = found.where("open IS NOT NULL").select(F.col("open").alias("key"))
+        if left.isEmpty():
+            break
+        member, most = stash(renewed(member.join(left, "key", "left_semi"), merged), "simhash-rooted"), most * MORE
     rooted = nodes.select("node", "first").join(roots.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("_node"), "component_id")
     return docs.select("doc_id", "node").join(stash(named, "simhash-components"), F.col("node") == F.col("_node")).select("doc_id", "component_id")

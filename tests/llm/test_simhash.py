@@ -188,6 +188,36 @@ def test_large_groups_of_similar_texts(spark, monkeypatch):
     assert {r.component_id for r in found.collect()} == {0}
 
 
+def test_similar_texts_whose_first_ones_are_not(spark, monkeypatch):
+    """In every group the first text is unlike the others, which are all similar: links grow with the texts, not with the
+    pairs, and none is lost."""
+    monkeypatch.setattr(simhash.common_shingles, "__defaults__", (0,))
+    rng = random.Random(11)
+    base, hashed, no = [f"w{i}" for i in range(104)], simhash.Shingles(5), np.zeros(0, dtype=np.uint64)
+    texts = []
+    for i in range(200):
+        own = list(base)
+        own[rng.randrange(104)] = f"x{i}"
+        texts.append(own)
+    keys = lambda own: set(simhash.prefix(hashed(" ".join(own)), no, no, 0.8).tolist())
+    least, shared = min(simhash.set_name(hashed(" ".join(t))) for t in texts), set().union(*(keys(t) for t in texts[:100])) & set().union(*(keys(t) for t in texts[100:]))
+    others = []
+    for i in range(100):
+        window = base[i : i + 5]
+        for n in range(20_000 if set(hashed(" ".join(window)).tolist()) & shared else 0):
+            own = window + [f"y{i}-{n}-{k}" for k in range(12)]
+            if simhash.set_name(hashed(" ".join(own))) < least and keys(own) & shared:
+                others.append(own)
+                break
+    assert len(others) > 15
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + others)]
+    seen, grow = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: seen.append(edges.count()) or grow(edges))
+    found = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(brute_similar(rows))) and sum(c == 0 for c in found.values()) == 200
+    assert sum(seen) < 10 * len(rows)  # all pairs are 100 * 199
+
+
 @pytest.mark.parametrize(("outside", "most"), [(1, 1), (3000, 2)])
 def test_large_groups_stay_linear(spark, outside, most):
     """Of 200 000 members few are outside the major component: they meet all, and the others meet only them."""
