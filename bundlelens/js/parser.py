@@ -27,12 +27,14 @@ class Node:
             if isinstance(value, (Node, list)):
                 yield name, value
 
-    def children(self) -> Iterator[Node]:
-        for _, value in self.parts():
+    def children(self) -> list[Node]:
+        found: list[Node] = []
+        for value in self.__dict__.values():
             if isinstance(value, Node):
-                yield value
-            else:
-                yield from (x for x in value if isinstance(x, Node))
+                found.append(value)
+            elif isinstance(value, list):
+                found += [x for x in value if isinstance(x, Node)]
+        return found
 
     def __repr__(self) -> str:
         return f"{self.type}({', '.join(f'{k}={v!r}' for k, v in self.__dict__.items() if k not in ('type', 'start', 'end', 'line'))})"
@@ -44,7 +46,7 @@ def walk(node: Node) -> Iterator[Node]:
     while stack:
         x = stack.pop()
         yield x
-        stack.extend(reversed(list(x.children())))
+        stack.extend(reversed(x.children()))
 
 
 BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
@@ -83,13 +85,14 @@ class Parser:
         return ParseError(f"line {self.token.line}: {wanted} expected, not {self.token.value[:20]!r}")
 
     def sees(self, *values: str) -> bool:
-        t = self.token
-        return t.kind in ("punct", "name") and t.value in values
+        t = self.tokens[self.at] if self.at < len(self.tokens) else END
+        return t.value in values and t.kind in ("punct", "name")
 
     def take(self, *values: str) -> str | None:
-        if self.sees(*values):
+        t = self.tokens[self.at] if self.at < len(self.tokens) else END
+        if t.value in values and t.kind in ("punct", "name"):
             self.at += 1
-            return self.tokens[self.at - 1].value
+            return t.value
         return None
 
     def need(self, value: str) -> None:

@@ -47,7 +47,9 @@ def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, body, adapter): chunks whose modules are the parts; a chunk has IN_CHUNK of them at most."""
     chunk = F.expr(f"cast(p_partkey div {IN_CHUNK} as string)")
     module = F.expr("""concat('"p', p_partkey, '":(e,t,r)=>{var x=r("p', p_partkey div 2, '");r.e(', p_size, ');e.exports=x}')""")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_size") <= LARGEST).groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", module.alias("m")))).alias("ms"))
+    # the table is small and parsing its chunks is not: a given number of partitions is left as it is, others are joined by size
+    dealt = spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_size") <= LARGEST).withColumn("chunk", chunk).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    parts = dealt.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("p_partkey", module.alias("m")))).alias("ms"))
     body = F.concat(F.lit("(self.webpackChunkparts=self.webpackChunkparts||[]).push([["), "chunk", F.lit("],{"), F.array_join(F.col("ms.m"), ","), F.lit("}])"))
     return parts.select(F.concat(F.lit("https://parts.test/"), "chunk", F.lit(".js")).alias("url"), body.alias("body"), F.lit("webpack").alias("adapter"))
 

@@ -123,3 +123,14 @@ def test_reports(spark):
     imports = spark.createDataFrame([("react/jsx",), ("./x",), ("@a/b",)], "specifier string")
     assert json.loads(trees.package_json(imports, spark.createDataFrame([("react", "18.0.0")], "package string, version string")).first()[0])["dependencies"] == {"@a/b": "*", "react": "18.0.0"}
     assert trees.missing_stubs(spark.createDataFrame([("n\x009", 2)], "dst string, importers long")).first().path == "js/_missing/module-9.js"
+
+
+def test_chunks_of_parts_are_dealt(spark, tmp_path):
+    """Parts are a small table, whose chunks are costly to parse: they aren't joined to one task."""
+    from bundlelens.plans import bundles
+
+    spark.range(40_000).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = bundles.part_chunks(spark, str(tmp_path))
+    assert found.count() == 400
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 200
