@@ -49,20 +49,22 @@ def probes(features: DataFrame, by: list[str], frequency: DataFrame, share: floa
     return ranked.where(F.col("_place") <= F.col("_n") - F.ceil(F.lit(share) * F.col("_n") - 1e-9) + 1).drop("_place", "_df")
 
 
-def sized(features: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct rows (by.., feature) and _n, how many features each has."""
-    rows = features.select(*by, "feature").distinct()
-    return rows.join(rows.groupBy(*by).agg(F.count("*").alias("_n")), by)
+def feature_sets(features: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """(by.., _features, _n, more..): the distinct features of the rows (by.., feature), and how many; one shuffle."""
+    rows = features.groupBy(*by).agg(F.collect_set(F.struct("feature")).alias("_features"), *more)
+    return rows.withColumn("_n", F.size("_features")).withColumn("_features", F.col("_features.feature"))
 
 
 def _scores(own: DataFrame, other: DataFrame, least: float) -> DataFrame:
-    """(group, member, candidate, score) of `likeness`, of sized rows (group, member, feature, _n) and (group, candidate,
-    feature, _n)."""
-    frequency = other.groupBy("group", "feature").agg(F.count("*").alias("_df"))
-    asked = probes(own, ["group", "member"], frequency, least).select("group", "member", "feature")
-    pairs = asked.join(other.select("group", "candidate", "feature"), ["group", "feature"]).select("group", "member", "candidate").distinct()
-    held = pairs.join(own.withColumnRenamed("_n", "_a"), ["group", "member"]).join(other.withColumnRenamed("_n", "_b"), ["group", "candidate", "feature"])
-    shared = held.groupBy("group", "member", "candidate", "_a", "_b").agg(F.count("*").alias("_s"))
+    """(group, member, candidate, score) of `likeness`, of sets (group, member, _features, _n) and (group, candidate,
+    _features, _n). Sets go to their pairs as they are; features are rows only to bring pairs."""
+    held = other.select("group", "candidate", F.explode("_features").alias("feature"))
+    frequency = held.groupBy("group", "feature").agg(F.count("*").alias("_df"))
+    asked = probes(own.select("group", "member", "_n", F.explode("_features").alias("feature")), ["group", "member"], frequency, least).select("group", "member", "feature")
+    pairs = asked.join(held, ["group", "feature"]).select("group", "member", "candidate").distinct()
+    mine, theirs = own.withColumnRenamed("_n", "_a"), other.withColumnRenamed("_n", "_b").withColumnRenamed("_features", "_others")
+    both = pairs.join(mine, ["group", "member"]).join(theirs, ["group", "candidate"])
+    shared = both.withColumn("_s", F.size(F.array_intersect(F.filter("_features", lambda x: x.isNotNull()), "_others")))
     return shared.withColumn("score", F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s"))).where(F.col("score") >= least - 1e-9).select("group", "member", "candidate", "score")
 
 
@@ -73,11 +75,11 @@ def likeness(mine: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
     A pair of such a coefficient shares that part of the member's features at least, so candidates are brought by the
     member's rarest features alone, and only these pairs are counted in full.
     """
-    return _scores(written(sized(mine, ["group", "member"])), written(sized(theirs, ["group", "candidate"])), least)
+    return _scores(written(feature_sets(mine, ["group", "member"])), written(feature_sets(theirs, ["group", "candidate"])), least)
 
 
 def classes(rows: DataFrame, key: str, other: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((group, class, key), (group, class, feature, _n)): the sets (group, key, feature) that share a feature with
+    """((group, class, key), (group, class, _features, _n)): the sets (group, key, feature) that share a feature with
     `other` (group, feature), by classes of as many features and the same ones of those that `other` has. All sets of a
     class have the same coefficients with all of `other`, so classes are compared once, however many copies they have."""
     known = other.select("group", "feature").distinct().withColumn("_known", F.lit(True))
@@ -85,7 +87,7 @@ def classes(rows: DataFrame, key: str, other: DataFrame) -> tuple[DataFrame, Dat
     sets = sets.groupBy("group", key).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(F.when(F.col("_known"), F.col("feature")))).alias("_features")).where(F.size("_features") > 0)
     sets = written(sets.withColumn("class", F.sha2(F.to_json(F.struct("_n", "_features")), 256)))
     one = sets.groupBy("group", "class").agg(F.min(F.struct("_n", "_features")).alias("_s"))
-    return sets.select("group", "class", key), one.select("group", "class", F.explode("_s._features").alias("feature"), F.col("_s._n").alias("_n"))
+    return sets.select("group", "class", key), one.select("group", "class", F.col("_s._features").alias("_features"), F.col("_s._n").alias("_n"))
 
 
 def clear_candidates(mine: DataFrame, theirs: DataFrame, threshold: float, margin: float) -> DataFrame:
@@ -119,12 +121,15 @@ def match_members(mine: DataFrame, theirs: DataFrame, threshold: float = 0.8, ma
     candidates (group, candidate, name, feature) of the same group. Of a name's candidates the best counts, a member's
     own name is not looked for. Members of less than `least` features take part only if one is `A:call`; of names with
     equal scores that counts which the member has as a string (`S:name`)."""
-    counts = mine.groupBy("group", "member").agg(F.count_distinct("feature").alias("_n"), F.max(F.col("feature") == "A:call").alias("_call"))
-    mine = mine.join(counts.where((F.col("_n") >= least) | F.col("_call")).select("group", "member"), ["group", "member"], "left_semi")
-    scores = likeness(mine, theirs.select("group", "candidate", "feature"), threshold - margin)
-    named = scores.join(theirs.select("group", "candidate", "name").distinct(), ["group", "candidate"]).where("name <> member")
+    hole = F.max(F.col("feature").isNull().cast("int")).alias("_hole")
+    own = feature_sets(mine, ["group", "member"], F.max(F.col("feature") == "A:call").alias("_call"), hole)
+    own = written(own.where((F.col("_n") - F.col("_hole") >= least) | F.col("_call")).drop("_call", "_hole"))
+    other = written(feature_sets(theirs, ["group", "candidate"], F.collect_set(F.col("name")).alias("_names")))
+    scores = _scores(own, other.drop("_names"), threshold - margin)
+    named = scores.join(other.select("group", "candidate", F.explode("_names").alias("name")), ["group", "candidate"]).where("name <> member")
     best = named.groupBy("group", "member", "name").agg(F.max("score").alias("score"))
-    said = mine.where(F.col("feature").startswith("S:")).select("group", "member", F.expr("substring(feature, 3)").alias("name"), F.lit(True).alias("_said")).distinct()
+    said = own.select("group", "member", F.explode(F.filter("_features", lambda x: x.startswith("S:"))).alias("_string"))
+    said = said.select("group", "member", F.expr("substring(_string, 3)").alias("name"), F.lit(True).alias("_said"))
     return clear_best(best.join(said, ["group", "member", "name"], "left"), ["group", "member"], "name", threshold, margin, F.col("_said"))
 
 

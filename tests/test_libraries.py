@@ -334,3 +334,17 @@ def test_closure_reads_what_is_captured_once_a_round(spark):
     found, left = closure.closure(spark.createDataFrame([("39", 0), ("50", 1)], "url string, ord int"), captured, [half])
     assert [(r.url, r.loaded) for r in found.orderBy("place").collect()] == [("39", True), ("50", False), ("19", True), ("9", True), ("4", True), ("2", True), ("1", True), ("0", True)]
     assert left.isEmpty() and not any("Join" in p or "Range" in p for p in plans)
+
+
+def test_sets_go_to_their_pairs_as_rows(spark, monkeypatch):
+    """A set is one row of what members and candidates are written to, and features without a value count as before."""
+    mine = [(0, f"m{i}", f) for i in range(20) for f in ["a", "b", "c", "d", f"S:t{i}", f"S:t{i}"]] + [(0, "hole", f) for f in ["a", "b", "c", None]]
+    theirs = [(0, f"c{i}", f"t{i}", f) for i in range(20) for f in ["a", "b", "c", "d"]] + [(0, "again", "t3", "a")]
+    mine, theirs = spark.createDataFrame(mine, "group int, member string, feature string"), spark.createDataFrame(theirs, "group int, candidate string, name string, feature string")
+    counts, write = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df: counts.append(df.count()) or write(df))
+    found = {tuple(r) for r in matching.match_members(mine, theirs, 0.6, 0.1).collect()}
+    assert found == {(0, f"m{i}", f"t{i}", 0.8, 0.8) for i in range(20)}
+    assert counts == [20, 21]
+    holes = {(r.member, r.score) for r in matching.likeness(mine, theirs.where("candidate = 'c1'"), 0.5).where("member = 'hole'").collect()}
+    assert holes == {("hole", 0.6)}  # 3 of the 5 of both
