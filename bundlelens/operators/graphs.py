@@ -182,29 +182,37 @@ def bounded_groups(edges: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     ends wherever their sizes (node, size) add up to `most` at most; a group goes by its smallest node.
 
     In each round an edge is decided if no open edge of either of its groups comes before it: all that the scan would
-    know of both groups is settled then, and what is too large stays too large. Edges of equal orders are in the order of
-    their src, then of their dst; a node of an edge has a size of 0 unless given, and nodes without edges are groups of
-    their own.
+    know of both groups is settled then. Groups only grow unless a size is negative, so what is too large stays too large,
+    and such edges are struck out at once, whatever comes before them. Edges of equal orders are in the order of their
+    src, then of their dst; a node of an edge has a size of 0 unless given, and nodes without edges are groups of their
+    own.
     """
     own = F.struct("ord", "src", "dst")
-    open_ = written(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(own).alias("ord")))
-    nodes = sizes.select("node", "size").unionByName(open_.select(F.explode(F.array("a", "b")).alias("node"), F.lit(0).cast("long").alias("size")))
+    apart = written(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(own).alias("ord")))
+    nodes = sizes.select("node", "size").unionByName(apart.select(F.explode(F.array("a", "b")).alias("node"), F.lit(0).cast("long").alias("size")))
     weight = written(nodes.groupBy("node").agg(F.sum("size").alias("size")))
-    names, joined = weight.select("node"), None
+    names, kind, joined = weight.select("node"), weight.schema["size"].dataType, None
+    fits = F.col("a.size") + F.col("b.size") <= most
+    hopeful = fits if weight.where("size < 0").isEmpty() else F.lit(True)
+    # open edges carry both their groups with their sizes
+    of = lambda side: weight.select(F.col("node").alias(side), F.struct("node", "size").alias(f"_{side}"))
+    sized = apart.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "ord")
+    open_ = written(sized.where(hopeful))
     while not open_.isEmpty():
-        ends = open_.select(F.explode(F.array("a", "b")).alias("end"), "ord").groupBy("end").agg(F.min("ord").alias("first")).join(weight, F.col("end") == F.col("node"))
-        of = lambda side: ends.select(F.col("end").alias(side), F.col("first").alias(f"{side}_first"), F.col("size").alias(f"{side}_size"))
-        ready = open_.join(of("a"), "a").join(of("b"), "b").where("a_first = ord AND b_first = ord")
-        decided = written(ready.select("a", "b", "ord", (F.col("a_size") + F.col("b_size") <= most).alias("joined")))
+        ends = open_.select(F.explode(F.array("a.node", "b.node")).alias("end"), "ord").groupBy("end").agg(F.min("ord").alias("first"))
+        first = lambda side: ends.select(F.col("end").alias(f"{side}_end"), F.col("first").alias(f"{side}_first"))
+        ready = open_.join(first("a"), F.col("a.node") == F.col("a_end")).join(first("b"), F.col("b.node") == F.col("b_end")).where("a_first = ord AND b_first = ord")
+        decided = written(ready.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), "ord", (F.col("a.size") + F.col("b.size")).cast(kind).alias("size"), fits.alias("joined")))
         # a group is decided upon once in a round, so joins are pairs: b goes into a
-        moved = decided.where("joined").select(F.col("b").alias("_from"), F.col("a").alias("_to"))
+        pairs = decided.where("joined")
+        moved = pairs.select(F.col("b").alias("_from"), F.col("a").alias("_to"))
         if joined is None:
             joined = Rounds(moved)
         else:
             joined.add(moved)
-        move = lambda df, c: df.join(moved, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")
-        weight = written(move(weight, "node").groupBy("node").agg(F.sum("size").alias("size")))
-        left = move(move(open_.join(decided.select("ord"), "ord", "left_anti").select("a", "b", "ord"), "a"), "b").where("a <> b")
+        now = pairs.select(F.explode(F.array("a", "b")).alias("_of"), F.struct(F.col("a").alias("node"), "size").alias("_now"))
+        move = lambda df, c: df.join(now, F.col(f"{c}.node") == F.col("_of"), "left").withColumn(c, F.coalesce("_now", c)).drop("_of", "_now")
+        left = move(move(open_.join(decided.select("ord"), "ord", "left_anti").select("a", "b", "ord"), "a"), "b").where("a.node <> b.node").where(hopeful)
         open_ = written(left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("ord").alias("ord")))
     if joined is None:
         return names.select("node", F.col("node").alias("group"))

@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from bundlelens.operators import closure, graphs, matching, signatures
+from bundlelens.plans import libraries
 
 
 def rows(df, *columns):
@@ -348,3 +350,50 @@ def test_sets_go_to_their_pairs_as_rows(spark, monkeypatch):
     assert counts == [20, 21]
     holes = {(r.member, r.score) for r in matching.likeness(mine, theirs.where("candidate = 'c1'"), 0.5).where("member = 'hole'").collect()}
     assert holes == {("hole", 0.6)}  # 3 of the 5 of both
+
+
+def bounded(edges, sizes, most):
+    """The scan of bounded_groups, one edge after the other; edges of equal orders by their ends."""
+    group = {n: n for n in {*sizes, *(x for a, b, _ in edges if a != b for x in (a, b))}}
+    weight = {n: sizes.get(n) or 0 for n in group}
+    for a, b, _ in sorted((e for e in edges if e[0] != e[1]), key=lambda e: (e[2], e[0], e[1])):
+        x, y = sorted((group[a], group[b]))
+        if x != y and weight[x] + weight[y] <= most:
+            weight[x] += weight.pop(y)
+            group = {n: x if g == y else g for n, g in group.items()}
+    return set(group.items())
+
+
+def test_trade_groups_reads_deals_of_all_lines(spark, tmp_path):
+    """A large deal counts on whatever line of its order it is; smaller ones don't."""
+    lines = [(1, 1, 1, 1, 50.0), (1, 2, 1, 2, 50.0), (2, 3, 2, 7, 50.0), (2, 2, 2, 6, 50.0), (3, 4, 3, 4, 50.0), (3, 5, 3, 5, 49.0), (4, 1, 3, 3, 50.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 40), (2, 40), (3, 1), (4, 45), (5, 1)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = [tuple(r) for r in libraries.trade_groups(spark, str(tmp_path)).collect()]
+    want = {("s1", "p1"), ("p1", "p1"), ("p2", "p1"), ("s2", "p1"), ("p3", "p3"), ("s3", "p4"), ("p4", "p4")}
+    assert len(found) == len(want) and set(found) == want
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(con.sql(libraries.TRADE_GROUPS).fetchall()) == sorted(found)
+
+
+def test_edges_that_are_too_large_wait_for_none(spark, monkeypatch):
+    """They are struck out in the round in which they are, not one by one in their order."""
+    edges, sizes = [("a", f"z{i:02}", i) for i in range(40)], {"a": 1, "z00": 3} | {f"z{i:02}": 9 for i in range(1, 40)}
+    df, of = spark.createDataFrame(edges, "src string, dst string, ord long"), spark.createDataFrame(list(sizes.items()), "node string, size long")
+    tables, write = [], graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df: tables.append(df) or write(df))
+    assert rows(graphs.bounded_groups(df, of, 4), "node", "group") == bounded(edges, sizes, 4)
+    assert len(tables) < 10
+
+
+@pytest.mark.parametrize("least", [0, -6])
+def test_bounded_groups_are_the_scan(spark, least):
+    """Sizes may be below 0, when a group that is too large may become small again."""
+    rng = random.Random(least)
+    edges = [(*e, rng.randrange(60)) for e in graph(rng, 40, 90)]
+    sizes = {f"n{i}": rng.choice([None, *range(least, 9)]) for i in range(45) if i % 7}
+    df = spark.createDataFrame(edges, "src string, dst string, ord int").repartition(3)
+    found = graphs.bounded_groups(df, spark.createDataFrame(list(sizes.items()), "node string, size int"), 15)
+    assert rows(found, "node", "group") == bounded(edges, sizes, 15)
